@@ -1,0 +1,184 @@
+"""Missing positions from the nearest positioned neighbour in time (an as-of join both ways).
+
+The rule walks forward and may use a position it has itself filled in a moment ago, so it
+cascades. In closed form, for an item without position:
+
+* `gap` is the time since the previous item, `ahead` the time to the next item that came with
+  a position, `reachable` says that `ahead` is within the threshold;
+* the chain from the last positioned item breaks at an item whose `gap` is too long, or whose
+  next positioned item is reachable and closer;
+* while the chain holds, the item takes the last positioned item's place, handed on item by
+  item; once it is broken, the next positioned item's place if that is reachable.
+
+"While the chain holds" is: of all positioned items and chain breaks so far, the latest is a
+positioned item. That makes it a last-value scan like the others.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from geoalbums.config import AlbumConfig
+from geoalbums.functions.geo import has_geo_any
+from geoalbums.functions.text import base_name, clock_text
+from geoalbums.operators.scan import (
+    BUCKET,
+    earlier_buckets,
+    first_row,
+    from_the_end,
+    in_bucket,
+    join_carry,
+    last_row,
+    later_buckets,
+    library_keys,
+    up_to_here,
+)
+from geoalbums.sources.shared import materialize
+
+ORDER = ["date_created", "file_name"]
+_PLACE = ["date_created", "file_name", "latitude", "longitude", "location_name"]
+
+
+def micros_between(earlier: Column, later: Column) -> Column:
+    """Whole microseconds; exact for timestamps without zone in any session zone."""
+    return F.timestamp_diff("MICROSECOND", earlier, later)
+
+
+def _neighbour_carry(items: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per bucket: the last item, last positioned and next positioned item outside it."""
+    positioned = has_geo_any(F.col("latitude"), F.col("longitude"))
+    summary = items.groupBy(BUCKET, *keys).agg(
+        last_row(ORDER, ORDER).alias("last_item"),
+        last_row(_PLACE, ORDER, positioned).alias("last_fix"),
+        first_row(_PLACE, ORDER, positioned).alias("first_fix"),
+    )
+    before, after = earlier_buckets(keys), later_buckets(keys)
+    return summary.select(
+        BUCKET,
+        *keys,
+        F.last("last_item", True).over(before).alias("carry_item"),
+        F.last("last_fix", True).over(before).alias("carry_back"),
+        F.last("first_fix", True).over(after).alias("carry_ahead"),
+    )
+
+
+def _with_neighbours(items: DataFrame, carry: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    positioned = has_geo_any(F.col("latitude"), F.col("longitude"))
+    here, ordered, ahead = up_to_here(keys, ORDER), in_bucket(keys, ORDER), from_the_end(keys, ORDER)
+    fix = F.when(positioned, F.struct(*_PLACE))
+    df = join_carry(items, carry, keys).select(
+        *items.columns,
+        positioned.alias("positioned"),
+        F.coalesce(
+            F.lag(F.struct(*ORDER, positioned.alias("positioned"))).over(ordered),
+            F.struct(
+                "carry_item.*",
+                # positioned exactly when it is the last positioned item itself
+                F.coalesce(F.col("carry_item") == F.struct("carry_back.date_created", "carry_back.file_name"), F.lit(False)),
+            ).cast(_prev_type(items)),
+        ).alias("prev"),
+        F.coalesce(F.last(fix, True).over(here), F.col("carry_back")).alias("back"),
+        F.coalesce(F.last(fix, True).over(ahead), F.col("carry_ahead")).alias("ahead"),
+    )
+    gap = micros_between(F.col("prev.date_created"), F.col("date_created"))
+    until = micros_between(F.col("date_created"), F.col("ahead.date_created"))
+    df = df.withColumn("gap", gap).withColumn("until", until)
+    reachable = F.coalesce(F.col("until") <= limit, F.lit(False))
+    broken = F.col("gap").isNull() | (F.col("gap") > limit) | (reachable & (F.col("until") < F.col("gap")))
+    return df.withColumn("reachable", reachable).withColumn(
+        # True: chain (re)starts at a positioned item; False: chain breaks; null: no change
+        "chain", F.when(F.col("positioned"), F.lit(True)).when(broken, F.lit(False))
+    )
+
+
+def _prev_type(items: DataFrame) -> str:
+    when = items.schema["date_created"].dataType.simpleString()
+    return f"struct<date_created:{when},file_name:string,positioned:boolean>"
+
+
+def impute_locations(items: DataFrame, cfg: AlbumConfig) -> DataFrame:
+    """Bucketed items with positions filled, plus how each was filled.
+
+    Adds `source_file` / `source_gap` (micros) of the item a position came from directly and
+    `rejected_file` / `rejected_gap` / `rejected_name` of the other candidate in reach; all null
+    for items that kept what they had. With no distance threshold nothing is filled.
+    """
+    audit = {
+        "source_file": "string", "source_gap": "bigint",
+        "rejected_file": "string", "rejected_gap": "bigint", "rejected_name": "string",
+    }
+    if cfg.distance_km == 0:
+        return items.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in audit.items()])
+
+    keys, limit = library_keys(cfg.library_cols), cfg.time_micros
+    neighbours = materialize(_neighbour_carry(items, keys), "neighbours")
+    linked = _with_neighbours(items, neighbours, keys, limit)
+    summary = linked.groupBy(BUCKET, *keys).agg(
+        last_row(["chain"], ORDER, F.col("chain").isNotNull())["chain"].alias("last_chain")
+    )
+    chains = materialize(
+        summary.select(
+            BUCKET, *keys, F.last("last_chain", True).over(earlier_buckets(keys)).alias("carry_chain")
+        ),
+        "chains",
+    )
+
+    here, ordered = up_to_here(keys, ORDER), in_bucket(keys, ORDER)
+    df = join_carry(linked, chains, keys)
+    holds = F.coalesce(F.last("chain", True).over(here), F.col("carry_chain"), F.lit(False))
+    df = df.withColumn("holds", holds).withColumn(
+        "prev_holds", F.coalesce(F.lag("holds").over(ordered), F.col("carry_chain"), F.lit(False))
+    )
+
+    missing = ~F.col("positioned")
+    from_back = missing & F.col("holds")
+    from_ahead = missing & ~F.col("holds") & F.col("reachable")
+    near = F.coalesce(F.col("gap") <= limit, F.lit(False))
+    # The previous item has a position if it came with one, if its own chain held, or if the
+    # item ahead was in its reach as well.
+    prev_from_ahead = (
+        ~F.coalesce(F.col("prev.positioned"), F.lit(True))
+        & ~F.col("prev_holds")
+        & F.coalesce(F.col("until") + F.col("gap") <= limit, F.lit(False))
+    )
+    prev_has = F.coalesce(F.col("prev.positioned"), F.lit(False)) | (
+        F.col("prev.file_name").isNotNull() & F.col("prev_holds")
+    ) | prev_from_ahead
+    in_reach_behind = near & prev_has
+    via_prev = from_back | (from_ahead & in_reach_behind & prev_from_ahead & (F.col("gap") <= F.col("until")))
+    via_ahead = from_ahead & ~via_prev
+    prev_name = F.when(prev_from_ahead, F.col("ahead.location_name")).otherwise(F.col("back.location_name"))
+
+    taken = F.when(from_back, F.col("back")).when(from_ahead, F.col("ahead"))
+    df = df.withColumn("taken", taken)
+    reject_ahead, reject_prev = via_prev & F.col("reachable"), via_ahead & in_reach_behind
+    filled = {
+        "latitude": F.coalesce("taken.latitude", "latitude"),
+        "longitude": F.coalesce("taken.longitude", "longitude"),
+        "location_name": F.when(F.col("taken").isNotNull(), F.col("taken.location_name")).otherwise(F.col("location_name")),
+    }
+    return df.select(
+        *[filled.get(name, F.col(name)).alias(name) for name in items.columns],
+        F.when(via_prev, F.col("prev.file_name")).when(via_ahead, F.col("ahead.file_name")).alias("source_file"),
+        F.when(via_prev, F.col("gap")).when(via_ahead, F.col("until")).alias("source_gap"),
+        F.when(reject_ahead, F.col("ahead.file_name")).when(reject_prev, F.col("prev.file_name")).alias("rejected_file"),
+        F.when(reject_ahead, F.col("until")).when(reject_prev, F.col("gap")).alias("rejected_gap"),
+        F.when(reject_ahead, F.col("ahead.location_name")).when(reject_prev, prev_name).alias("rejected_name"),
+    )
+
+
+def imputation_audit(imputed: DataFrame) -> DataFrame:
+    """One row per filled item: where its position came from and what was turned down."""
+    libraries = [c for c in imputed.columns if c not in _AUDIT_INTERNAL]
+    return imputed.where(F.col("source_file").isNotNull()).select(
+        *libraries,
+        base_name(F.col("source_file")).alias("source_name"),
+        clock_text(F.col("source_gap")).alias("source_gap_text"),
+        clock_text(F.col("rejected_gap")).alias("rejected_gap_text"),
+    )
+
+
+_AUDIT_INTERNAL = (BUCKET, "_library")
