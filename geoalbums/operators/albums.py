@@ -1,4 +1,4 @@
-"""Cutting a time-ordered library into albums, and naming them.
+"""Albums and their names, from items that have their album id.
 
 Items arrive bucketed (see `scan`). An album may span many buckets, so album figures are first
 gathered per (bucket, album) and names travel back on that key: no task gets a whole album.
@@ -11,18 +11,14 @@ from pyspark.sql import functions as F
 
 from geoalbums.config import AlbumConfig
 from geoalbums.functions.dates import expand_template, net_format
-from geoalbums.functions.geo import has_geo_both, haversine_km
-from geoalbums.functions.text import base_name, fixed2, format_list, trim_all
+from geoalbums.functions.text import format_list, trim_all
 from geoalbums.operators.joins import left_join_by_weight
-from geoalbums.operators.impute import ORDER, micros_between
 from geoalbums.operators.scan import (
     BUCKET,
-    bucketed,
+    POSITION,
     earlier_buckets,
-    first_row,
     in_bucket,
     join_carry,
-    last_row,
     library_keys,
     up_to_here,
 )
@@ -33,97 +29,6 @@ UNKNOWN_LOCATION = "Unknown Location"
 PLACES_PER_NAME = 4
 # --------------------
 
-_STEP = [*ORDER, "latitude", "longitude"]
-_MICROS_PER_HOUR = 3_600_000_000
-
-
-def step_columns(prev: Column, row: dict[str, Column], cfg: AlbumConfig) -> dict[str, Column]:
-    """Gap, distance and the two break rules for one item and the one before it."""
-    gap_hours = micros_between(prev["date_created"], row["date_created"]) / _MICROS_PER_HOUR
-    located = has_geo_both(prev["latitude"], prev["longitude"]) & has_geo_both(
-        row["latitude"], row["longitude"]
-    )
-    distance = F.when(
-        located,
-        haversine_km(row["latitude"], row["longitude"], prev["latitude"], prev["longitude"]),
-    )
-    false = F.lit(False)
-    time_break = F.coalesce(gap_hours >= cfg.time_hours, false) if cfg.time_hours > 0 else false
-    distance_break = F.coalesce(distance >= cfg.distance_km, false) if cfg.distance_km > 0 else false
-    return {
-        "gap_hours": gap_hours,
-        "distance_km": distance,
-        "time_break": time_break,
-        "distance_break": distance_break,
-    }
-
-
-def _row(prefix: str = "") -> dict[str, Column]:
-    return {name: F.col(prefix + name) for name in _STEP}
-
-
-def album_steps(items: DataFrame, cfg: AlbumConfig) -> DataFrame:
-    """Every bucketed item with its album id, its number in the library, and its step.
-
-    `gap_hours`, `distance_km`, `time_break`, `distance_break` and `prev_file` describe the step
-    from the previous item; an album id is one more than the breaks so far.
-    """
-    keys = library_keys(cfg.library_cols)
-    ordered = in_bucket(keys, ORDER)
-    local = items.withColumn("prev", F.lag(F.struct(*_STEP)).over(ordered))
-    local_step = step_columns(F.col("prev"), _row(), cfg)
-    breaks_inside = F.sum((local_step["time_break"] | local_step["distance_break"]).cast("bigint"))
-    summary = local.groupBy(BUCKET, *keys).agg(
-        first_row(_STEP, ORDER).alias("first_item"),
-        last_row(_STEP, ORDER).alias("last_item"),
-        breaks_inside.alias("inner_breaks"),
-        F.count("*").alias("rows"),
-    )
-    before = earlier_buckets(keys)
-    summary = summary.withColumn("carry_item", F.last("last_item", True).over(before))
-    edge = step_columns(F.col("carry_item"), _row("first_item."), cfg)
-    breaks = F.col("inner_breaks") + (edge["time_break"] | edge["distance_break"]).cast("bigint")
-    carry = materialize(
-        summary.withColumn("breaks", breaks).select(
-            BUCKET,
-            *keys,
-            "carry_item",
-            F.coalesce(F.sum("breaks").over(before), F.lit(0)).alias("carry_breaks"),
-            F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("carry_rows"),
-        ),
-        "album-carry",
-    )
-    df = join_carry(items, carry, keys).withColumn(
-        "prev", F.coalesce(F.lag(F.struct(*_STEP)).over(ordered), F.col("carry_item"))
-    )
-    for name, column in step_columns(F.col("prev"), _row(), cfg).items():
-        df = df.withColumn(name, column)
-    is_break = (F.col("time_break") | F.col("distance_break")).cast("bigint")
-    here = up_to_here(keys, ORDER)
-    return df.select(
-        *items.columns,
-        (F.col("carry_breaks") + F.sum(is_break).over(here) + 1).alias("album_id"),
-        (F.col("carry_rows") + F.row_number().over(ordered)).alias("item_no"),
-        F.col("prev.file_name").alias("prev_file"),
-        "gap_hours", "distance_km", "time_break", "distance_break",
-    )
-
-
-def album_breaks(steps: DataFrame) -> DataFrame:
-    """Audit of the cuts: between which files, by which rule, with the figures as text."""
-    reason = F.concat_ws(
-        " and ",
-        F.when(F.col("time_break"), F.concat(F.lit("time ("), fixed2(F.col("gap_hours")), F.lit(" hrs)"))),
-        F.when(F.col("distance_break"), F.concat(F.lit("distance ("), fixed2(F.col("distance_km")), F.lit(" km)"))),
-    )
-    return steps.where(F.col("time_break") | F.col("distance_break")).select(
-        *[c for c in steps.columns if c not in (BUCKET, "_library")],
-        base_name(F.col("prev_file")).alias("prev_name"),
-        base_name(F.col("file_name")).alias("curr_name"),
-        reason.alias("reason"),
-    )
-
-
 def album_pieces(steps: DataFrame, cfg: AlbumConfig) -> DataFrame:
     """Album figures per bucket; the windows before have already put these rows together."""
     return steps.groupBy(BUCKET, *library_keys(cfg.library_cols), "album_id").agg(
@@ -135,7 +40,9 @@ def album_pieces(steps: DataFrame, cfg: AlbumConfig) -> DataFrame:
 
 
 def album_figures(pieces: DataFrame, cfg: AlbumConfig) -> DataFrame:
+    """One row per album, with the bucket it begins in."""
     return pieces.groupBy(*library_keys(cfg.library_cols), "album_id").agg(
+        F.min(BUCKET).alias(BUCKET),
         F.min("first_date").alias("first_date"),
         F.max("last_date").alias("last_date"),
         F.sum("files").alias("files"),
@@ -151,10 +58,10 @@ def top_places(steps: DataFrame, cfg: AlbumConfig) -> DataFrame:
     """
     album = [*library_keys(cfg.library_cols), "album_id"]
     counts = (
-        steps.select(*album, "item_no", trim_all(F.col("location_name")).alias("place"))
+        steps.select(*album, POSITION, trim_all(F.col("location_name")).alias("place"))
         .where(F.col("place") != "")
         .groupBy(*album, "place")
-        .agg(F.count("*").alias("n"), F.min("item_no").alias("first_no"))
+        .agg(F.count("*").alias("n"), F.min(POSITION).alias("first_no"))
     )
     ranking = Window.partitionBy(*album).orderBy(F.col("n").desc(), F.col("first_no"))
     best = counts.withColumn("rank", F.row_number().over(ranking)).where(
@@ -245,33 +152,27 @@ def part_numbers(named: DataFrame, cfg: AlbumConfig) -> DataFrame:
     """Adds `part`: 1, 2, 3 … through neighbouring albums of one name; 1 again when it changes.
 
     Album ids count up by one, so a part is the distance to the last album whose name differs
-    from the one before it: a last-value scan over album ranges.
+    from the one before it: a last-value scan, over the buckets the albums begin in.
     """
     if not cfg.use_part_numbers:
         return named.withColumn("part", F.lit(0))
-    keys, order = library_keys(cfg.library_cols), ["album_id"]
-    albums = bucketed(
-        named if cfg.library_cols else named.drop("_library"), cfg.library_cols, order, cfg.scan_buckets
-    )
-    ordered, here = in_bucket(keys, order), up_to_here(keys, order)
-    local = albums.withColumn("prev_name", F.lag("album_name").over(ordered))
-    inner_change = F.when(F.col("prev_name") != F.col("album_name"), F.col("album_id"))
+    keys = library_keys(cfg.library_cols)
+    albums = materialize(named, "named-albums")
+    ordered, here = in_bucket(keys, "album_id"), up_to_here(keys, "album_id")
+    inner_change = F.when(F.lag("album_name").over(ordered) != F.col("album_name"), F.col("album_id"))
     before = earlier_buckets(keys)
-    summary = local.groupBy(BUCKET, *keys).agg(
+    summary = albums.withColumn("change", inner_change).groupBy(BUCKET, *keys).agg(
         F.min_by("album_name", "album_id").alias("first_name"),
         F.max_by("album_name", "album_id").alias("last_name"),
         F.min("album_id").alias("first_id"),
-        F.max(inner_change).alias("inner_change"),
+        F.max("change").alias("inner_change"),
     )
     summary = summary.withColumn("carry_name", F.last("last_name", True).over(before))
     edge_change = F.when(
         F.col("carry_name").isNull() | (F.col("carry_name") != F.col("first_name")), F.col("first_id")
     )
-    carry = materialize(
-        summary.withColumn("change", F.coalesce("inner_change", edge_change)).select(
-            BUCKET, *keys, "carry_name", F.max("change").over(before).alias("carry_change")
-        ),
-        "part-carry",
+    carry = summary.withColumn("change", F.coalesce("inner_change", edge_change)).select(
+        BUCKET, *keys, "carry_name", F.max("change").over(before).alias("carry_change")
     )
     df = join_carry(albums, carry, keys).withColumn(
         "prev_name", F.coalesce(F.lag("album_name").over(ordered), F.col("carry_name"))
@@ -281,7 +182,7 @@ def part_numbers(named: DataFrame, cfg: AlbumConfig) -> DataFrame:
     )
     start = F.coalesce(F.max(change).over(here), F.col("carry_change"))
     return df.withColumn("part", (F.col("album_id") - start + 1).cast("int")).select(
-        *[name for name in named.columns], "part"
+        *named.columns, "part"
     )
 
 

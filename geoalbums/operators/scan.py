@@ -4,9 +4,10 @@ An album run walks each library in time order. One library, or one instant in it
 large share of all rows, so a window over the library would end in a single task. Instead:
 
 1. `bucketed` range-partitions rows by the full order key (library, time, file name), which
-   splits hot libraries and hot instants alike, and writes the result with its bucket number.
-   Bucket bounds come from a sample, so they are fixed by that write and not worked out twice.
-2. Windows run inside (bucket, library).
+   splits hot libraries and hot instants alike, sorts each range, and writes the result with its
+   bucket number and each row's position in the order. Range bounds come from a sample, so they
+   are fixed by that write and never worked out twice.
+2. Windows run inside (bucket, library), ordered by that position: one whole number.
 3. What a bucket must know of its neighbours (the previous row, a running sum, the next
    positioned row) is worked out on one summary row per bucket and library, and joined back
    on the same keys the windows are partitioned by.
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from geoalbums.sources.shared import materialize
 
 BUCKET = "_bucket"
+POSITION = "_position"
 WHOLE = "_library"  # stands in where the caller names no library columns
 
 
@@ -37,49 +39,51 @@ def bucketed(
     order_cols: Sequence[str],
     num_buckets: int | None = None,
 ) -> DataFrame:
-    """Rows with their `_bucket`: ranges of (library, order) that follow each other.
+    """Rows with `_bucket`, ranges of (library, order) that follow each other, and `_position`.
 
-    Without `num_buckets` the session's shuffle partitions apply, merged by adaptive execution
-    where the data is small. Library columns must not be null; a null stops the run.
+    Positions rise with the order, within and across buckets, but not by one. Without
+    `num_buckets` the session's shuffle partitions apply, merged by adaptive execution where the
+    data is small. Library columns must not be null; a null stops the run.
     """
     if not library_cols:
         df = df.withColumn(WHOLE, F.lit(0))
     for name in library_cols:
-        df = df.withColumn(
-            name,
-            F.coalesce(F.col(name), F.raise_error(F.lit(f"library column {name} is null")).cast(df.schema[name].dataType)),
-        )
+        stop = F.raise_error(F.lit(f"library column {name} is null")).cast(df.schema[name].dataType)
+        df = df.withColumn(name, F.coalesce(F.col(name), stop))
     keys = [*library_keys(library_cols), *order_cols]
     ranged = (
         df.repartitionByRange(num_buckets, *keys) if num_buckets else df.repartitionByRange(*keys)
     )
-    return materialize(ranged.withColumn(BUCKET, F.spark_partition_id()), "ranges")
+    placed = ranged.sortWithinPartitions(*keys).select(
+        "*",
+        F.spark_partition_id().alias(BUCKET),
+        F.monotonically_increasing_id().alias(POSITION),
+    )
+    return materialize(placed, "ranges")
 
 
-def in_bucket(keys: Sequence[str], order_cols: Sequence[str]) -> WindowSpec:
-    return Window.partitionBy(BUCKET, *keys).orderBy(*order_cols)
+def in_bucket(keys: Sequence[str], order: str = POSITION) -> WindowSpec:
+    return Window.partitionBy(BUCKET, *keys).orderBy(order)
 
 
-def up_to_here(keys: Sequence[str], order_cols: Sequence[str]) -> WindowSpec:
-    return in_bucket(keys, order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def up_to_here(keys: Sequence[str], order: str = POSITION) -> WindowSpec:
+    return in_bucket(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def from_the_end(keys: Sequence[str], order_cols: Sequence[str]) -> WindowSpec:
+def from_the_end(keys: Sequence[str]) -> WindowSpec:
     """Rows after the current one, as a growing frame over the reversed order.
 
     A frame that shrinks towards the end would be re-read for every row.
     """
     return (
         Window.partitionBy(BUCKET, *keys)
-        .orderBy(*[F.col(name).desc() for name in order_cols])
+        .orderBy(F.col(POSITION).desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
 
 
 def earlier_buckets(keys: Sequence[str]) -> WindowSpec:
-    return (
-        Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    return Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def later_buckets(keys: Sequence[str]) -> WindowSpec:
@@ -90,16 +94,14 @@ def later_buckets(keys: Sequence[str]) -> WindowSpec:
     )
 
 
-def last_row(columns: Sequence[str], order_cols: Sequence[str], where: Column | None = None) -> Column:
-    """Aggregate: the named columns of the last row (that satisfies `where`)."""
-    row = F.struct(*columns)
-    order = F.struct(*order_cols)
+def last_row(row: Column, where: Column | None = None) -> Column:
+    """Aggregate: `row` of the last item (that satisfies `where`)."""
+    order = F.col(POSITION)
     return F.max_by(row, order if where is None else F.when(where, order))
 
 
-def first_row(columns: Sequence[str], order_cols: Sequence[str], where: Column | None = None) -> Column:
-    row = F.struct(*columns)
-    order = F.struct(*order_cols)
+def first_row(row: Column, where: Column | None = None) -> Column:
+    order = F.col(POSITION)
     return F.min_by(row, order if where is None else F.when(where, order))
 
 
@@ -112,6 +114,11 @@ def join_carry(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFram
     return df.join(carry, [BUCKET, *keys], "left")
 
 
+def carried_sum(keys: Sequence[str], column: str, name: str) -> Column:
+    """Sum of a summary column over all earlier buckets."""
+    return F.coalesce(F.sum(column).over(earlier_buckets(keys)), F.lit(0)).alias(name)
+
+
 def ranked(
     df: DataFrame,
     group_cols: Sequence[str],
@@ -120,17 +127,9 @@ def ranked(
 ) -> DataFrame:
     """Adds `rank` (1, 2, 3 …) within each group; a group of any size is spread over buckets."""
     ranges = bucketed(df, group_cols, order_cols, num_buckets)
-    carry = materialize(
-        ranges.groupBy(BUCKET, *group_cols)
-        .agg(F.count("*").alias("rows"))
-        .select(
-            BUCKET,
-            *group_cols,
-            F.coalesce(F.sum("rows").over(earlier_buckets(group_cols)), F.lit(0)).alias("carry_rows"),
-        ),
-        "rank-carry",
-    )
-    position = F.row_number().over(in_bucket(group_cols, order_cols))
+    summary = ranges.groupBy(BUCKET, *group_cols).agg(F.count("*").alias("rows"))
+    carry = summary.select(BUCKET, *group_cols, carried_sum(group_cols, "rows", "carry_rows"))
+    position = F.row_number().over(in_bucket(group_cols))
     return join_carry(ranges, carry, group_cols).select(
         *df.columns, (F.col("carry_rows") + position).alias("rank")
     )

@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 
 from geoalbums.config import AlbumConfig
 from geoalbums.operators.albums import (
-    album_breaks,
     album_figures,
     album_pieces,
-    album_steps,
     avoid_existing,
     base_names,
     name_items,
@@ -21,9 +19,9 @@ from geoalbums.operators.albums import (
     with_part_suffix,
 )
 from geoalbums.operators.filters import date_window, is_media
-from geoalbums.operators.impute import ORDER, impute_locations, imputation_audit
 from geoalbums.operators.places import enrich, load_gazetteer
-from geoalbums.operators.scan import BUCKET, WHOLE, bucketed
+from geoalbums.operators.scan import BUCKET, POSITION, WHOLE, bucketed
+from geoalbums.operators.walk import ORDER, album_breaks, imputation_audit, walk, with_album_ids
 from geoalbums.sources.shared import materialize
 
 
@@ -51,7 +49,8 @@ def prepare(media: DataFrame, cfg: AlbumConfig, state: DataFrame | None = None)
 
 
 def public(df: DataFrame) -> DataFrame:
-    return df.drop(BUCKET, WHOLE)
+    """Without the columns of the physical layout; an item's number is its place in the order."""
+    return df.withColumnRenamed(POSITION, "item_no").drop(BUCKET, WHOLE)
 
 
 def name_albums(
@@ -66,7 +65,7 @@ def name_albums(
         album_figures(pieces, cfg), top_places(steps, cfg) if with_places else None, cfg
     )
     if cfg.avoid_existing and existing_folders is not None:
-        named = avoid_existing(materialize(named, "named-albums"), existing_folders, cfg)
+        named = avoid_existing(materialize(named, "wished-names"), existing_folders, cfg)
     albums = with_part_suffix(part_numbers(named, cfg))
     if not cfg.use_part_numbers:
         albums = materialize(albums, "albums")
@@ -93,12 +92,10 @@ def build_albums(
         kept, total, count = load_gazetteer(places, ready, cfg)
         ready = enrich(ready, kept, cfg)
     items = bucketed(ready, cfg.library_cols, ORDER, cfg.scan_buckets)
-    imputed = impute_locations(items, cfg)
-    if cfg.distance_km > 0:
-        imputed = materialize(imputed, "imputed")
-    steps = materialize(album_steps(imputed, cfg), "steps")
+    walked = materialize(walk(items, cfg), "walked")
+    steps = with_album_ids(walked, cfg)
     named, albums = name_albums(steps, cfg, places is not None, existing_folders)
     return AlbumRun(
-        public(named), public(albums), public(album_breaks(steps)), public(imputation_audit(imputed)),
+        public(named), public(albums), public(album_breaks(steps)), public(imputation_audit(walked)),
         total, count,
     )

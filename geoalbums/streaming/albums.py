@@ -16,16 +16,15 @@ from geoalbums.config import AlbumConfig
 from geoalbums.operators.albums import (
     album_figures,
     album_pieces,
-    album_steps,
     base_names,
     name_items,
     part_numbers,
     top_places,
     with_part_suffix,
 )
-from geoalbums.operators.impute import ORDER, impute_locations
 from geoalbums.operators.places import enrich
 from geoalbums.operators.scan import bucketed, library_keys
+from geoalbums.operators.walk import ORDER, walk, with_album_ids
 from geoalbums.plans.grouping import prepare
 from geoalbums.sources.shared import materialize
 
@@ -104,13 +103,14 @@ class AlbumStream:
             *ranges.columns, F.col("latitude").alias("own_lat"), F.col("longitude").alias("own_lon"),
             F.col("location_name").alias("own_name"),
         )
-        filled = materialize(impute_locations(original, cfg), "stream-imputed")
-        steps = album_steps(filled.drop("album_id"), cfg)
+        walked = materialize(
+            walk(original.drop("album_id", "album_name", "part"), cfg), "stream-walked"
+        )
+        steps = with_album_ids(walked, cfg)
         base = ranges.where(F.col("role") == "closed").select(
             *keys, F.col("album_id").alias("base_id"), F.col("album_name").alias("base_last_name"),
             F.col("part").alias("base_part"),
         )
-        steps = materialize(steps.drop("album_name", "part"), "stream-steps")
         # A library's first album in the tail is the closed one, if there is one.
         offsets = steps.groupBy(*keys).agg(F.max("newest").alias("latest")).join(base, keys, "left")
         offsets = materialize(
