@@ -32,6 +32,12 @@ def _as_ntz(text: Column) -> Column:
     return text.try_cast("timestamp_ntz")
 
 
+def micros(date: Column) -> Column:
+    """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    since = date - _as_ntz(F.lit("1970-01-01"))
+    return (since.cast("decimal(20,6)") * 1_000_000).cast("bigint")
+
+
 def parse_iso8601_col(text: Column) -> Column:
     """The five exact layouts (date, date + HH:mm[:ss] after a blank or `T`), else null."""
     return F.when(text.rlike(ISO_LAYOUTS), _as_ntz(text))

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoalbums.config import AlbumConfig
+from geoalbums.functions.dates import micros
 from geoalbums.functions.geo import has_geo_any, has_geo_both, haversine_km
 from geoalbums.functions.text import base_name, clock_text, fixed2
 from geoalbums.operators.scan import (
@@ -59,17 +60,14 @@ _PLACE = ["latitude", "longitude", "location_name"]
 _INTERNAL = (BUCKET, WHOLE, POSITION, "local_breaks")
 
 
-def micros_between(earlier: Column, later: Column) -> Column:
-    """Whole microseconds; exact for timestamps without zone in any session zone."""
-    return F.timestamp_diff("MICROSECOND", earlier, later)
-
-
 def _positioned() -> Column:
     return has_geo_any(F.col("latitude"), F.col("longitude"))
 
 
 def _row() -> Column:
-    return F.struct(*ORDER, *_PLACE, _positioned().alias("positioned"))
+    """What an item passes on to others; `at` is its time in microseconds."""
+    at = micros(F.col("date_created")).alias("at")
+    return F.struct(at, "file_name", *_PLACE, _positioned().alias("positioned"))
 
 
 def _flag(condition: Column) -> Column:
@@ -92,7 +90,7 @@ def _neighbours(items: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.last("last_fix", True).over(before).alias("carry_back"),
         F.last("first_fix", True).over(after).alias("carry_ahead"),
         "last_fix_at",
-        F.col("last_fix.date_created").alias("last_fix_date"),
+        F.col("last_fix.at").alias("last_fix_time"),
     )
 
 
@@ -109,13 +107,16 @@ def _chains(items: DataFrame, around: DataFrame, keys: Sequence[str], limit: int
     tail = join_carry(items.select(BUCKET, POSITION, *keys, "date_created"), around, keys).where(
         F.col("last_fix_at").isNull() | (F.col(POSITION) > F.col("last_fix_at"))
     )
-    previous = F.coalesce(
-        F.lag("date_created").over(in_bucket(keys)), F.col("last_fix_date"), F.col("carry_item.date_created")
+    tail = tail.withColumn("at", micros(F.col("date_created")))
+    tail = tail.withColumn("previous", F.lag("at").over(in_bucket(keys)))
+    tail = tail.withColumns(
+        {
+            "gap": F.col("at") - F.coalesce("previous", "last_fix_time", "carry_item.at"),
+            "until": F.col("carry_ahead.at") - F.col("at"),
+        }
     )
-    gap = micros_between(previous, F.col("date_created"))
-    until = micros_between(F.col("date_created"), F.col("carry_ahead.date_created"))
     broken = (
-        tail.withColumn("broken", _chain_broken(gap, until, limit))
+        tail.withColumn("broken", _chain_broken(F.col("gap"), F.col("until"), limit))
         .groupBy(BUCKET, *keys)
         .agg(F.max("broken").alias("broken"))
     )
@@ -130,73 +131,99 @@ def _chains(items: DataFrame, around: DataFrame, keys: Sequence[str], limit: int
 
 
 def _filled(items: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Items with positions filled, audit columns, and `prev`: the previous item as filled."""
+    """Items with positions filled, audit columns, and `prev`: the previous item as filled.
+
+    Every intermediate value gets its own column once, so that it is worked out once.
+    """
     around = materialize(_neighbours(items, keys), "neighbours")
     chains = _chains(items, around, keys, limit)
-    carry = around.drop("last_fix_at", "last_fix_date").join(chains, [BUCKET, *keys])
+    carry = around.drop("last_fix_at", "last_fix_time").join(chains, [BUCKET, *keys])
     ordered, here = in_bucket(keys), up_to_here(keys)
-    fix = F.when(_positioned(), _row())
+    c = F.col
 
-    df = join_carry(items, carry, keys)
-    df = df.withColumn("ahead", F.coalesce(F.last(fix, True).over(from_the_end(keys)), F.col("carry_ahead")))
+    df = join_carry(items.withColumn("row", _row()), carry, keys)
+    df = df.withColumn("fix", F.when(c("row.positioned"), c("row")))
+    df = df.withColumn("next_fix", F.last("fix", True).over(from_the_end(keys)))
+    df = df.withColumns({"prev_row": F.lag("row").over(ordered), "back": F.last("fix", True).over(here)})
     df = df.withColumns(
         {
-            "prev": F.coalesce(F.lag(_row()).over(ordered), F.col("carry_item")),
-            "back": F.coalesce(F.last(fix, True).over(here), F.col("carry_back")),
+            "edge": c("prev_row").isNull(),
+            "prev_row": F.coalesce("prev_row", "carry_item"),
+            "back": F.coalesce("back", "carry_back"),
+            "next_fix": F.coalesce("next_fix", "carry_ahead"),
         }
     )
     df = df.withColumns(
         {
-            "gap": micros_between(F.col("prev.date_created"), F.col("date_created")),
-            "until": micros_between(F.col("date_created"), F.col("ahead.date_created")),
+            "gap": c("row.at") - c("prev_row.at"),
+            "until": c("next_fix.at") - c("row.at"),
         }
     )
-    gap, until = F.col("gap"), F.col("until")
-    chain = F.when(_positioned(), F.lit(True)).when(_chain_broken(gap, until, limit), F.lit(False))
-    df = df.withColumn("chain", chain)
-    df = df.withColumn("holds", _flag(F.coalesce(F.last("chain", True).over(here), F.col("carry_chain"))))
-
-    missing, reachable = ~_positioned(), _flag(until <= limit)
-    taken = F.when(missing & F.col("holds"), F.col("back")).when(missing & reachable, F.col("ahead"))
-    place = F.struct(*[F.coalesce(taken[name], F.col(name)).alias(name) for name in _PLACE[:2]],
-                     F.when(taken.isNotNull(), taken["location_name"]).otherwise(F.col("location_name")).alias("location_name"))
-    df = df.withColumn("place", place)
-    df = df.withColumn("before", F.lag(F.struct("holds", "place")).over(ordered))
-
+    df = df.withColumn(
+        "chain",
+        F.when(c("row.positioned"), F.lit(True)).when(_chain_broken(c("gap"), c("until"), limit), F.lit(False)),
+    )
+    df = df.withColumn("holds", F.last("chain", True).over(here))
+    df = df.withColumn("holds", _flag(F.coalesce("holds", "carry_chain")))
+    df = df.withColumns(
+        {
+            "from_back": ~c("row.positioned") & c("holds"),
+            "from_next": ~c("row.positioned") & ~c("holds") & _flag(c("until") <= limit),
+        }
+    )
+    df = df.withColumn("taken", F.when(c("from_back"), c("back")).when(c("from_next"), c("next_fix")).otherwise(c("row")))
+    df = df.withColumns(
+        {"prev_holds": F.lag("holds").over(ordered), "prev_place": F.lag("taken").over(ordered)}
+    )
     # The previous item has a position if it came with one, if its own chain held, or if the
-    # next positioned item was in its reach.
-    prev_known = F.col("prev.file_name").isNotNull()
-    prev_holds = prev_known & _flag(F.coalesce(F.col("before.holds"), F.col("carry_chain")))
-    next_fix = F.when(_positioned(), _row()).otherwise(F.col("ahead"))
-    prev_from_next = prev_known & ~prev_holds & _flag(
-        micros_between(F.col("prev.date_created"), next_fix["date_created"]) <= limit
+    # next positioned item (this one, perhaps) was in its reach.
+    df = df.withColumns(
+        {
+            "prev_holds": c("prev_row").isNotNull() & _flag(F.coalesce("prev_holds", "carry_chain")),
+            "after_prev": F.when(c("row.positioned"), c("row")).otherwise(c("next_fix")),
+        }
+    )
+    df = df.withColumn(
+        "prev_from_next",
+        c("prev_row").isNotNull()
+        & ~c("prev_holds")
+        & _flag(c("after_prev.at") - c("prev_row.at") <= limit),
     )
     # across a bucket's edge, the place the previous item ended up with
-    carried_place = (
-        F.when(F.col("carry_item.positioned"), F.col("carry_item"))
-        .when(_flag(F.col("carry_chain")), F.col("carry_back"))
-        .when(prev_from_next, next_fix)
-        .otherwise(F.col("carry_item"))
+    edge_place = (
+        F.when(c("carry_item.positioned"), c("carry_item"))
+        .when(c("prev_holds"), c("carry_back"))
+        .when(c("prev_from_next"), c("after_prev"))
+        .otherwise(c("carry_item"))
+    )
+    df = df.withColumns(
+        {
+            "prev_place": F.when(c("edge"), edge_place).otherwise(c("prev_place")),
+            "behind": _flag(c("gap") <= limit) & (c("prev_holds") | c("prev_from_next")),
+        }
     )
-    prev_place = F.coalesce(
-        F.col("before.place"), F.struct(*[carried_place[name].alias(name) for name in _PLACE])
+    via_prev = c("from_back") | (
+        c("from_next") & c("behind") & c("prev_from_next") & (c("gap") <= c("until"))
+    )
+    df = df.withColumn("via_prev", via_prev).withColumn("via_next", c("from_next") & ~c("via_prev"))
+    df = df.withColumns(
+        {
+            "turned_next": c("via_prev") & _flag(c("until") <= limit),
+            "turned_prev": c("via_next") & c("behind"),
+        }
     )
-
-    from_back = missing & F.col("holds")
-    from_ahead = missing & ~F.col("holds") & reachable
-    behind = _flag(gap <= limit) & (prev_holds | prev_from_next)
-    via_prev = from_back | (from_ahead & behind & prev_from_next & (gap <= until))
-    via_ahead = from_ahead & ~via_prev
-    turned_ahead, turned_prev = via_prev & reachable, via_ahead & behind
     return df.select(
-        *[F.col(f"place.{name}").alias(name) if name in _PLACE else F.col(name) for name in items.columns],
-        F.when(via_prev, F.col("prev.file_name")).when(via_ahead, F.col("ahead.file_name")).alias("source_file"),
-        F.when(via_prev, gap).when(via_ahead, until).alias("source_gap"),
-        F.when(turned_ahead, F.col("ahead.file_name")).when(turned_prev, F.col("prev.file_name")).alias("rejected_file"),
-        F.when(turned_ahead, until).when(turned_prev, gap).alias("rejected_gap"),
-        F.when(turned_ahead, F.col("ahead.location_name")).when(turned_prev, prev_place["location_name"]).alias("rejected_name"),
-        F.struct("prev.date_created", "prev.file_name", prev_place["latitude"].alias("latitude"),
-                 prev_place["longitude"].alias("longitude")).alias("prev"),
+        *[c(f"taken.{name}").alias(name) if name in _PLACE else c(name) for name in items.columns],
+        F.when(c("via_prev"), c("prev_row.file_name")).when(c("via_next"), c("next_fix.file_name")).alias("source_file"),
+        F.when(c("via_prev"), c("gap")).when(c("via_next"), c("until")).alias("source_gap"),
+        F.when(c("turned_next"), c("next_fix.file_name")).when(c("turned_prev"), c("prev_row.file_name")).alias("rejected_file"),
+        F.when(c("turned_next"), c("until")).when(c("turned_prev"), c("gap")).alias("rejected_gap"),
+        F.when(c("turned_next"), c("next_fix.location_name"))
+        .when(c("turned_prev"), c("prev_place.location_name")).alias("rejected_name"),
+        c("gap"),
+        c("prev_row.file_name").alias("prev_file"),
+        c("prev_place.latitude").alias("prev_lat"),
+        c("prev_place.longitude").alias("prev_lon"),
     )
 
 
@@ -206,26 +233,32 @@ def _unfilled(items: DataFrame, keys: Sequence[str]) -> DataFrame:
     carry = summary.select(
         BUCKET, *keys, F.last("last_item", True).over(earlier_buckets(keys)).alias("carry_item")
     )
-    return join_carry(items, carry, keys).select(
+    df = join_carry(items.withColumn("row", _row()), carry, keys)
+    df = df.withColumn("prev", F.lag("row").over(in_bucket(keys)))
+    return df.withColumn("prev", F.coalesce("prev", "carry_item")).select(
         *items.columns,
         *[F.lit(None).cast(kind).alias(name) for name, kind in AUDIT.items()],
-        F.coalesce(F.lag(_row()).over(in_bucket(keys)), F.col("carry_item")).alias("prev"),
+        (F.col("row.at") - F.col("prev.at")).alias("gap"),
+        F.col("prev.file_name").alias("prev_file"),
+        F.col("prev.latitude").alias("prev_lat"),
+        F.col("prev.longitude").alias("prev_lon"),
     )
 
 
-def step_columns(prev: Column, cfg: AlbumConfig) -> dict[str, Column]:
-    """Gap, distance and the two break rules for an item and the one before it."""
-    lat, lon = F.col("latitude"), F.col("longitude")
-    gap_hours = micros_between(prev["date_created"], F.col("date_created")) / _MICROS_PER_HOUR
-    located = has_geo_both(prev["latitude"], prev["longitude"]) & has_geo_both(lat, lon)
-    distance = F.when(located, haversine_km(lat, lon, prev["latitude"], prev["longitude"]))
+def with_step(df: DataFrame, cfg: AlbumConfig) -> DataFrame:
+    """Gap, distance and the two break rules, from `gap` (micros) and the previous position."""
+    lat, lon, prev_lat, prev_lon = (F.col(name) for name in ("latitude", "longitude", "prev_lat", "prev_lon"))
+    located = has_geo_both(prev_lat, prev_lon) & has_geo_both(lat, lon)
+    df = df.withColumns(
+        {
+            "gap_hours": F.col("gap") / _MICROS_PER_HOUR,
+            "distance_km": F.when(located, haversine_km(lat, lon, prev_lat, prev_lon)),
+        }
+    )
     never = F.lit(False)
-    return {
-        "gap_hours": gap_hours,
-        "distance_km": distance,
-        "time_break": _flag(gap_hours >= cfg.time_hours) if cfg.time_hours > 0 else never,
-        "distance_break": _flag(distance >= cfg.distance_km) if cfg.distance_km > 0 else never,
-    }
+    by_time = _flag(F.col("gap_hours") >= cfg.time_hours) if cfg.time_hours > 0 else never
+    by_distance = _flag(F.col("distance_km") >= cfg.distance_km) if cfg.distance_km > 0 else never
+    return df.withColumns({"time_break": by_time, "distance_break": by_distance})
 
 
 def walk(items: DataFrame, cfg: AlbumConfig) -> DataFrame:
@@ -238,12 +271,10 @@ def walk(items: DataFrame, cfg: AlbumConfig) -> DataFrame:
     """
     keys = library_keys(cfg.library_cols)
     df = _filled(items, keys, cfg.time_micros) if cfg.distance_km > 0 else _unfilled(items, keys)
-    for name, column in step_columns(F.col("prev"), cfg).items():
-        df = df.withColumn(name, column)
     is_break = (F.col("time_break") | F.col("distance_break")).cast("bigint")
-    walked = df.withColumn("local_breaks", F.sum(is_break).over(up_to_here(keys)))
+    walked = with_step(df, cfg).withColumn("local_breaks", F.sum(is_break).over(up_to_here(keys)))
     return walked.select(
-        *items.columns, *AUDIT, F.col("prev.file_name").alias("prev_file"),
+        *items.columns, *AUDIT, "prev_file",
         "gap_hours", "distance_km", "time_break", "distance_break", "local_breaks",
     )
 

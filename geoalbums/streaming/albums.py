@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoalbums.config import AlbumConfig
+from geoalbums.functions.dates import micros
 from geoalbums.operators.albums import (
     album_figures,
     album_pieces,
@@ -137,7 +138,7 @@ class AlbumStream:
                 .otherwise(F.col("part")).cast("int"),
             )
         hold = max(cfg.time_micros, int(self.hold_hours * 3_600_000_000))
-        idle = F.timestamp_diff("MICROSECOND", F.col("last_date"), F.col("latest"))
+        idle = micros(F.col("latest")) - micros(F.col("last_date"))
         albums = materialize(
             with_part_suffix(albums.withColumn("closes", idle > hold)), "stream-albums"
         )
