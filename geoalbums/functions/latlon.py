@@ -1,8 +1,8 @@
-"""Latitude / longitude out of free text, as column expressions."""
+"""Latitude / longitude out of free text, with built-in expressions only."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: the four notations, tried in this order -------------------------------
@@ -15,6 +15,9 @@ DEGREES_MINUTES_SECONDS = (
 # -----------------------------------------------------------------------------------------
 
 
+_HEMISPHERES = (("ns", ("N", "S")), ("ew", ("E", "W")))
+
+
 def _number(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(text, pattern, group).try_cast("double")
 
@@ -23,40 +26,51 @@ def _signed(value: Column, hemisphere: Column) -> Column:
     return F.when(F.upper(hemisphere).isin("S", "W"), -value).otherwise(value)
 
 
-def _pair(lat: Column, lon: Column) -> Column:
-    return F.when(
-        lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon"))
-    )
-
-
-def _last_axis(text: Column, pattern: str, letters: str, scales: tuple[float, ...]) -> Column:
-    """The last match on one axis: degrees plus the scaled smaller units, signed."""
+def _last_hit(text: Column, pattern: str, letters: tuple[str, str]) -> Column:
+    """The last match that ends in one of the letters."""
     hits = F.filter(
         F.regexp_extract_all(text, F.lit(pattern), 0),
         lambda hit: F.upper(F.right(hit, F.lit(1))).isin(*letters),
     )
-    hit = F.try_element_at(hits, F.lit(-1))
+    return F.try_element_at(hits, F.lit(-1))
+
+
+def _units(hit: Column, pattern: str, scales: tuple[float, ...]) -> Column:
+    """Degrees plus the scaled smaller units of one match, signed by its hemisphere."""
     value = _number(hit, pattern, 1)
     for group, scale in enumerate(scales, start=2):
         value = value + _number(hit, pattern, group) / scale
     return _signed(value, F.right(hit, F.lit(1)))
 
 
-def parse_latlon(text: Column) -> Column:
-    """struct(lat, lon) of the first notation found in the text, else null; not range-checked."""
+def with_latlon(df: DataFrame, text: str) -> DataFrame:
+    """Adds `lat`, `lon`: the first notation found in the text column, else null; not range-checked.
+
+    Worked out in stages, so that every match is made once per row.
+    """
     clean = F.regexp_replace(F.regexp_replace(text, r"(?U)\A\s+|\s+\z", ""), "[°º]", " deg ")
-    clean = F.replace(clean, F.lit("  "), F.lit(" "))
-    iso = _pair(_number(clean, ISO_6709, 1), _number(clean, ISO_6709, 2))
-    hemisphere = _pair(
-        _signed(_number(clean, DECIMAL_HEMISPHERE, 1), F.regexp_extract(clean, DECIMAL_HEMISPHERE, 2)),
-        _signed(_number(clean, DECIMAL_HEMISPHERE, 3), F.regexp_extract(clean, DECIMAL_HEMISPHERE, 4)),
-    )
-    minutes = _pair(
-        _last_axis(clean, DEGREES_MINUTES, "NS", (60.0,)),
-        _last_axis(clean, DEGREES_MINUTES, "EW", (60.0,)),
-    )
-    seconds = _pair(
-        _last_axis(clean, DEGREES_MINUTES_SECONDS, "NS", (60.0, 3600.0)),
-        _last_axis(clean, DEGREES_MINUTES_SECONDS, "EW", (60.0, 3600.0)),
-    )
-    return F.coalesce(iso, hemisphere, minutes, seconds)
+    staged = df.withColumn("_clean", F.replace(clean, F.lit("  "), F.lit(" ")))
+    clean = F.col("_clean")
+    columns = {
+        "_iso_ns": _number(clean, ISO_6709, 1),
+        "_iso_ew": _number(clean, ISO_6709, 2),
+        "_dec_ns": _signed(_number(clean, DECIMAL_HEMISPHERE, 1), F.regexp_extract(clean, DECIMAL_HEMISPHERE, 2)),
+        "_dec_ew": _signed(_number(clean, DECIMAL_HEMISPHERE, 3), F.regexp_extract(clean, DECIMAL_HEMISPHERE, 4)),
+    }
+    hits, units = {}, {}
+    for name, pattern, scales in (
+        ("_min", DEGREES_MINUTES, (60.0,)), ("_sec", DEGREES_MINUTES_SECONDS, (60.0, 3600.0)),
+    ):
+        for axis, letters in _HEMISPHERES:
+            hits[f"{name}_hit_{axis}"] = _last_hit(clean, pattern, letters)
+            units[f"{name}_{axis}"] = _units(F.col(f"{name}_hit_{axis}"), pattern, scales)
+    staged = staged.withColumns({**columns, **hits}).withColumns(units)
+
+    def first_pair(axis: str) -> Column:
+        pairs = [
+            F.when(F.col(f"{name}_ns").isNotNull() & F.col(f"{name}_ew").isNotNull(), F.col(f"{name}_{axis}"))
+            for name in ("_iso", "_dec", "_min", "_sec")
+        ]
+        return F.coalesce(*pairs).alias("lat" if axis == "ns" else "lon")
+
+    return staged.select(*df.columns, first_pair("ns"), first_pair("ew"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from geoalbums.functions.dates import parse_tag_date
 from geoalbums.functions.geo import is_valid_position
-from geoalbums.functions.latlon import parse_latlon
+from geoalbums.functions.latlon import with_latlon
 from geoalbums.functions.text import is_blank
 
 # --- fixed values: directory and tag names, in order of precedence ---
@@ -70,18 +70,12 @@ def tag_locations(tags: DataFrame, files: DataFrame) -> DataFrame:
     """latitude, longitude for every file of `files`; (0, 0) where no tag gives a valid one.
 
     EXIF position, XMP pair, XMP combined position, then the first tag in file order that
-    parses to a valid position.
+    parses to a valid position. Every candidate is a row with its precedence; the least valid
+    one of a file counts.
     """
-    parsed = parse_latlon(F.col("value"))
-    point = F.when(~is_blank(F.col("value")), parsed)
-    valid = is_valid_position(F.col("point.lat"), F.col("point.lon"))
-    walked = F.min(
-        F.when(valid, F.struct("dir_ord", "tag_ord", F.col("point.lat"), F.col("point.lon")))
-    )
     lat_tag, lon_tag = GPS_TAGS
     xmp_lat, xmp_lon, xmp_position = XMP_TAGS
-    found = tags.withColumn("point", point).groupBy("file_name").agg(
-        walked.alias("walked"),
+    known = tags.where(F.col("directory").isin(GPS_DIRECTORY, XMP_DIRECTORY)).groupBy("file_name").agg(
         _first_directory(GPS_DIRECTORY).alias("gps"),
         _first_value(GPS_DIRECTORY, lat_tag).alias("gps_lat"),
         _first_value(GPS_DIRECTORY, lon_tag).alias("gps_lon"),
@@ -90,24 +84,31 @@ def tag_locations(tags: DataFrame, files: DataFrame) -> DataFrame:
         _first_value(XMP_DIRECTORY, xmp_lon).alias("xmp_lon"),
         _first_value(XMP_DIRECTORY, xmp_position).alias("xmp_position"),
     )
-    lat_text, lon_text = _in_first("xmp_lat", "xmp"), _in_first("xmp_lon", "xmp")
-    pair_text = F.when(
-        ~is_blank(lat_text) & ~is_blank(lon_text), F.concat(lat_text, F.lit(", "), lon_text)
+    known = known.select(
+        "file_name",
+        _in_first("gps_lat", "gps").try_cast("double").alias("lat"),
+        _in_first("gps_lon", "gps").try_cast("double").alias("lon"),
+        _in_first("xmp_lat", "xmp").alias("lat_text"),
+        _in_first("xmp_lon", "xmp").alias("lon_text"),
+        _in_first("xmp_position", "xmp").alias("position"),
     )
-    candidates = [
-        F.struct(
-            _in_first("gps_lat", "gps").try_cast("double").alias("lat"),
-            _in_first("gps_lon", "gps").try_cast("double").alias("lon"),
-        ),
-        parse_latlon(pair_text),
-        parse_latlon(_in_first("xmp_position", "xmp")),
-        F.struct(F.col("walked.lat"), F.col("walked.lon")),
-    ]
-    chosen = F.coalesce(
-        *[F.when(is_valid_position(point["lat"], point["lon"]), point) for point in candidates]
+    pair = F.when(
+        ~is_blank(F.col("lat_text")) & ~is_blank(F.col("lon_text")),
+        F.concat("lat_text", F.lit(", "), "lon_text"),
+    )
+    order = [F.lit(0).alias("dir_ord"), F.lit(0).alias("tag_ord")]
+    exif = known.select("file_name", F.lit(0).alias("rank"), *order, "lat", "lon")
+    xmp = known.select("file_name", F.posexplode(F.array(pair, "position")).alias("at", "value")).select(
+        "file_name", (F.col("at") + 1).alias("rank"), *order, "value"
+    )
+    walked = tags.select("file_name", F.lit(3).alias("rank"), "dir_ord", "tag_ord", "value")
+    texts = xmp.unionByName(walked).where(~is_blank(F.col("value")))
+    parsed = with_latlon(texts, "value").drop("value")
+    candidates = exif.unionByName(parsed).where(is_valid_position(F.col("lat"), F.col("lon")))
+    chosen = candidates.groupBy("file_name").agg(
+        F.min(F.struct("rank", "dir_ord", "tag_ord", "lat", "lon")).alias("point")
     )
-    located = found.select("file_name", chosen.alias("point"))
-    return files.join(located, "file_name", "left").select(
+    return files.join(chosen, "file_name", "left").select(
         *files.columns,
         F.coalesce("point.lat", F.lit(0.0)).alias("latitude"),
         F.coalesce("point.lon", F.lit(0.0)).alias("longitude"),

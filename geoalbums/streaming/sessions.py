@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoalbums.config import AlbumConfig
+from geoalbums.functions.dates import micros
 
 
 def session_albums(stream: DataFrame, cfg: AlbumConfig, watermark: str = "0 seconds") -> DataFrame:
@@ -18,9 +19,12 @@ def session_albums(stream: DataFrame, cfg: AlbumConfig, watermark: str = "0 seco
     gap = cfg.time_micros - 1
     if gap <= 0:
         raise ValueError("session albums need a time threshold")
-    window = F.session_window("date_created", f"{gap} microseconds")
+    # Watermarks need an instant: the date read as UTC, so that no zone's clock change counts.
+    instant = F.timestamp_micros(micros(F.col("date_created")))
+    window = F.session_window("instant", f"{gap} microseconds")
     albums = (
-        stream.withWatermark("date_created", watermark)
+        stream.withColumn("instant", instant)
+        .withWatermark("instant", watermark)
         .groupBy(*cfg.library_cols, window)
         .agg(
             F.min("date_created").alias("first_date"),
