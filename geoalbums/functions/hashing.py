@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -15,40 +17,52 @@ CRC64_PREFIX_BYTES = 64 * 1024
 # ------------------------------------------------------------------------
 
 _ALL_ONES = 0xFFFFFFFFFFFFFFFF
-# Below this many blobs still being read, a plain loop beats an array operation per byte.
-_NARROW = 48
+_LANE = 1024  # bytes checked side by side, one array step per byte position
 
 
-def _crc64_table() -> list[int]:
-    entries = np.arange(256, dtype=np.uint64)
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """(effect of one byte, effect of a lane of zero bytes on each of the eight state bytes)."""
+    byte = np.arange(256, dtype=np.uint64)
     for _ in range(8):
-        odd = (entries & np.uint64(1)).astype(bool)
-        entries = (entries >> np.uint64(1)) ^ np.where(odd, np.uint64(CRC64_POLYNOMIAL), np.uint64(0))
-    return entries.tolist()
+        odd = (byte & np.uint64(1)).astype(bool)
+        byte = (byte >> np.uint64(1)) ^ np.where(odd, np.uint64(CRC64_POLYNOMIAL), np.uint64(0))
+    shifts = np.uint64(8) * np.arange(8, dtype=np.uint64)
+    state = (np.arange(256, dtype=np.uint64)[None, :] << shifts[:, None]).ravel()
+    for _ in range(_LANE):
+        state = byte[state & np.uint64(0xFF)] ^ (state >> np.uint64(8))
+    return byte, state.reshape(8, 256)
 
 
 def crc64_hex(blobs: list[bytes]) -> list[str]:
-    """CRC-64 of every blob: one array step per byte position over all blobs that reach it."""
-    table = _crc64_table()
-    lookup = np.array(table, dtype=np.uint64)
-    order = sorted(range(len(blobs)), key=lambda at: -len(blobs[at]))
-    sizes = np.array([len(blobs[at]) for at in order], dtype=np.int64)
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(order) else sizes
-    data = np.frombuffer(b"".join(blobs[at] for at in order), dtype=np.uint8)
-    crc = np.full(len(order), _ALL_ONES, dtype=np.uint64)
-
-    wide_until = int(sizes[_NARROW - 1]) if len(order) >= _NARROW else 0
-    for position in range(wide_until):
-        reach = int(np.searchsorted(-sizes, -position, side="left"))
-        byte = data[starts[:reach] + position].astype(np.uint64)
-        crc[:reach] = lookup[(crc[:reach] ^ byte) & np.uint64(0xFF)] ^ (crc[:reach] >> np.uint64(8))
-
-    out = [""] * len(order)
-    for rank, at in enumerate(order):
-        value = int(crc[rank])
-        for byte in blobs[at][wide_until:]:
-            value = table[(value ^ byte) & 0xFF] ^ (value >> 8)
-        out[at] = f"{value ^ _ALL_ONES:016X}"
+    """CRC-64 of every blob.
+
+    A CRC is linear: whole lanes of all blobs are checked side by side from a zero state, then
+    each blob's lanes are chained by moving its state over a lane. What is left is done bytewise.
+    """
+    byte, over_lane = _tables()
+    whole = np.array([len(blob) // _LANE for blob in blobs], dtype=np.int64)
+    joined = b"".join(blob[: count * _LANE] for blob, count in zip(blobs, whole.tolist()))
+    lanes = np.ascontiguousarray(np.frombuffer(joined, dtype=np.uint8).reshape(-1, _LANE).T)
+    checked = np.zeros(lanes.shape[1], dtype=np.uint64)
+    for column in lanes if lanes.shape[1] else ():
+        checked = byte[(checked ^ column) & np.uint64(0xFF)] ^ (checked >> np.uint64(8))
+
+    state = np.full(len(blobs), _ALL_ONES, dtype=np.uint64)
+    first = np.cumsum(whole) - whole
+    for lane in range(int(whole.max(initial=0))):
+        reach = np.flatnonzero(whole > lane)
+        moved = np.zeros(len(reach), dtype=np.uint64)
+        for part in range(8):
+            moved ^= over_lane[part][(state[reach] >> np.uint64(8 * part)) & np.uint64(0xFF)]
+        state[reach] = moved ^ checked[first[reach] + lane]
+
+    steps = byte.tolist()
+    out = []
+    for blob, count, value in zip(blobs, whole.tolist(), state.tolist()):
+        for item in blob[count * _LANE :]:
+            value = steps[(value ^ item) & 0xFF] ^ (value >> 8)
+        out.append(f"{value ^ _ALL_ONES:016X}")
     return out
 
 

@@ -19,7 +19,8 @@ _HEMISPHERES = (("ns", ("N", "S")), ("ew", ("E", "W")))
 
 
 def _number(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("double")
+    """What a group matched is always a number; nothing matched is null, without a failed cast."""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).cast("double")
 
 
 def _signed(value: Column, hemisphere: Column) -> Column:
@@ -57,14 +58,20 @@ def with_latlon(df: DataFrame, text: str) -> DataFrame:
         "_dec_ns": _signed(_number(clean, DECIMAL_HEMISPHERE, 1), F.regexp_extract(clean, DECIMAL_HEMISPHERE, 2)),
         "_dec_ew": _signed(_number(clean, DECIMAL_HEMISPHERE, 3), F.regexp_extract(clean, DECIMAL_HEMISPHERE, 4)),
     }
+    staged = staged.withColumns(columns)
+    # the later notations are searched for only where they can still count
+    found = [F.col(f"{name}_ns").isNotNull() & F.col(f"{name}_ew").isNotNull() for name in ("_iso", "_dec")]
+    still_open = ~(found[0] | found[1])
     hits, units = {}, {}
-    for name, pattern, scales in (
-        ("_min", DEGREES_MINUTES, (60.0,)), ("_sec", DEGREES_MINUTES_SECONDS, (60.0, 3600.0)),
+    for name, pattern, marker, scales in (
+        ("_min", DEGREES_MINUTES, ",", (60.0,)),
+        ("_sec", DEGREES_MINUTES_SECONDS, "deg", (60.0, 3600.0)),
     ):
         for axis, letters in _HEMISPHERES:
-            hits[f"{name}_hit_{axis}"] = _last_hit(clean, pattern, letters)
+            hit = _last_hit(clean, pattern, letters)
+            hits[f"{name}_hit_{axis}"] = F.when(still_open & F.lower(clean).contains(marker), hit)
             units[f"{name}_{axis}"] = _units(F.col(f"{name}_hit_{axis}"), pattern, scales)
-    staged = staged.withColumns({**columns, **hits}).withColumns(units)
+    staged = staged.withColumns(hits).withColumns(units)
 
     def first_pair(axis: str) -> Column:
         pairs = [

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from geoalbums.functions.hashing import CRC64_PREFIX_BYTES, crc64_hex
 from geoalbums.operators.filters import is_media
 
 
@@ -95,3 +100,38 @@ def existing_folders(files: DataFrame) -> DataFrame:
     return files.select("folder").distinct().select(F.explode(ancestors).alias("folder")).where(
         F.col("folder") != ""
     ).distinct()
+
+
+_READ_AT_ONCE = 256  # files whose first 64 KiB are held at a time: 16 MiB
+
+
+def _read_prefix(path: str) -> bytes:
+    local = re.sub(r"\Afile:/+", "/", path)
+    filesystem, inner = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
+    with filesystem.open_input_stream(inner) as stream:
+        return stream.read(CRC64_PREFIX_BYTES)
+
+
+def with_prefix_digest(files: DataFrame) -> DataFrame:
+    """Adds `digest`, the CRC-64 of each `file_name`'s first 64 KiB, and reads no more than that.
+
+    A binary file scan would load every file as a whole. A file that cannot be read is equal to
+    no other: its path stands in for its digest.
+    """
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), _READ_AT_ONCE):
+                part = batch.iloc[start : start + _READ_AT_ONCE]
+                heads, readable = [], []
+                for path in part["file_name"]:
+                    try:
+                        heads.append(_read_prefix(path))
+                        readable.append(True)
+                    except OSError:
+                        readable.append(False)
+                sums = iter(crc64_hex(heads))
+                digests = [next(sums) if ok else path for ok, path in zip(readable, part["file_name"])]
+                yield part.assign(digest=digests)
+
+    return files.mapInPandas(digest, T.StructType([*files.schema.fields, T.StructField("digest", T.StringType())]))

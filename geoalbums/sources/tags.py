@@ -104,10 +104,11 @@ def tag_locations(tags: DataFrame, files: DataFrame) -> DataFrame:
     walked = tags.select("file_name", F.lit(3).alias("rank"), "dir_ord", "tag_ord", "value")
     texts = xmp.unionByName(walked).where(~is_blank(F.col("value")))
     parsed = with_latlon(texts, "value").drop("value")
-    candidates = exif.unionByName(parsed).where(is_valid_position(F.col("lat"), F.col("lon")))
-    chosen = candidates.groupBy("file_name").agg(
-        F.min(F.struct("rank", "dir_ord", "tag_ord", "lat", "lon")).alias("point")
+    # The test sits in the aggregate: as a filter it would be moved below and parse twice.
+    valid = F.when(
+        is_valid_position(F.col("lat"), F.col("lon")), F.struct("rank", "dir_ord", "tag_ord", "lat", "lon")
     )
+    chosen = exif.unionByName(parsed).groupBy("file_name").agg(F.min(valid).alias("point"))
     return files.join(chosen, "file_name", "left").select(
         *files.columns,
         F.coalesce("point.lat", F.lit(0.0)).alias("latitude"),

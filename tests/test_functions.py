@@ -111,7 +111,7 @@ def slow_crc64(data):
 
 def test_crc64():
     assert crc64_hex([b"123456789"]) == ["995DC9BBDF1939FA"]
-    blobs = [bytes((i * j) % 251 for j in range(i * 7)) for i in range(90)] + [b"", b"x" * 3000]
+    blobs = [bytes((i * j) % 251 for j in range(i * 7)) for i in range(90)] + [b"", b"x" * 3000, bytes(range(256)) * 256]
     assert crc64_hex(blobs) == [slow_crc64(blob) for blob in blobs]
 
 

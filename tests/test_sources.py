@@ -8,7 +8,7 @@ from geoalbums.operators.content import digest_candidates, duplicate_files, dupl
 from geoalbums.operators.filters import date_window, late_items
 from geoalbums.sources.gazetteer import parse_lines
 from geoalbums.sources.media_files import (
-    distinct_paths, existing_files, existing_folders, list_files, scan_counts, scan_media,
+    distinct_paths, existing_files, existing_folders, list_files, scan_counts, scan_media, with_prefix_digest,
 )
 from geoalbums.sources.state import merge_marks, read_marks, save_marks
 from geoalbums.sources.tags import tag_dates, tag_locations
@@ -59,6 +59,17 @@ def test_duplicates(spark, tmp_path):
             assert duplicate_files(digests, cfg).count() == sum(expected.values())
 
 
+def test_prefix_digest(spark, tmp_path):
+    head = b"h" * 70000
+    tree(str(tmp_path), {"a.jpg": head + b"1", "b.jpg": head + b"2", "c.jpg": b"123456789"})
+    files = scan_media(spark, [str(tmp_path)])
+    gone = spark.createDataFrame([(f"{tmp_path}/gone.jpg",)], "file_name string")
+    rows = with_prefix_digest(files.select("file_name").unionByName(gone)).collect()
+    digests = {os.path.basename(r.file_name): r.digest for r in rows}
+    assert digests["a.jpg"] == digests["b.jpg"] and digests["c.jpg"] == "995DC9BBDF1939FA"
+    assert digests["gone.jpg"].endswith("gone.jpg")
+
+
 def test_dump_lines(spark):
     good = ["7", 'The "Inn"', "", "", " 1.5", "-2e1", "P", "PPL", "XX", "", "01", "", "", "", "n/a", "", "", "", ""]
     change = lambda **at: "\t".join(at.get(f"f{i}", v) for i, v in enumerate(good))
