@@ -12,23 +12,20 @@ from geoalbums.sources.shared import materialize
 
 
 def digest_candidates(files: DataFrame, cfg: AlbumConfig) -> DataFrame:
-    """path, length, digest of the files that share their length with another.
+    """path, length, digest of all files that can have a twin.
 
     Lengths are counted without touching content. Where the list of shared lengths is small it
     is broadcast, so that only content that may matter is hashed; beyond that every file is
-    hashed where it is read. Content itself is never shuffled.
+    hashed where it is read, and files of a length of their own are in the result too. Content
+    itself is never shuffled.
     """
     lengths = (
         files.groupBy("length").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("length")
     )
     lengths = materialize(lengths, "shared-lengths")
-    narrow = lengths.count() <= cfg.broadcast_rows
-    if narrow:
-        candidates = files.join(F.broadcast(lengths), "length", "left_semi")
-    else:
-        candidates = files
-    hashed = candidates.select("path", "length", content_digest(F.col("content"), cfg.hash_mode).alias("digest"))
-    return hashed if narrow else hashed.join(lengths, "length", "left_semi").select("path", "length", "digest")
+    if lengths.count() <= cfg.broadcast_rows:
+        files = files.join(F.broadcast(lengths), "length", "left_semi")
+    return files.select("path", "length", content_digest(F.col("content"), cfg.hash_mode).alias("digest"))
 
 
 def duplicate_groups(digests: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from geoalbums.config import LAST, AlbumConfig
 from geoalbums.functions.text import extension
+from geoalbums.operators.joins import left_join_by_weight
+from geoalbums.sources.shared import materialize
 
 # --- fixed values ---
 PHOTO_EXTENSIONS = (".jpg", ".jpeg", ".heic", ".heif", ".avif")
@@ -36,17 +38,23 @@ def needs_mark(cfg: AlbumConfig) -> bool:
 
 
 def with_mark(media: DataFrame, state: DataFrame | None, cfg: AlbumConfig) -> DataFrame:
-    """Each item with its library's `last_processed`, null where nothing was saved.
-
-    One row per library: a plain equi join, which Spark broadcasts below its own threshold.
-    """
+    """Each item with its library's `last_processed`, null where nothing was saved."""
     if state is None:
         return media.withColumn("last_processed", F.lit(None).cast("timestamp_ntz"))
     if not cfg.library_cols:
         mark = state.agg(F.max("last_processed"))
         return media.withColumn("last_processed", mark.scalar())
-    marks = state.groupBy(*cfg.library_cols).agg(F.max("last_processed").alias("last_processed"))
-    return media.join(marks, list(cfg.library_cols), "left")
+    keys = list(cfg.library_cols)
+    marks = materialize(
+        state.groupBy(*keys).agg(F.max("last_processed").alias("last_processed")), "marks"
+    )
+    libraries = marks.count()
+    if libraries <= cfg.broadcast_rows:
+        return media.join(F.broadcast(marks), keys, "left")
+    sizes = media.groupBy(*keys).agg(F.count("*").alias("items"))
+    return left_join_by_weight(
+        media, marks.join(sizes, keys), keys, "items", libraries, cfg.broadcast_rows, cfg.hot_rows
+    )
 
 
 def date_window(media: DataFrame, cfg: AlbumConfig, state: DataFrame | None = None) -> DataFrame:

@@ -94,7 +94,7 @@ def placement_manifest(
     )
     present = None if existing is None else _by_library(existing, keys)
     names = _wanted_names(files, present, spot)
-    busy = materialize(_busy_names(names, keys, spot), "busy-names")
+    busy = materialize(_busy_names(names, keys, spot, cfg), "busy-names")
 
     flagged = left_join_by_weight(
         files, busy, spot, "files", busy.count(), cfg.broadcast_rows, cfg.hot_rows
@@ -112,7 +112,9 @@ def placement_manifest(
         F.count("*").alias("copies"),
         F.max("tangled").alias("tangled"),
     )
-    contents = materialize(_with_taken_numbers(contents, present, spot), "contents")
+    if present is not None:
+        contents = materialize(contents, "distinct-contents")
+    contents = materialize(_with_taken_numbers(contents, present, spot, cfg), "contents")
     placed = _place_plain(contents.where(~F.col("tangled")), present, spot, cfg).unionByName(
         _place_tangled(contents.where(F.col("tangled")), present, keys, spot)
     )
@@ -148,7 +150,7 @@ def _wanted_names(files: DataFrame, present: DataFrame | None, spot: list[str])
     return names.join(taken, spot, "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
 
 
-def _busy_names(names: DataFrame, keys: list[str], spot: list[str]) -> DataFrame:
+def _busy_names(names: DataFrame, keys: list[str], spot: list[str], cfg: AlbumConfig) -> DataFrame:
     """Names somebody else wants, with `tangled`; quiet names are not listed."""
     family = [*keys, "folder", "_root", "_ext"]
     names = materialize(
@@ -158,8 +160,11 @@ def _busy_names(names: DataFrame, keys: list[str], spot: list[str]) -> DataFrame
         "wanted-names",
     )
     wanted_twice = (F.col("files") > 1) | F.col("taken")
-    reachable = names.where(F.col("_stem") != F.col("_root")).select(
-        *family, F.explode(_ancestors(F.col("name"))).alias("name")
+    # A name with very many numbers is one row here before it is joined.
+    reachable = (
+        names.where(F.col("_stem") != F.col("_root"))
+        .select(*family, F.explode(_ancestors(F.col("name"))).alias("name"))
+        .distinct()
     )
     knots = (
         reachable.join(names.where(wanted_twice).select(*spot), spot, "left_semi")
@@ -167,8 +172,12 @@ def _busy_names(names: DataFrame, keys: list[str], spot: list[str]) -> DataFrame
         .distinct()
         .withColumn("knot", F.lit(True))
     )
+    members = names.groupBy(*family).agg(F.count("*").alias("members"))
+    knots = materialize(knots.join(members, family), "knots")
     return (
-        names.join(knots, family, "left")
+        left_join_by_weight(
+            names, knots, family, "members", knots.count(), cfg.broadcast_rows, cfg.hot_rows
+        )
         .where(wanted_twice | F.col("knot").isNotNull())
         .select(*spot, "files", F.coalesce("knot", F.lit(False)).alias("tangled"))
     )
@@ -185,15 +194,21 @@ def _taken_numbers(present: DataFrame, spot: list[str]) -> DataFrame:
     return own.unionByName(numbered)
 
 
-def _with_taken_numbers(contents: DataFrame, present: DataFrame | None, spot: list[str]) -> DataFrame:
+def _with_taken_numbers(
+    contents: DataFrame, present: DataFrame | None, spot: list[str], cfg: AlbumConfig
+) -> DataFrame:
     """Adds `first_free`, and marks as tangled the names whose taken numbers have gaps."""
     if present is None:
         return contents.withColumn("first_free", F.lit(0).cast("bigint"))
     runs = _taken_numbers(present, spot).groupBy(*spot).agg(
         F.count("*").alias("taken"), F.max("number").alias("highest")
     )
+    variants = contents.groupBy(*spot).agg(F.count("*").alias("variants"))
+    runs = materialize(runs.join(variants, spot), "taken-numbers")
     gapless = F.col("highest") == F.col("taken") - 1
-    return contents.join(runs, spot, "left").select(
+    return left_join_by_weight(
+        contents, runs, spot, "variants", runs.count(), cfg.broadcast_rows, cfg.hot_rows
+    ).select(
         *[name for name in contents.columns if name != "tangled"],
         (F.col("tangled") | ~F.coalesce(gapless, F.lit(True))).alias("tangled"),
         F.coalesce("taken", F.lit(0)).alias("first_free"),

@@ -155,7 +155,7 @@ class _TierCells:
     most_parts: dict[int, int]  # arrays of the fullest cell per tier
 
 
-def _tier_cells(places: DataFrame, tiers: list[tuple[int, str, float]]) -> _TierCells:
+def _tier_cells(places: DataFrame, tiers: list[tuple[int, str, float]], cfg: AlbumConfig) -> _TierCells:
     """All tiers' places on their grids, one row per cell and at most ~1,024 places."""
     spread = None
     for tier, feature_class, radius in tiers:
@@ -175,7 +175,7 @@ def _tier_cells(places: DataFrame, tiers: list[tuple[int, str, float]]) -> _Tier
         spread = frame if spread is None else spread.unionByName(frame)
     spread = materialize(spread, "tier-places")
     fill = spread.groupBy("tier", "cx", "cy").agg(F.count("*").alias("n"))
-    figures = fill.groupBy("tier").agg(F.sum("n").alias("rows"), F.max("n").alias("fullest")).collect()
+    figures = fill.groupBy("tier").agg(F.sum("n").alias("rows"), F.max("n").alias("fullest")).collect()  # 6 rows
     rows = {row.tier: row.rows for row in figures}
     most_parts = {row.tier: -(-row.fullest // CELL_ARRAY_PLACES) for row in figures}
     parted = spread.withColumn("part", F.lit(0))
@@ -183,6 +183,9 @@ def _tier_cells(places: DataFrame, tiers: list[tuple[int, str, float]]) -> _Tier
         crowded = fill.where(F.col("n") > CELL_ARRAY_PLACES).select(
             "tier", "cx", "cy", F.ceil(F.col("n") / CELL_ARRAY_PLACES).alias("parts")
         )
+        # at most one crowded cell per 1,024 rows
+        if sum(rows.values()) <= CELL_ARRAY_PLACES * cfg.broadcast_rows:
+            crowded = F.broadcast(crowded)
         parted = spread.join(crowded, ["tier", "cx", "cy"], "left").withColumn(
             "part", F.pmod(F.xxhash64("latitude", "longitude"), F.coalesce("parts", F.lit(1))).cast("int")
         ).drop("parts")
@@ -221,7 +224,7 @@ def nearest_places(points: DataFrame, places: DataFrame, cfg: AlbumConfig) -> Da
         for number, (feature_class, radius) in enumerate(TIERS, start=1)
         if feature_class != "S" or cfg.precision == 3
     ]
-    grid = _tier_cells(usable, tiers)
+    grid = _tier_cells(usable, tiers, cfg)
     lat, lon = F.col("latitude"), F.col("longitude")
     none = "struct<tier:int,distance_km:double,geonameid:bigint,name:string>"
     pending = points.withColumn("hit", F.lit(None).cast(none))

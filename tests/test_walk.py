@@ -119,3 +119,12 @@ def test_rank_of_a_hot_group(spark):
     random.Random(0).shuffle(rows)
     got = ranked(spark.createDataFrame(rows, "g string, v int"), ["g"], ["v"], 12).collect()
     assert all(r["rank"] == r.v + 1 for r in got) and len(got) == 520
+
+
+def test_no_single_task_over_items(spark):
+    rows = random_items(random.Random(8))
+    frame = spark.createDataFrame(rows, SCHEMA).drop("library")
+    for cfg in (AlbumConfig(time_hours=3), AlbumConfig(time_hours=3, distance_km=0)):
+        walked = walk(bucketed(frame, (), ORDER, 6), cfg)
+        plan = walked._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan and "CartesianProduct" not in plan
