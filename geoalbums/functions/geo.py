@@ -29,11 +29,11 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(2.0 * EARTH_RADIUS_KM) * F.atan2(F.sqrt(a), F.sqrt(F.lit(1.0) - a))
 
 
-def cell(coordinate: Column, size: float) -> Column:
-    return F.floor(coordinate / F.lit(size))
+def cell(coordinate: Column, size: float | Column) -> Column:
+    return F.floor(coordinate / (size if isinstance(size, Column) else F.lit(size)))
 
 
-def cells_in_reach(coordinate: Column, size: float) -> Column:
+def cells_in_reach(coordinate: Column, size: float | Column) -> Column:
     """Cells whose points may have `coordinate` in their box of `size`, as an array.
 
     The reach is a hair wider than the box: the box is computed around the point and these

@@ -157,22 +157,27 @@ class _TierCells:
 
 def _tier_cells(places: DataFrame, tiers: list[tuple[int, str, float]], cfg: AlbumConfig) -> _TierCells:
     """All tiers' places on their grids, one row per cell and at most ~1,024 places."""
-    spread = None
-    for tier, feature_class, radius in tiers:
-        lat, lon = F.col("latitude"), F.col("longitude")
-        frame = (
-            places.where(F.col("feature_class") == feature_class)
-            # of places on one spot the lowest id wins
-            .groupBy("latitude", "longitude")
-            .agg(F.min(F.struct("geonameid", "name")).alias("place"))
-            .select(
-                F.lit(tier).alias("tier"),
-                F.explode(cells_in_reach(lat, radius)).alias("cx"),
-                lat, lon, "place",
-            )
-            .withColumn("cy", F.explode(cells_in_reach(lon, radius)))
+    own_tiers = None
+    for feature_class in dict.fromkeys(feature_class for _, feature_class, _ in tiers):
+        mine = F.array(
+            *[
+                F.struct(F.lit(number).alias("tier"), F.lit(radius).alias("radius"))
+                for number, kind, radius in tiers
+                if kind == feature_class
+            ]
         )
-        spread = frame if spread is None else spread.unionByName(frame)
+        here = F.col("feature_class") == feature_class
+        own_tiers = F.when(here, mine) if own_tiers is None else own_tiers.when(here, mine)
+    # of places of a class on one spot the lowest id wins
+    spots = places.groupBy("feature_class", "latitude", "longitude").agg(
+        F.min(F.struct("geonameid", "name")).alias("place")
+    )
+    spread = (
+        spots.select(F.explode(own_tiers).alias("_tier"), "latitude", "longitude", "place")
+        .withColumn("cx", F.explode(cells_in_reach(F.col("latitude"), F.col("_tier.radius"))))
+        .withColumn("cy", F.explode(cells_in_reach(F.col("longitude"), F.col("_tier.radius"))))
+        .select(F.col("_tier.tier").alias("tier"), "cx", "cy", "latitude", "longitude", "place")
+    )
     spread = materialize(spread, "tier-places")
     fill = spread.groupBy("tier", "cx", "cy").agg(F.count("*").alias("n"))
     figures = fill.groupBy("tier").agg(F.sum("n").alias("rows"), F.max("n").alias("fullest")).collect()  # 6 rows

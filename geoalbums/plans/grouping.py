@@ -86,12 +86,11 @@ def build_albums(
     if cfg.append_format and places is None:
         raise ValueError("append_format needs a gazetteer")
     ready = prepare(media, cfg, state)
+    items = bucketed(ready, cfg.library_cols, ORDER, cfg.scan_buckets)
     total = count = None
     if places is not None:
-        ready = materialize(ready, "media")
-        kept, total, count = load_gazetteer(places, ready, cfg)
-        ready = enrich(ready, kept, cfg)
-    items = bucketed(ready, cfg.library_cols, ORDER, cfg.scan_buckets)
+        kept, total, count = load_gazetteer(places, items, cfg)
+        items = materialize(enrich(items, kept, cfg), "named-media")
     walked = materialize(walk(items, cfg), "walked")
     steps = with_album_ids(walked, cfg)
     named, albums = name_albums(steps, cfg, places is not None, existing_folders)
