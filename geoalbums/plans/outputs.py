@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from geoalbums.config import AlbumConfig
@@ -18,15 +20,20 @@ def write_run(
     existing: DataFrame | None = None,
     state_path: str | None = None,
     destination: str = "",
+    add_digest: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
     """`folder`/catalog and `folder`/manifest as parquet, one directory per library.
 
-    A simulation writes neither files nor mark; its report comes from `plans.report`.
+    A simulation writes neither files nor mark; its report comes from `plans.report`. Items
+    without a `digest` column need `add_digest`, see `placement_manifest`.
     """
     if cfg.mode == "simulate":
         return
     album_catalog(run.albums, cfg, destination).write.mode("overwrite").parquet(f"{folder}/catalog")
-    manifest = placement_manifest(run.items, cfg, existing)
+    manifest = placement_manifest(run.items, cfg, existing, add_digest)
+    if cfg.library_cols:
+        # a library's rows end up in few files, and a large library in more than one
+        manifest = manifest.hint("rebalance", *cfg.library_cols)
     manifest.write.mode("overwrite").partitionBy(*cfg.library_cols).parquet(f"{folder}/manifest")
     if state_path:
         save_marks(run.items, state_path, cfg)

@@ -79,11 +79,12 @@ def scan_counts(files: DataFrame, path_col: str = "path") -> DataFrame:
 
 
 def existing_files(spark: SparkSession, destination: str) -> DataFrame:
-    """folder (relative to the destination), name, length and content of files already there."""
+    """Files already there: file_name, folder (relative to the destination), name, length, content."""
     root = destination.rstrip("/")
     listed = list_files(spark, [destination], recursive=True)
     relative = F.regexp_extract(F.col("path"), rf"\Q{root}\E/(.*)\z", 1)
     return listed.select(
+        F.col("path").alias("file_name"),
         F.regexp_extract(relative, r"\A(?:(.*)/)?[^/]*\z", 1).alias("folder"),
         F.substring_index(relative, "/", -1).alias("name"),
         "length",

@@ -25,7 +25,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/geoalbums/{label}-{uuid.uuid4().hex}"
+    """A new path below one folder per application, which may go once the application has ended."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/geoalbums/{application}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -4,12 +4,15 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from geoalbums import AlbumConfig, build_albums
 from geoalbums.operators.albums import avoid_existing, part_numbers, top_places, with_part_suffix
 from geoalbums.plans.outputs import write_run
 from geoalbums.plans.report import album_catalog, album_preview, file_preview, run_totals
+from geoalbums.sources.media_files import existing_files, scan_media, with_prefix_digest
 from geoalbums.sources.state import read_marks
+from geoalbums.sources.tags import media_from_tags
 from workload import fixtures as fx
 
 SF = "/root/testdata/sf0.01"
@@ -153,6 +156,32 @@ def test_outputs_and_mark(spark, tmp_path):
     assert sorted(r.file_name for r in resumed.items.collect()) == ["/p/d.mp4", "/z/e.heic"]
 
 
+def test_files_end_to_end(spark, tmp_path):
+    """Files on disk, tags beside them, a destination that holds one of them already."""
+    for name, data in {"in/a.jpg": b"one", "in/sub/a.jpg": b"two", "in/sub/b.jpg": b"tri", "out/05 May 2024/a.jpg": b"two"}.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(data)
+    files = scan_media(spark, [f"{tmp_path}/in"], recursive=True)
+    tags = files.select(
+        "file_name", F.lit(1).alias("dir_ord"), F.lit("ExifSubIFD").alias("directory"), F.lit(1).alias("tag_ord"),
+        F.lit("DateTimeOriginal").alias("tag"), F.lit("2024:05:05 10:00:00").alias("value"),
+    )
+    cfg = AlbumConfig(mode="copy")
+    media = media_from_tags(tags, files.withColumn("modified_at", F.lit("2024-06-01").cast("timestamp_ntz")), cfg)
+    run = build_albums(media, cfg)
+    existing = with_prefix_digest(existing_files(spark, f"file:{tmp_path}/out").drop("content"))
+    write_run(run, cfg, f"{tmp_path}/result", existing, f"{tmp_path}/marks", "/out", with_prefix_digest)
+    manifest = spark.read.parquet(f"{tmp_path}/result/manifest").collect()
+    short = {r.file_name.split("/in/")[1]: (r.target_path, r.action) for r in manifest}
+    assert short == {
+        "a.jpg": ("05 May 2024/a (1).jpg", "PLACE"),
+        "sub/a.jpg": ("05 May 2024/a.jpg", "SKIP_IDENTICAL"),
+        "sub/b.jpg": ("05 May 2024/b.jpg", "PLACE"),
+    }
+    assert read_marks(spark, f"{tmp_path}/marks").first().last_processed == dt.datetime(2024, 5, 5, 10)
+
+
 def test_options(spark):
     media, _ = small(spark)
     base = {"library_cols": ("library",)}
