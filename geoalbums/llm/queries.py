@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from geoalbums.llm.mixing import mix_sources
 from geoalbums.llm.near_duplicates import NearDuplicateConfig, near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), NearDuplicateConfig(shingle=3, percent=85))
 
@@ -22,5 +27,6 @@ def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL: dict[str, str] = {}
 
 QUERIES: dict[str, Query] = {
+    "op2_pivotal_mix": op2_pivotal_mix,
     "op4_chosen_path": op4_chosen_path,
 }
