@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from geoalbums.llm.decontaminate import decontaminate
 from geoalbums.llm.mixing import mix_sources
 from geoalbums.llm.near_duplicates import NearDuplicateConfig, near_duplicates
 
@@ -20,6 +21,10 @@ def op2_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op3_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), NearDuplicateConfig(shingle=3, percent=85))
 
@@ -28,5 +33,6 @@ ORACLE_SQL: dict[str, str] = {}
 
 QUERIES: dict[str, Query] = {
     "op2_pivotal_mix": op2_pivotal_mix,
+    "op3_prefix_filter": op3_prefix_filter,
     "op4_chosen_path": op4_chosen_path,
 }
