@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from geoalbums.llm.decontaminate import decontaminate
 from geoalbums.llm.mixing import mix_sources
 from geoalbums.llm.near_duplicates import NearDuplicateConfig, near_duplicates
+from geoalbums.llm.quality_rules import quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents")).drop("removed_lines")
+
+
 def op2_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,7 @@ def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL: dict[str, str] = {}
 
 QUERIES: dict[str, Query] = {
+    "op1_line_frequency": op1_line_frequency,
     "op2_pivotal_mix": op2_pivotal_mix,
     "op3_prefix_filter": op3_prefix_filter,
     "op4_chosen_path": op4_chosen_path,
