@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from geoalbums.llm.decontaminate import decontaminate
+from geoalbums.llm.language import held_out, identify, train
 from geoalbums.llm.mixing import mix_sources
 from geoalbums.llm.near_duplicates import NearDuplicateConfig, near_duplicates
 from geoalbums.llm.quality_rules import quality_rules
@@ -34,6 +36,13 @@ def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), NearDuplicateConfig(shingle=3, percent=85))
 
 
+def op10_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    unseen = held_out(F.col("doc_id"), 4, 2)
+    model = train(docs.where(~unseen).select("doc_id", "text", "lang"))
+    return identify(docs.select("doc_id", unseen.alias("held_out"), "text"), model).drop("text")
+
+
 ORACLE_SQL: dict[str, str] = {}
 
 QUERIES: dict[str, Query] = {
@@ -41,4 +50,5 @@ QUERIES: dict[str, Query] = {
     "op2_pivotal_mix": op2_pivotal_mix,
     "op3_prefix_filter": op3_prefix_filter,
     "op4_chosen_path": op4_chosen_path,
+    "op10_word_backoff": op10_word_backoff,
 }
