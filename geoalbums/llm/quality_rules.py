@@ -61,7 +61,7 @@ def repeated_words(w: Words, k: int = _REPEATED) -> np.ndarray:
     return row_sums((np.cumsum(step)[:-1] > 0).astype(np.int64), w.first)
 
 
-def _lines(part: Slice, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def text_lines(part: Slice, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lines that have a word: text, number in the text, raw key, first word, past the last word."""
     start, end, first = runs(part.data != 0x0A, part.at)
     low = np.searchsorted(w.start, start)
@@ -93,7 +93,7 @@ def _statistics(docs: DataFrame, with_text: bool) -> DataFrame:
         for batch in batches:
             for part in slices(batch.column(3)):
                 w = words(part)
-                text, number, raw, low, high = _lines(part, w)
+                text, number, raw, low, high = text_lines(part, w)
                 folded = keys(part.data, w.start, w.end, LOWER)
                 line = _sequence_keys(folded, low, high)
                 in_text = mix(raw + text.astype(U64))

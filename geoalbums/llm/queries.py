@@ -11,6 +11,7 @@ from geoalbums.llm.decontaminate import decontaminate
 from geoalbums.llm.language import held_out, identify, train
 from geoalbums.llm.mixing import mix_sources
 from geoalbums.llm.near_duplicates import NearDuplicateConfig, near_duplicates
+from geoalbums.llm import quality_classifier
 from geoalbums.llm.quality_rules import quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,14 @@ def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), NearDuplicateConfig(shingle=3, percent=85))
 
 
+def op5_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    unseen = held_out(F.col("doc_id"), 5, 0)
+    model = quality_classifier.train(docs, _table(spark, sf_dir, "labels").where(~unseen))
+    scored = quality_classifier.score_quality(docs.select("doc_id", unseen.alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     unseen = held_out(F.col("doc_id"), 4, 2)
@@ -50,5 +59,6 @@ QUERIES: dict[str, Query] = {
     "op2_pivotal_mix": op2_pivotal_mix,
     "op3_prefix_filter": op3_prefix_filter,
     "op4_chosen_path": op4_chosen_path,
+    "op5_boosted_trees": op5_boosted_trees,
     "op10_word_backoff": op10_word_backoff,
 }
