@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoalbums.llm import main_text, quality_classifier
 from geoalbums.llm.decontaminate import decontaminate
 from geoalbums.llm.language import held_out, identify, train
 from geoalbums.llm.mixing import mix_sources
 from geoalbums.llm.near_duplicates import NearDuplicateConfig, near_duplicates
-from geoalbums.llm import quality_classifier
 from geoalbums.llm.quality_rules import quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,11 @@ def op5_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return main_text.main_text(pages, main_text.train(pages)).drop("n_blocks")
+
+
 def op10_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     unseen = held_out(F.col("doc_id"), 4, 2)
@@ -60,5 +65,6 @@ QUERIES: dict[str, Query] = {
     "op3_prefix_filter": op3_prefix_filter,
     "op4_chosen_path": op4_chosen_path,
     "op5_boosted_trees": op5_boosted_trees,
+    "op9_block_labeller": op9_block_labeller,
     "op10_word_backoff": op10_word_backoff,
 }
