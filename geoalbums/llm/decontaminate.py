@@ -19,12 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoalbums.llm.bits import bit_table, may_have
 from geoalbums.llm.words import LETTERS, LOWER, U64, Words, mix, slices, words
 from geoalbums.sources.shared import materialize
 
 WINDOW = 10
 SHINGLE = 3
-_TABLE_BITS = (20, 24)  # least and most bits of the table, as powers of two
 
 
 def _shingle_keys(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,35 +70,6 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.mapInArrow(cut, "item_id string, k int, keys array<long>")
 
 
-def _bit_table(windows: DataFrame) -> np.ndarray:
-    """A bit per hash of a shingle; between 128 KiB and 2 MiB whatever the benchmark's size."""
-    keys = windows.select(F.explode("keys").alias("key")).distinct()
-    bits = min(max(_TABLE_BITS[0], (64 * max(1, keys.count()) - 1).bit_length()), _TABLE_BITS[1])
-    mask = (1 << bits) - 1
-    places = keys.select(
-        F.explode(F.array(F.col("key").bitwiseAND(mask), F.shiftrightunsigned("key", 32).bitwiseAND(mask))).alias("b")
-    )
-    cells = places.groupBy(F.shiftright("b", 5).alias("cell")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(b & 31 as int))")).alias("bits")
-    )
-    table = np.zeros(1 << (bits - 5), dtype=np.uint32)
-    found = cells.toPandas()  # at most 2**19 cells
-    table[found["cell"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
-    return table
-
-
-def _maybe(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    mask = U64(len(table) * 32 - 1)
-
-    def hit(b):
-        return (table[(b >> U64(5)).astype(np.int64)] >> (b & U64(31)).astype(np.uint32)) & np.uint32(1) > 0
-
-    out = hit(keys & mask)
-    some = np.flatnonzero(out)
-    out[some] = hit((keys[some] >> U64(32)) & mask)
-    return out
-
-
 _RUNS = "array<struct<k:int,start:int,keys:array<bigint>>>"
 
 
@@ -114,7 +85,7 @@ def _matching_runs(docs: DataFrame, table: np.ndarray, ks: list[int]) -> DataFra
                 runs: list[list] = [[] for _ in range(part.texts)]
                 for k in ks:
                     keys, first = _shingle_keys(w, k)
-                    hit = np.flatnonzero(_maybe(table, keys))
+                    hit = np.flatnonzero(may_have(table, keys))
                     if not len(hit):
                         continue
                     text = np.searchsorted(first, hit, "right") - 1
@@ -168,7 +139,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         benchmark_windows(benchmark, window).withColumn("window", F.xxhash64("k", "keys")), "windows"
     )
     ks = sorted(x["k"] for x in windows.select("k").distinct().collect())  # three values at most
-    scanned = materialize(_matching_runs(docs, _bit_table(windows), ks), "runs")
+    scanned = materialize(_matching_runs(docs, bit_table(windows.select(F.explode("keys").alias("key")).distinct()), ks), "runs")
 
     pieces = scanned.select("row", F.explode("runs").alias("x")).select("row", "x.*")
     pieces = pieces.withColumn("run", F.xxhash64("k", "keys"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from geoalbums.llm import main_text, quality_classifier
 from geoalbums.llm.decontaminate import decontaminate
 from geoalbums.llm.language import held_out, identify, train
+from geoalbums.llm.line_dedup import dedup_lines
 from geoalbums.llm.mixing import mix_sources
 from geoalbums.llm.near_duplicates import NearDuplicateConfig, near_duplicates
 from geoalbums.llm.quality_rules import quality_rules
@@ -45,6 +46,13 @@ def op5_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines go, and a digest of the text that stays."""
+    lines = dedup_lines(_table(spark, sf_dir, "documents"), with_text=True)
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return lines.select("doc_id", "n_lines", "n_removed", digest.alias("kept_sha256"))
+
+
 def op9_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     return main_text.main_text(pages, main_text.train(pages)).drop("n_blocks")
@@ -65,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op3_prefix_filter": op3_prefix_filter,
     "op4_chosen_path": op4_chosen_path,
     "op5_boosted_trees": op5_boosted_trees,
+    "op7_set_join": op7_set_join,
     "op9_block_labeller": op9_block_labeller,
     "op10_word_backoff": op10_word_backoff,
 }
