@@ -14,6 +14,7 @@ from geoalbums.llm.line_dedup import dedup_lines
 from geoalbums.llm.mixing import mix_sources
 from geoalbums.llm.near_duplicates import NearDuplicateConfig, near_duplicates
 from geoalbums.llm.quality_rules import quality_rules
+from geoalbums.llm.repeated_bytes import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +47,10 @@ def op5_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_prefix_free_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which lines go, and a digest of the text that stays."""
     lines = dedup_lines(_table(spark, sf_dir, "documents"), with_text=True)
@@ -73,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op3_prefix_filter": op3_prefix_filter,
     "op4_chosen_path": op4_chosen_path,
     "op5_boosted_trees": op5_boosted_trees,
+    "op6_prefix_free_parse": op6_prefix_free_parse,
     "op7_set_join": op7_set_join,
     "op9_block_labeller": op9_block_labeller,
     "op10_word_backoff": op10_word_backoff,
