@@ -13,6 +13,7 @@ from geoalbums.llm.language import held_out, identify, train
 from geoalbums.llm.line_dedup import dedup_lines
 from geoalbums.llm.mixing import mix_sources
 from geoalbums.llm.near_duplicates import NearDuplicateConfig, near_duplicates
+from geoalbums.llm.passages import near_duplicate_passages
 from geoalbums.llm.quality_rules import quality_rules
 from geoalbums.llm.repeated_bytes import remove_repeats
 
@@ -58,6 +59,10 @@ def op7_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "n_lines", "n_removed", digest.alias("kept_sha256"))
 
 
+def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_passages(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     return main_text.main_text(pages, main_text.train(pages)).drop("n_blocks")
@@ -80,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op5_boosted_trees": op5_boosted_trees,
     "op6_prefix_free_parse": op6_prefix_free_parse,
     "op7_set_join": op7_set_join,
+    "op8_compact_windows": op8_compact_windows,
     "op9_block_labeller": op9_block_labeller,
     "op10_word_backoff": op10_word_backoff,
 }
