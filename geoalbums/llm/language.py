@@ -181,14 +181,15 @@ def _lettered(part: Slice) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Adds lang_pred and score to every row of `docs` (text; other columns stay as they are).
+def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds lang_pred and score (or `names`, which replace columns of that name) to every row of
+    `docs` (text; other columns stay as they are).
 
     Whole texts are scored. lang_pred is `und` with score 0 if the text is null, empty or has no
     letter, or nothing was learned; score is the share of the best language among all after
     normalising the mean word. Equal scores: the language first in the alphabet.
     """
-    names = np.array([*model.languages, UNKNOWN], dtype=object)
+    languages = np.array([*model.languages, UNKNOWN], dtype=object)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +197,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             for part in slices(batch.column("text")):
                 start, end, first = runs(ALPHABETIC[part.data], part.at)
                 count = np.diff(first)
-                b = np.full(part.texts, len(names) - 1)
+                b = np.full(part.texts, len(languages) - 1)
                 s = np.zeros(part.texts)
                 if len(start) and len(model.languages):
                     unique, inverse = np.unique(keys(part.data, start, end, LOWER), return_inverse=True)
@@ -211,7 +212,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     odds = np.exp(mean - mean.max(axis=1, keepdims=True))
                     b[has] = odds.argmax(axis=1)
                     s[has] = odds.max(axis=1) / odds.sum(axis=1)
-                best.append(names[b])
+                best.append(languages[b])
                 share.append(s)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -219,11 +220,11 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     pa.array(np.concatenate(best) if best else [], pa.string()),
                     pa.array(np.concatenate(share) if share else [], pa.float64()),
                 ],
-                names=[*batch.schema.names, "lang_pred", "score"],
+                names=[*batch.schema.names, *names],
             )
 
-    fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    fields = [f for f in docs.schema.fields if f.name not in names]
+    schema = T.StructType([*fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(predict, schema)
 
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoalbums.llm.bits import bit_table, may_have
 from geoalbums.llm.words import LOWER, SPACED, U64, Slice, mix, row_sums, runs, slices, words
@@ -112,8 +113,9 @@ def _rarity(docs: DataFrame) -> np.ndarray:
 _SCHEMA = "row long, doc_id long, n_lines long, lines array<struct<number:int,cls:long,spot:long,size:int,even:long,odd:long,prefix:array<int>>>"
 
 
-def _drawn(docs: DataFrame, rarity: np.ndarray, percent: int, with_text: bool) -> DataFrame:
+def _drawn(docs: DataFrame, rarity: np.ndarray, percent: int, with_text: bool, carried: list[str]) -> DataFrame:
     """Per document its lines: class, size, parity bitmaps, and the prefix words by rarity."""
+    fields = [docs.schema[name] for name in carried]
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -151,11 +153,18 @@ def _drawn(docs: DataFrame, rarity: np.ndarray, percent: int, with_text: bool) -
                 if with_text:
                     arrays.append(batch.column(1).slice(part.row, part.texts))
                     names.append("text")
+                if carried:
+                    arrays.append(batch.column(2).slice(part.row, part.texts))
+                    names.append("carried")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
                 row += part.texts
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(draw, _SCHEMA + (", text string" if with_text else ""))
+    schema = T.StructType.fromDDL(_SCHEMA + (", text string" if with_text else ""))
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")]
+    if carried:
+        columns.append(F.struct(*[F.col(f"`{name}`") for name in carried]).alias("carried"))
+        schema = schema.add("carried", T.StructType(fields))
+    return docs.select(*columns).mapInArrow(draw, schema)
 
 
 def _sets(docs: DataFrame, table: np.ndarray) -> DataFrame:
@@ -241,9 +250,12 @@ def later_matches(docs: DataFrame, classes: DataFrame, cfg: LineDedupConfig) ->
     return found.unionByName(last)
 
 
-def dedup_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig(), with_text: bool = False) -> DataFrame:
-    """Per row of `docs` (doc_id, text; other columns are ignored): doc_id, n_lines (that have a
-    word), n_removed, removed_lines (numbers, from 0) and, `with_text`, the text without them.
+def dedup_lines(
+    docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig(), with_text: bool = False, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """Per row of `docs` (doc_id, text; others are ignored but for `carry`): doc_id, n_lines (that
+    have a word), n_removed, removed_lines (numbers, from 0) and, `with_text`, the text without
+    them; columns named in `carry` come along in a struct, `carried`.
 
     Lines are ended by \\n; words are what stands between white space, A-Z lower-cased. Lines are
     in order of doc_id (null last) and number; of equal places (rows that repeat a doc_id) the
@@ -251,7 +263,7 @@ def dedup_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig(), with_
     if any earlier one matches, removed itself or not. Lines without a word stay. Null and empty
     texts have no lines.
     """
-    drawn = materialize(_drawn(docs, _rarity(docs), cfg.percent, with_text), "lines")
+    drawn = materialize(_drawn(docs, _rarity(docs), cfg.percent, with_text, list(carry)), "lines")
     lines = drawn.select("row", "doc_id", F.explode("lines").alias("x")).select("row", "doc_id", "x.*")
     place = F.coalesce(F.expr("CAST(doc_id AS DECIMAL(19,0)) * 10000000000 + number"), F.expr(_LAST)).cast("decimal(38,0)")
     lines = lines.withColumn("ord", place)
@@ -276,5 +288,5 @@ def dedup_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig(), with_
     columns = ["doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines"]
     if with_text:
         left = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("removed_lines", i))
-        columns.append(F.array_join(left, "\n").alias("text"))
-    return out.select(*columns)
+        columns.append(F.when(F.col("text").isNotNull(), F.array_join(left, "\n")).alias("text"))
+    return out.select(*columns, *(["carried"] if carry else []))
