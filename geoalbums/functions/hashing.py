@@ -1,8 +1,8 @@
-"""Content digests: md5 and sha are Spark's own, CRC-64 is an Arrow-batched UDF."""
+"""Content digests of whole contents: md5 and sha are Spark's own, CRC-64 is an Arrow-batched UDF."""
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -11,31 +11,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-# --- fixed values: CRC-64, reflected ECMA-182, over the first 64 KiB ----
+# --- fixed value: CRC-64, reflected ECMA-182 ----------------------------
 CRC64_POLYNOMIAL = 0xC96C5795D7870F42
-CRC64_PREFIX_BYTES = 64 * 1024
 # ------------------------------------------------------------------------
 
 _ALL_ONES = 0xFFFFFFFFFFFFFFFF
 _LANE = 1024  # bytes checked side by side, one array step per byte position
 
 
-@lru_cache(maxsize=1)
+_cache: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """(effect of one byte, effect of a lane of zero bytes on each of the eight state bytes)."""
-    byte = np.arange(256, dtype=np.uint64)
-    for _ in range(8):
-        odd = (byte & np.uint64(1)).astype(bool)
-        byte = (byte >> np.uint64(1)) ^ np.where(odd, np.uint64(CRC64_POLYNOMIAL), np.uint64(0))
-    shifts = np.uint64(8) * np.arange(8, dtype=np.uint64)
-    state = (np.arange(256, dtype=np.uint64)[None, :] << shifts[:, None]).ravel()
-    for _ in range(_LANE):
-        state = byte[state & np.uint64(0xFF)] ^ (state >> np.uint64(8))
-    return byte, state.reshape(8, 256)
+    if "crc64" not in _cache:
+        byte = np.arange(256, dtype=np.uint64)
+        for _ in range(8):
+            odd = (byte & np.uint64(1)).astype(bool)
+            byte = (byte >> np.uint64(1)) ^ np.where(odd, np.uint64(CRC64_POLYNOMIAL), np.uint64(0))
+        shifts = np.uint64(8) * np.arange(8, dtype=np.uint64)
+        state = (np.arange(256, dtype=np.uint64)[None, :] << shifts[:, None]).ravel()
+        for _ in range(_LANE):
+            state = byte[state & np.uint64(0xFF)] ^ (state >> np.uint64(8))
+        _cache["crc64"] = byte, state.reshape(8, 256)
+    return _cache["crc64"]
 
 
 def crc64_hex(blobs: list[bytes]) -> list[str]:
-    """CRC-64 of every blob.
+    """CRC-64 of every blob, upper-case hex."""
+    return [f"{state ^ _ALL_ONES:016X}" for state in _advance(blobs, [_ALL_ONES] * len(blobs))]
+
+
+def _advance(blobs: list[bytes], states: list[int]) -> list[int]:
+    """The states after every blob.
 
     A CRC is linear: whole lanes of all blobs are checked side by side from a zero state, then
     each blob's lanes are chained by moving its state over a lane. What is left is done bytewise.
@@ -48,7 +56,7 @@ def crc64_hex(blobs: list[bytes]) -> list[str]:
     for column in lanes if lanes.shape[1] else ():
         checked = byte[(checked ^ column) & np.uint64(0xFF)] ^ (checked >> np.uint64(8))
 
-    state = np.full(len(blobs), _ALL_ONES, dtype=np.uint64)
+    state = np.array(states, dtype=np.uint64)
     first = np.cumsum(whole) - whole
     for lane in range(int(whole.max(initial=0))):
         reach = np.flatnonzero(whole > lane)
@@ -62,24 +70,59 @@ def crc64_hex(blobs: list[bytes]) -> list[str]:
     for blob, count, value in zip(blobs, whole.tolist(), state.tolist()):
         for item in blob[count * _LANE :]:
             value = steps[(value ^ item) & 0xFF] ^ (value >> 8)
-        out.append(f"{value ^ _ALL_ONES:016X}")
+        out.append(value)
     return out
 
 
+class Crc64:
+    """CRC-64 of content that comes in chunks."""
+
+    def __init__(self) -> None:
+        self._state = _ALL_ONES
+
+    def update(self, chunk: bytes) -> None:
+        self._state = _advance([chunk], [self._state])[0]
+
+    def hexdigest(self) -> str:
+        return f"{self._state ^ _ALL_ONES:016X}"
+
+
+_AT_ONCE = 16 << 20  # bytes of contents checked side by side
+
+
 @pandas_udf(StringType())
 def _crc64_udf(content: pd.Series) -> pd.Series:
-    present = content.notna()
-    result = pd.Series([None] * len(content), index=content.index, dtype=object)
-    result[present] = crc64_hex([bytes(blob) for blob in content[present]])
-    return result
+    out: list[str | None] = []
+    group: list[bytes] = []
+    places: list[int] = []
+
+    def close() -> None:
+        for place, digest in zip(places, crc64_hex(group)):
+            out[place] = digest
+        group.clear(), places.clear()
+
+    for blob in content:
+        if blob is not None:
+            places.append(len(out))
+            group.append(bytes(blob))
+        out.append(None)
+        if sum(map(len, group)) > _AT_ONCE:
+            close()
+    close()
+    return pd.Series(out, index=content.index, dtype=object)
 
 
 def crc64(content: Column) -> Column:
-    """Upper-case hex CRC-64 of the first 64 KiB; only that much is shipped to Python."""
-    return _crc64_udf(F.substring(content, 1, CRC64_PREFIX_BYTES))
+    """Upper-case hex CRC-64 of the whole content."""
+    return _crc64_udf(content)
 
 
 def content_digest(content: Column, mode: str) -> Column:
     if mode == "crc":
         return crc64(content)
     return F.md5(content) if mode == "md5" else F.sha2(content, 512)
+
+
+def chunked_digest(mode: str):
+    """An object with update and hexdigest, for content read in chunks; equals `content_digest`."""
+    return Crc64() if mode == "crc" else hashlib.md5() if mode == "md5" else hashlib.sha512()

@@ -1,4 +1,4 @@
-"""Identical content: same length and same digest."""
+"""Identical content: same length and same digest of the whole content."""
 
 from __future__ import annotations
 
@@ -8,33 +8,53 @@ from pyspark.sql import functions as F
 from geoalbums.config import AlbumConfig
 from geoalbums.functions.hashing import content_digest
 from geoalbums.operators.joins import left_join_by_weight
+from geoalbums.sources.media_files import with_file_digest
 from geoalbums.sources.shared import materialize
 
 
+def _shared(files: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys other rows have too; very frequent keys are split at the join."""
+    counted = files.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(*keys)
+    return files.join(materialize(counted, "shared-keys"), keys, "left_semi")
+
+
 def digest_candidates(files: DataFrame, cfg: AlbumConfig) -> DataFrame:
-    """path, length, digest of all files that can have a twin.
+    """path, length, digest of all files that have another of their length.
 
-    Lengths are counted without touching content. Where the list of shared lengths is small it
-    is broadcast, so that only content that may matter is hashed; beyond that every file is
-    hashed where it is read, and files of a length of their own are in the result too. Content
-    itself is never shuffled.
+    `files` is a listing (path, length): lengths are compared first, the first 64 KiB of files of
+    one length next, and only files that are equal so far are read as a whole, in chunks. A file
+    that cannot be read has no digest. Where `files` has a column `content`, digests are computed
+    at the scan and only they are shuffled. Every file that can have a twin is in the result.
     """
-    lengths = (
-        files.groupBy("length").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("length")
+    if "content" in files.columns:
+        digests = files.select("path", "length", content_digest(F.col("content"), cfg.hash_mode).alias("digest"))
+        return _shared(materialize(digests, "content-digests"), ["length"])
+    candidates = _shared(files.select("path", "length"), ["length"])
+    screened = with_file_digest(candidates, cfg.hash_mode, "path", prefix=True).withColumnRenamed("digest", "prefix")
+    screened = materialize(screened, "prefix-digests")
+    alone = screened.groupBy("length", "prefix").agg(F.count("*").alias("n"))
+    alone = materialize(alone.where("n = 1 AND prefix IS NOT NULL").select("length", "prefix"), "lone-prefixes")
+    rest = screened.where("prefix IS NOT NULL").join(alone, ["length", "prefix"], "left_anti").select("path", "length")
+    # what its beginning tells apart already goes by that, marked so that it equals no whole digest
+    known = screened.where("prefix IS NULL").select("path", "length", F.lit(None).cast("string").alias("digest"))
+    known = known.unionByName(
+        screened.join(alone, ["length", "prefix"], "left_semi").select(
+            "path", "length", F.concat(F.lit("prefix:"), "prefix").alias("digest")
+        )
     )
-    lengths = materialize(lengths, "shared-lengths")
-    if lengths.count() <= cfg.broadcast_rows:
-        files = files.join(F.broadcast(lengths), "length", "left_semi")
-    return files.select("path", "length", content_digest(F.col("content"), cfg.hash_mode).alias("digest"))
+    return known.unionByName(with_file_digest(rest, cfg.hash_mode, "path"))
 
 
 def duplicate_groups(digests: DataFrame) -> DataFrame:
-    """Groups of two or more: length, digest, files, first path. Combined before the shuffle."""
-    return (
-        digests.groupBy("length", "digest")
-        .agg(F.count("*").alias("files"), F.min("path").alias("first_path"))
-        .where(F.col("files") > 1)
-    )
+    """Groups of two or more: length, digest, files, first path.
+
+    Counted first, which combines before the shuffle; paths are looked at in such groups only.
+    """
+    known = digests.where(F.col("digest").isNotNull())
+    counted = known.groupBy("length", "digest").agg(F.count("*").alias("files")).where(F.col("files") > 1)
+    counted = materialize(counted, "digest-counts")
+    paths = known.join(counted, ["length", "digest"])
+    return paths.groupBy("length", "digest", "files").agg(F.min("path").alias("first_path"))
 
 
 def duplicate_files(digests: DataFrame, cfg: AlbumConfig) -> DataFrame:

@@ -130,7 +130,8 @@ def placement_manifest(
         "file_name",
         F.col("folder").alias("album_name"),
         "target_name",
-        F.concat_ws("/", "folder", "target_name").alias("target_path"),
+        # libraries have folders of their own, so that no two files are given one target
+        F.concat_ws("/", *[F.col(c).cast("string") for c in cfg.library_cols], "folder", "target_name").alias("target_path"),
         "action",
         F.lit(cfg.mode).alias("mode"),
     )

@@ -73,7 +73,7 @@ def places_near(places: DataFrame, media: DataFrame) -> DataFrame:
     """
     r = PREFILTER_DEGREES
     lat, lon = F.col("latitude"), F.col("longitude")
-    located = media.where(has_geo_any(lat, lon) & lat.between(-91, 91) & lon.between(-181, 181))
+    located = media.where(has_geo_any(lat, lon))
     rows = located.groupBy(cell(lat, r).alias("cx"), cell(lon, r).alias("cy"), lat.alias("at_lat")).agg(
         F.min(lon).alias("min_lon"), F.max(lon).alias("max_lon")
     )
@@ -84,7 +84,7 @@ def places_near(places: DataFrame, media: DataFrame) -> DataFrame:
         F.min("min_lon").alias("min_lon"),
         F.max("max_lon").alias("max_lon"),
     )
-    around = F.broadcast(_to_neighbours(squares))  # at most 183 x 363 squares, nine times
+    around = materialize(_to_neighbours(squares), "squares")  # small where positions are on earth, but not by force
     homed = places.withColumn("px", cell(lat, r)).withColumn("py", cell(lon, r))
     home = (F.col("px") == F.col("nx")) & (F.col("py") == F.col("ny"))
     lat_low, lat_high, lon_low, lon_high = lat - r, lat + r, lon - r, lon + r

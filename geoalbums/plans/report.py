@@ -10,9 +10,12 @@ from geoalbums.functions.text import base_name, is_blank, name_violations, plura
 
 
 def album_catalog(albums: DataFrame, cfg: AlbumConfig, destination: str = "") -> DataFrame:
-    """Distinct non-blank album names with their path, files, and date (the earliest item's)."""
-    root = F.lit(destination.rstrip("/"))
-    path: Column = F.col("album_name") if not destination else F.concat_ws("/", root, "album_name")
+    """Distinct non-blank album names with their path, files, and date (the earliest item's).
+
+    Each library's albums are in a folder of its own.
+    """
+    steps = [F.lit(destination.rstrip("/"))] if destination else []
+    path: Column = F.concat_ws("/", *steps, *[F.col(c).cast("string") for c in cfg.library_cols], "album_name")
     return (
         albums.where(~is_blank(F.col("album_name")))
         .groupBy(*cfg.library_cols, "album_name")

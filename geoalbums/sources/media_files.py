@@ -11,25 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoalbums.functions.hashing import CRC64_PREFIX_BYTES, crc64_hex
+from geoalbums.functions.hashing import chunked_digest
 from geoalbums.operators.filters import is_media
+from geoalbums.sources.shared import path_exists
 
 
 def list_files(spark: SparkSession, roots: Sequence[str], recursive: bool = False) -> DataFrame:
     """path, modified_at, length, content. Content is read only by a query that asks for it.
 
-    A root that cannot be listed is left out, as is a file that vanishes or breaks meanwhile.
+    A root that isn't there is left out, see `skipped_roots`, as is a file that vanishes meanwhile.
     """
     frames = []
     for root in roots:
+        if _why_skipped(spark, root) is not None:
+            continue
         reader = (
             spark.read.format("binaryFile")
             .option("recursiveFileLookup", str(recursive).lower())
             .option("ignoreMissingFiles", "true")
             .option("ignoreCorruptFiles", "true")
         )
-        if not root_exists(spark, root):
-            continue
         frames.append(reader.load(root))
     if not frames:
         return spark.createDataFrame([], "path string, modified_at timestamp, length bigint, content binary")
@@ -39,12 +40,17 @@ def list_files(spark: SparkSession, roots: Sequence[str], recursive: bool = Fals
     return union.withColumnRenamed("modificationTime", "modified_at")
 
 
-def root_exists(spark: SparkSession, root: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+def _why_skipped(spark: SparkSession, root: str) -> str | None:
     try:
-        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    except Exception:
-        return False
+        return None if path_exists(spark, root) else "not found"
+    except Exception as error:  # whatever a file system raises: the reason goes into the report
+        return f"cannot be read: {str(error).splitlines()[0]}"
+
+
+def skipped_roots(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """root, reason: the roots that a scan leaves out."""
+    found = [(root, _why_skipped(spark, root)) for root in roots]
+    return spark.createDataFrame([r for r in found if r[1] is not None], "root string, reason string")
 
 
 def distinct_paths(files: DataFrame, path_col: str = "path") -> DataFrame:
@@ -103,36 +109,56 @@ def existing_folders(files: DataFrame) -> DataFrame:
     ).distinct()
 
 
-_READ_AT_ONCE = 256  # files whose first 64 KiB are held at a time: 16 MiB
+_PREFIX = 64 * 1024
+_CHUNK = 4 << 20  # bytes of a file that are held at a time
 
 
-def _read_prefix(path: str) -> bytes:
+def _located(path: str) -> tuple[fs.FileSystem, str]:
     local = re.sub(r"\Afile:/+", "/", path)
-    filesystem, inner = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
-    with filesystem.open_input_stream(inner) as stream:
-        return stream.read(CRC64_PREFIX_BYTES)
+    return (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
 
 
-def with_prefix_digest(files: DataFrame) -> DataFrame:
-    """Adds `digest`, the CRC-64 of each `file_name`'s first 64 KiB, and reads no more than that.
+def _open(path: str):
+    filesystem, inner = _located(path)
+    return filesystem.open_input_stream(inner)
 
-    A binary file scan would load every file as a whole. A file that cannot be read is equal to
-    no other: its path stands in for its digest.
+
+def write_file(path: str, content: bytes) -> None:
+    """One file, with the folders above it; a task that runs again writes it again."""
+    filesystem, inner = _located(path)
+    filesystem.create_dir(inner.rpartition("/")[0], recursive=True)
+    with filesystem.open_output_stream(inner) as stream:
+        stream.write(content)
+
+
+def _file_digest(path: str, mode: str, most: int | None) -> str | None:
+    """Digest of a file, or of its first `most` bytes; null for a file that cannot be read."""
+    digest = chunked_digest(mode)
+    left = most
+    try:
+        with _open(path) as stream:
+            while left is None or left > 0:
+                chunk = stream.read(_CHUNK if left is None else min(_CHUNK, left))
+                if not chunk:
+                    break
+                digest.update(chunk)
+                left = left if left is None else left - len(chunk)
+    except Exception:  # file systems raise errors of their own; the row says that it was unreadable
+        return None
+    return digest.hexdigest()
+
+
+def with_file_digest(files: DataFrame, mode: str, path_col: str = "file_name", prefix: bool = False) -> DataFrame:
+    """Adds `digest` of each file's whole content, read in chunks where the row is.
+
+    With `prefix` only the first 64 KiB are read: different digests then tell files apart, equal
+    ones tell nothing. A file that cannot be read has no digest.
     """
+    most = _PREFIX if prefix else None
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), _READ_AT_ONCE):
-                part = batch.iloc[start : start + _READ_AT_ONCE]
-                heads, readable = [], []
-                for path in part["file_name"]:
-                    try:
-                        heads.append(_read_prefix(path))
-                        readable.append(True)
-                    except OSError:
-                        readable.append(False)
-                sums = iter(crc64_hex(heads))
-                digests = [next(sums) if ok else path for ok, path in zip(readable, part["file_name"])]
-                yield part.assign(digest=digests)
+            found = [_file_digest(path, mode, most) for path in batch[path_col]]
+            yield batch.assign(digest=pd.Series(found, index=batch.index, dtype=object))
 
     return files.mapInPandas(digest, T.StructType([*files.schema.fields, T.StructField("digest", T.StringType())]))

@@ -7,6 +7,9 @@ the loss of executors, and later steps read only the columns they need.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +28,44 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/geoalbums/{application}/{label}-{uuid.uuid4().hex}"
 
 
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """False only if there is nothing; a store that can't be asked raises its error."""
+    filesystem, found = _hadoop(spark, path)
+    return filesystem.exists(found)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    filesystem, found = _hadoop(spark, path)
+    filesystem.delete(found, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are gone afterwards: results must have been written by then."""
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in paths:
+            remove_path(spark, path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write once, read back."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    paths = _written.get()
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,9 @@
 
 What is still open stays in a tail table per batch: the items since the last closed album, that
 album's last item, and each library's last album id, name and part. A batch reads the tail its
-predecessor left, so a batch that is run again after a failure gives the same rows.
+predecessor left, so a batch that is run again after a failure gives the same rows. Nothing is
+lost without a word: items too late for their album are a table of their own, a tail that ought
+to be there and isn't is an error, and `close_all` ends a stream with every item in an album.
 """
 
 from __future__ import annotations
@@ -27,18 +29,19 @@ from geoalbums.operators.places import enrich
 from geoalbums.operators.scan import bucketed, library_keys
 from geoalbums.operators.walk import ORDER, walk, with_album_ids
 from geoalbums.plans.grouping import prepare
-from geoalbums.sources.shared import materialize
+from geoalbums.sources.shared import materialize, path_exists, remove_path, scratch
 
 _TAIL = ["file_name", "date_created", "latitude", "longitude", "location_name"]
 
 
 @dataclass(frozen=True)
 class AlbumStream:
-    """Closed albums' items go to `folder`/items, the open tail to `folder`/tail.
+    """Closed albums' items go to `folder`/items, late ones to `folder`/late, the tail to `folder`/tail.
 
     An album closes when its last item is more than `max(T, hold_hours)` before the newest item
-    of its batch or any before. With no time threshold an album closes at the next break only,
-    and `hold_hours` bounds how late an item may still be.
+    of all libraries so far, so a library that falls idle closes too. With no time threshold an
+    album closes at the next break only, and `hold_hours` bounds how late an item may still be.
+    A folder belongs to one checkpoint.
     """
 
     cfg: AlbumConfig
@@ -46,32 +49,67 @@ class AlbumStream:
     places: DataFrame | None = None
     hold_hours: float = 0.0
 
+    def __post_init__(self) -> None:
+        if self.cfg.avoid_existing:
+            raise ValueError("avoid_existing needs all folders at once: a stream cannot look them up")
+
     def start(self, stream: DataFrame, checkpoint: str, **trigger):
+        self._claim(stream.sparkSession, checkpoint)
         writer = stream.writeStream.foreachBatch(self.run_batch).option("checkpointLocation", checkpoint)
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
-    def _read(self, spark: SparkSession, table: str, batch_id: int) -> DataFrame | None:
-        from geoalbums.sources.media_files import root_exists
+    def _claim(self, spark: SparkSession, checkpoint: str) -> None:
+        """The folder is this checkpoint's from now on, or is so already."""
+        path = f"{self.folder}/checkpoint-in-use"
+        if path_exists(spark, path):
+            owner = spark.read.parquet(path).first()["checkpoint"]
+            if owner != checkpoint:
+                raise ValueError(f"{self.folder} belongs to the stream with checkpoint {owner}")
+        else:
+            spark.range(1).select(F.lit(checkpoint).alias("checkpoint")).write.parquet(path)
 
-        path = f"{self.folder}/{table}/batch={batch_id}"
-        return spark.read.parquet(path) if root_exists(spark, path) else None
+    def _tail(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
+        """What the batch before left; the first batch has nothing before it."""
+        if batch_id == 0:
+            return None
+        path = f"{self.folder}/tail/batch={batch_id - 1}"
+        if not path_exists(spark, path):
+            raise RuntimeError(f"batch {batch_id} needs the tail of its predecessor, and {path} is missing")
+        return spark.read.parquet(path)
 
     def run_batch(self, batch: DataFrame, batch_id: int) -> None:
         spark, cfg = batch.sparkSession, self.cfg
-        keys = library_keys(cfg.library_cols)
-        fresh = prepare(batch, cfg).select(*cfg.library_cols, *_TAIL)
-        if self.places is not None:
-            fresh = enrich(materialize(fresh, "stream-media"), self.places, cfg)
-        fresh = materialize(self._with_roles(fresh), "stream-fresh")
-        tail = self._read(spark, "tail", batch_id - 1)
-        items = fresh
-        if tail is not None:
-            closed = tail.where(F.col("role") == "closed").select(
-                *cfg.library_cols, *[F.col(name).alias(f"closed_{name}") for name in ORDER]
-            )
-            on_time = self._after_closed(fresh, closed)
-            items = on_time.unionByName(tail)
-        self._close(items, batch_id, spark, keys)
+        with scratch(spark):
+            keys = library_keys(cfg.library_cols)
+            fresh = prepare(batch, cfg).select(*cfg.library_cols, *_TAIL)
+            if self.places is not None:
+                fresh = enrich(materialize(fresh, "stream-media"), self.places, cfg)
+            fresh = materialize(self._with_roles(fresh), "stream-fresh")
+            tail = self._tail(spark, batch_id)
+            late = fresh.where("false")
+            items = fresh
+            if tail is not None:
+                closed = tail.where(F.col("role") == "closed").select(
+                    *cfg.library_cols, *[F.col(name).alias(f"closed_{name}") for name in ORDER]
+                )
+                judged = materialize(self._judged(fresh, closed), "stream-judged")
+                late = judged.where("late").drop("late")
+                items = judged.where(~F.col("late")).drop("late").unionByName(tail)
+            late.select(*cfg.library_cols, *_TAIL).write.mode("overwrite").parquet(f"{self.folder}/late/batch={batch_id}")
+            self._close(items, str(batch_id), spark, keys)
+        # a batch that is run again reads its predecessor's tail; older ones are never asked for
+        if batch_id > 1:
+            remove_path(spark, f"{self.folder}/tail/batch={batch_id - 2}")
+
+    def close_all(self, spark: SparkSession) -> None:
+        """Ends the stream: whatever is open becomes closed albums. Run again, it gives the same rows."""
+        tails = spark.read.parquet(f"{self.folder}/tail")
+        last = tails.agg(F.max(F.col("batch").cast("long"))).first()[0]
+        if last is None:
+            return
+        tail = tails.where(F.col("batch").cast("long") == last).drop("batch")
+        with scratch(spark):
+            self._close(materialize(tail, "stream-last-tail"), "end", spark, library_keys(self.cfg.library_cols), flush=True)
 
     def _with_roles(self, df: DataFrame) -> DataFrame:
         return df.withColumns(
@@ -84,8 +122,9 @@ class AlbumStream:
             }
         )
 
-    def _after_closed(self, fresh: DataFrame, closed: DataFrame) -> DataFrame:
-        """Items that belong after what is closed already; earlier ones came too late."""
+    def _judged(self, fresh: DataFrame, closed: DataFrame) -> DataFrame:
+        """`late`: whether an item belongs before what is closed already. One row per library of
+        `closed` is all that is joined, so a large library is split by adaptive execution."""
         columns = fresh.columns
         key = list(self.cfg.library_cols)
         if key:
@@ -94,9 +133,11 @@ class AlbumStream:
             last = closed.agg(F.max(F.struct(*[f"closed_{name}" for name in ORDER])).alias("last"))
             joined = fresh.withColumn("last", last.scalar()).select("*", "last.*")
         late = F.struct(*ORDER) <= F.struct(*[F.col(f"closed_{name}").alias(name) for name in ORDER])
-        return joined.where(~F.coalesce(late, F.lit(False))).select(*columns)
+        return joined.select(*columns, F.coalesce(late, F.lit(False)).alias("late"))
 
-    def _close(self, items: DataFrame, batch_id: int, spark: SparkSession, keys: list[str]) -> None:
+    def _close(
+        self, items: DataFrame, label: str, spark: SparkSession, keys: list[str], flush: bool = False
+    ) -> None:
         cfg = self.cfg
         ranges = bucketed(items, cfg.library_cols, ORDER, cfg.scan_buckets)
         # The tail keeps positions as they came; the closed item keeps the one it ended up with.
@@ -113,7 +154,8 @@ class AlbumStream:
             F.col("part").alias("base_part"),
         )
         # A library's first album in the tail is the closed one, if there is one.
-        offsets = steps.groupBy(*keys).agg(F.max("newest").alias("latest")).join(base, keys, "left")
+        newest = steps.agg(F.max("newest").alias("latest")).scalar()
+        offsets = steps.select(*keys).distinct().join(base, keys, "left").withColumn("latest", newest)
         offsets = materialize(
             offsets.withColumn("offset", F.coalesce(F.col("base_id") - 1, F.lit(0))), "stream-offsets"
         )
@@ -139,8 +181,9 @@ class AlbumStream:
             )
         hold = max(cfg.time_micros, int(self.hold_hours * 3_600_000_000))
         idle = micros(F.col("latest")) - micros(F.col("last_date"))
+        closes = F.lit(True) if flush else idle > hold
         albums = materialize(
-            with_part_suffix(albums.withColumn("closes", idle > hold)), "stream-albums"
+            with_part_suffix(albums.withColumn("closes", closes)), "stream-albums"
         )
         # Albums close in order: an album stays open while an earlier one does.
         first_open = albums.where(~F.col("closes")).groupBy(*keys).agg(F.min("album_id").alias("first_open"))
@@ -155,17 +198,18 @@ class AlbumStream:
         shown = ("album_name", "part", "base_name", "closes", "last_closed", "offset", "latest")
         rows = name_items(steps, pieces, status, cfg, shown)
         rows = materialize(rows, "stream-rows")
-        self._write_closed(rows, batch_id)
-        self._write_tail(rows, batch_id, keys)
+        self._write_closed(rows, label)
+        if not flush:
+            self._write_tail(rows, label, keys)
 
-    def _write_closed(self, rows: DataFrame, batch_id: int) -> None:
+    def _write_closed(self, rows: DataFrame, label: str) -> None:
         done = rows.where(F.col("closes") & (F.col("role") == "open"))
         done.select(
             *self.cfg.library_cols, *_TAIL,
             (F.col("album_id") + F.col("offset")).alias("album_id"), "album_name", "part",
-        ).write.mode("overwrite").parquet(f"{self.folder}/items/batch={batch_id}")
+        ).write.mode("overwrite").parquet(f"{self.folder}/items/batch={label}")
 
-    def _write_tail(self, rows: DataFrame, batch_id: int, keys: list[str]) -> None:
+    def _write_tail(self, rows: DataFrame, label: str, keys: list[str]) -> None:
         open_items = rows.where(~F.col("closes")).select(
             *self.cfg.library_cols,
             "file_name", "date_created",
@@ -189,9 +233,13 @@ class AlbumStream:
             .select(*self.cfg.library_cols, "last.*", F.lit("closed").alias("role"))
         )
         open_items.unionByName(closed_items).write.mode("overwrite").parquet(
-            f"{self.folder}/tail/batch={batch_id}"
+            f"{self.folder}/tail/batch={label}"
         )
 
     def closed_items(self, spark: SparkSession) -> DataFrame:
         """Items of all closed albums so far."""
         return spark.read.parquet(f"{self.folder}/items").drop("batch")
+
+    def late_items(self, spark: SparkSession) -> DataFrame:
+        """Items that came after their place in the order was closed."""
+        return spark.read.parquet(f"{self.folder}/late").drop("batch")

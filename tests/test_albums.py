@@ -10,7 +10,7 @@ from geoalbums import AlbumConfig, build_albums
 from geoalbums.operators.albums import avoid_existing, part_numbers, top_places, with_part_suffix
 from geoalbums.plans.outputs import write_run
 from geoalbums.plans.report import album_catalog, album_preview, file_preview, run_totals
-from geoalbums.sources.media_files import existing_files, scan_media, with_prefix_digest
+from geoalbums.sources.media_files import existing_files, scan_media, with_file_digest
 from geoalbums.sources.state import read_marks
 from geoalbums.sources.tags import media_from_tags
 from workload import fixtures as fx
@@ -139,14 +139,14 @@ def test_outputs_and_mark(spark, tmp_path):
     write_run(build_albums(media, cfg), cfg, folder, state_path=marks, destination="/albums/")
     manifest = spark.read.parquet(f"{folder}/manifest").where("library = 1")
     assert {(r.file_name, r.target_path, r.action) for r in manifest.collect()} == {
-        ("/p/a.jpg", "01 Jul 2024/a.jpg", "PLACE"),
-        ("/p/b.JPG", "01 Jul 2024/b.JPG", "PLACE"),
-        ("/q/a.jpg", "01 Jul 2024/a.jpg", "SKIP_IDENTICAL"),
-        ("/p/c.mp4", "06 Jul 2024/c.mp4", "PLACE"),
-        ("/p/d.mp4", "10 Jul 2024/d.mp4", "PLACE"),
+        ("/p/a.jpg", "1/01 Jul 2024/a.jpg", "PLACE"),
+        ("/p/b.JPG", "1/01 Jul 2024/b.JPG", "PLACE"),
+        ("/q/a.jpg", "1/01 Jul 2024/a.jpg", "SKIP_IDENTICAL"),
+        ("/p/c.mp4", "1/06 Jul 2024/c.mp4", "PLACE"),
+        ("/p/d.mp4", "1/10 Jul 2024/d.mp4", "PLACE"),
     }
     catalog = {r.album_path: (r.files, r.album_date) for r in spark.read.parquet(f"{folder}/catalog").where("library = 1").collect()}
-    assert catalog["/albums/01 Jul 2024"] == (3, dt.datetime(2024, 7, 1, 12))
+    assert catalog["/albums/1/01 Jul 2024"] == (3, dt.datetime(2024, 7, 1, 12))
     saved = {r.library: r.last_processed for r in read_marks(spark, marks, ("library",)).collect()}
     assert saved == {1: dt.datetime(2024, 7, 10, 12), 2: dt.datetime(2024, 7, 1, 12)}
 
@@ -170,8 +170,8 @@ def test_files_end_to_end(spark, tmp_path):
     cfg = AlbumConfig(mode="copy")
     media = media_from_tags(tags, files.withColumn("modified_at", F.lit("2024-06-01").cast("timestamp_ntz")), cfg)
     run = build_albums(media, cfg)
-    existing = with_prefix_digest(existing_files(spark, f"file:{tmp_path}/out").drop("content"))
-    write_run(run, cfg, f"{tmp_path}/result", existing, f"{tmp_path}/marks", "/out", with_prefix_digest)
+    existing = with_file_digest(existing_files(spark, f"file:{tmp_path}/out").drop("content"), "crc")
+    write_run(run, cfg, f"{tmp_path}/result", existing, f"{tmp_path}/marks", "/out", lambda files: with_file_digest(files, "crc"))
     manifest = spark.read.parquet(f"{tmp_path}/result/manifest").collect()
     short = {r.file_name.split("/in/")[1]: (r.target_path, r.action) for r in manifest}
     assert short == {

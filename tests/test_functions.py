@@ -102,7 +102,7 @@ def test_violations(spark):
 
 def slow_crc64(data):
     value = 2**64 - 1
-    for byte in data[:65536]:
+    for byte in data:
         value ^= byte
         for _ in range(8):
             value = (value >> 1) ^ (0xC96C5795D7870F42 if value & 1 else 0)
@@ -111,7 +111,7 @@ def slow_crc64(data):
 
 def test_crc64():
     assert crc64_hex([b"123456789"]) == ["995DC9BBDF1939FA"]
-    blobs = [bytes((i * j) % 251 for j in range(i * 7)) for i in range(90)] + [b"", b"x" * 3000, bytes(range(256)) * 256]
+    blobs = [bytes((i * j) % 251 for j in range(i * 7)) for i in range(90)] + [b"", b"x" * 3000, bytes(range(256)) * 300]
     assert crc64_hex(blobs) == [slow_crc64(blob) for blob in blobs]
 
 
@@ -119,7 +119,7 @@ def test_digests(spark):
     head = b"a" * 65536
     blobs = [bytearray(head + b"x"), bytearray(head + b"y"), bytearray(b"123456789"), None]
     crc = column(spark, blobs, "binary", lambda c: content_digest(c, "crc"))
-    assert crc[0] == crc[1] and crc[2] == "995DC9BBDF1939FA" and crc[3] is None
+    assert crc[0] != crc[1] and crc[2] == "995DC9BBDF1939FA" and crc[3] is None
     md5 = column(spark, blobs, "binary", lambda c: content_digest(c, "md5"))
     assert md5[0] != md5[1] and len(binascii.unhexlify(md5[0])) == 16
     assert len(column(spark, blobs, "binary", lambda c: content_digest(c, "sha"))[0]) == 128

@@ -1,14 +1,16 @@
 import datetime as dt
+import hashlib
 import os
 
 from pyspark.sql import functions as F
 
 from geoalbums import AlbumConfig
+from geoalbums.functions.hashing import chunked_digest, crc64_hex
 from geoalbums.operators.content import digest_candidates, duplicate_files, duplicate_groups
 from geoalbums.operators.filters import date_window, late_items
 from geoalbums.sources.gazetteer import parse_lines
 from geoalbums.sources.media_files import (
-    distinct_paths, existing_files, existing_folders, list_files, scan_counts, scan_media, with_prefix_digest,
+    distinct_paths, existing_files, existing_folders, list_files, scan_counts, scan_media, skipped_roots, with_file_digest,
 )
 from geoalbums.sources.state import merge_marks, read_marks, save_marks
 from geoalbums.sources.tags import tag_dates, tag_locations
@@ -30,6 +32,7 @@ def test_scan(spark, tmp_path):
     assert names(scan_media(spark, [root, f"{root}/sub", f"{root}/nowhere"], recursive=True)) == ["a.JPG", "c.mp4", "d.heic"]
     assert names(scan_media(spark, [root], recursive=True, no_photos=True)) == ["c.mp4"]
     assert scan_media(spark, [f"{root}/nowhere"]).count() == 0
+    assert [tuple(r) for r in skipped_roots(spark, [root, f"{root}/nowhere"]).collect()] == [(f"{root}/nowhere", "not found")]
     twice = list_files(spark, [root, f"{root}/sub"], recursive=True)
     counts = scan_counts(twice).first()
     assert (counts.files, counts.duplicates, counts.total_bytes) == (4, 2, 10)
@@ -47,27 +50,55 @@ def test_existing(spark, tmp_path):
 
 def test_duplicates(spark, tmp_path):
     head = b"h" * 70000
-    tree(str(tmp_path), {"a": head + b"1", "b": head + b"2", "c": b"same", "d": b"same", "e": b"lone"[:3], "f": b"diff"})
-    files = list_files(spark, [str(tmp_path)])
+    tree(str(tmp_path), {
+        "a": head + b"1", "b": head + b"2", "c": b"same", "d": b"same", "e": b"lone"[:3], "f": b"diff", "g": head + b"1",
+        "huge": head * 3,
+    })
+    files = list_files(spark, [str(tmp_path)]).select("path", "length")
+    contents = list_files(spark, [str(tmp_path)])
     name = F.regexp_extract("first_path", r"([^/]*)$", 1)
-    for mode, expected in (("crc", {"a": 2, "c": 2}), ("md5", {"c": 2}), ("sha", {"c": 2})):
+    for mode in ("crc", "md5", "sha"):
         for cfg in (AlbumConfig(hash_mode=mode), AlbumConfig(hash_mode=mode, broadcast_rows=0, hot_rows=0)):
-            digests = digest_candidates(files, cfg)
-            assert digests.count() == (5 if cfg.broadcast_rows else 6)
-            groups = duplicate_groups(digests).select(name.alias("n"), "files").collect()
-            assert {r.n: r.files for r in groups} == expected
-            assert duplicate_files(digests, cfg).count() == sum(expected.values())
-
-
-def test_prefix_digest(spark, tmp_path):
+            for listed in (files, contents):
+                digests = digest_candidates(listed, cfg)
+                assert digests.count() == 6
+                groups = duplicate_groups(digests).select(name.alias("n"), "files").collect()
+                assert {r.n: r.files for r in groups} == {"a": 2, "c": 2}
+                assert duplicate_files(digests, cfg).count() == 4
+
+
+def test_lone_lengths_are_not_read(spark, tmp_path):
+    tree(str(tmp_path), {"a": b"1", "b": b"1", "huge": b"x" * 5000})
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
+    try:
+        listed = list_files(spark, [str(tmp_path)]).select("path", "length")
+        digests = digest_candidates(listed, AlbumConfig(hash_mode="md5"))
+        assert digests.count() == 2
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_file_digest(spark, tmp_path):
     head = b"h" * 70000
     tree(str(tmp_path), {"a.jpg": head + b"1", "b.jpg": head + b"2", "c.jpg": b"123456789"})
-    files = scan_media(spark, [str(tmp_path)])
+    files = scan_media(spark, [str(tmp_path)]).select("file_name")
     gone = spark.createDataFrame([(f"{tmp_path}/gone.jpg",)], "file_name string")
-    rows = with_prefix_digest(files.select("file_name").unionByName(gone)).collect()
-    digests = {os.path.basename(r.file_name): r.digest for r in rows}
-    assert digests["a.jpg"] == digests["b.jpg"] and digests["c.jpg"] == "995DC9BBDF1939FA"
-    assert digests["gone.jpg"].endswith("gone.jpg")
+    for mode in ("crc", "md5", "sha"):
+        rows = with_file_digest(files.unionByName(gone), mode).collect()
+        digests = {os.path.basename(r.file_name): r.digest for r in rows}
+        assert digests["a.jpg"] != digests["b.jpg"] and digests["gone.jpg"] is None
+    assert {os.path.basename(r.file_name): r.digest for r in with_file_digest(files, "crc").collect()}["c.jpg"] == "995DC9BBDF1939FA"
+    heads = {os.path.basename(r.file_name): r.digest for r in with_file_digest(files, "crc", prefix=True).collect()}
+    assert heads["a.jpg"] == heads["b.jpg"]
+
+
+def test_chunks_add_up():
+    data = bytes(range(256)) * 37
+    for mode, whole in (("crc", crc64_hex([data])[0]), ("md5", hashlib.md5(data).hexdigest())):
+        digest = chunked_digest(mode)
+        for at in range(0, len(data), 1000):
+            digest.update(data[at : at + 1000])
+        assert digest.hexdigest() == whole
 
 
 def test_dump_lines(spark):

@@ -1,6 +1,9 @@
 import datetime as dt
+import os
 import random
 
+import pytest
+
 from geoalbums import AlbumConfig, build_albums
 from geoalbums.streaming.albums import AlbumStream
 from geoalbums.streaming.sessions import session_albums
@@ -42,12 +45,62 @@ def test_stream_equals_batch(spark, tmp_path):
     columns = ["library", "file_name", "latitude", "longitude", "album_id", "album_name", "part"]
     streamed = [tuple(r) for r in job.closed_items(spark).select(*columns).collect()]
     batch = [tuple(r) for r in build_albums(media, cfg).items.select(*columns).collect()]
-    newest = {lib: max(r[2] for r in rows if r[0] == lib) for lib in (1, 2)}
+    newest = max(r[2] for r in rows)
     when = {r[1]: r[2] for r in rows}
     ends = {}
     for item in batch:
         key = (item[0], item[4])
         ends[key] = max(ends.get(key, START), when[item[1]])
-    closed = [i for i in batch if newest[i[0]] - ends[i[0], i[4]] > dt.timedelta(hours=1)]
+    closed = [i for i in batch if newest - ends[i[0], i[4]] > dt.timedelta(hours=1)]
     assert len(closed) > 100 and len(streamed) == len(closed)
     assert set(streamed) == set(closed)
+    job.close_all(spark)
+    job.close_all(spark)  # again: the same rows
+    streamed = [tuple(r) for r in job.closed_items(spark).select(*columns).collect()]
+    assert len(streamed) == len(batch) and set(streamed) == set(batch)
+    assert job.late_items(spark).count() == 0
+    # a tail is kept for the batch to come and the one before it
+    assert len([f for f in os.listdir(tmp_path / "out" / "tail") if f.startswith("batch=")]) == 2
+
+
+SCHEMA = "library int, file_name string, date_created timestamp_ntz, latitude double, longitude double"
+
+
+def portions(spark, tmp_path, job, *parts):
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+        job.start(stream, str(tmp_path / "check")).awaitTermination()
+
+
+def item(library, name, hours):
+    return (library, f"{name}.jpg", START + dt.timedelta(hours=hours), 0.0, 0.0)
+
+
+def test_idle_libraries_close_and_late_items_are_kept(spark, tmp_path):
+    job = AlbumStream(AlbumConfig(time_hours=1, library_cols=("library",)), str(tmp_path / "out"))
+    portions(
+        spark, tmp_path, job,
+        [item(1, "a", 0), item(2, "b", 0), item(2, "c", 5)],
+        [item(2, "d", 50)],
+        [item(1, "too late", -1), item(1, "next", 60), item(2, "e", 60)],
+    )
+    found = {(r.library, r.file_name[:-4]): r.album_id for r in job.closed_items(spark).collect()}
+    assert found == {(1, "a"): 1, (2, "b"): 1, (2, "c"): 2, (2, "d"): 3}
+    assert [(r.library, r.file_name[:-4]) for r in job.late_items(spark).collect()] == [(1, "too late")]
+    job.close_all(spark)
+    found = {(r.library, r.file_name[:-4]): r.album_id for r in job.closed_items(spark).collect()}
+    assert found == {(1, "a"): 1, (1, "next"): 2, (2, "b"): 1, (2, "c"): 2, (2, "d"): 3, (2, "e"): 4}
+
+
+def test_lost_tail_and_foreign_checkpoint(spark, tmp_path):
+    cfg = AlbumConfig(time_hours=1, library_cols=("library",))
+    job = AlbumStream(cfg, str(tmp_path / "out"))
+    portions(spark, tmp_path, job, [item(1, "a", 0)])
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    with pytest.raises(ValueError):
+        job.start(stream, str(tmp_path / "another"))
+    with pytest.raises(RuntimeError):
+        job.run_batch(spark.createDataFrame([item(1, "z", 9)], SCHEMA), 7)
+    with pytest.raises(ValueError):
+        AlbumStream(AlbumConfig(avoid_existing=True), "x")

@@ -29,14 +29,14 @@ MEDIA_OWNER = _MEDIA.replace("{city}", _CITY_BY_OWNER)
 
 PLACES = """
 SELECT k AS geonameid, concat(seg, CASE WHEN j % 7 = 3 THEN ' / ' ELSE ' ' END, CAST(k % 97 AS VARCHAR(20))) AS name,
- CAST(-47 + 4*city AS DOUBLE) + CAST((k*13) % 100 AS DOUBLE)/CAST(spread AS DOUBLE) AS latitude,
+ CASE WHEN city = 24 THEN CAST(-80 AS DOUBLE) ELSE CAST(-47 + 4*city AS DOUBLE) END + CAST((k*13) % 100 AS DOUBLE)/CAST(spread AS DOUBLE) AS latitude,
  CAST(-165.5 AS DOUBLE) + CAST(13*city AS DOUBLE) + CAST((k*29) % 100 AS DOUBLE)/CAST(spread AS DOUBLE) AS longitude,
  fclass AS feature_class, fcode AS feature_code, 'XX' AS country, CAST(city AS VARCHAR(20)) AS admin1, k*10 AS population
 FROM (SELECT c_custkey AS k, c_mktsegment AS seg, c_custkey % 25 AS city, j,
   CASE CAST(j % 12 AS INT) WHEN 0 THEN 'S' WHEN 1 THEN 'S' WHEN 2 THEN 'L' WHEN 3 THEN 'P' WHEN 4 THEN 'A' WHEN 5 THEN 'H' WHEN 6 THEN 'A' WHEN 7 THEN 'A' WHEN 8 THEN 'P' WHEN 9 THEN 'H' WHEN 10 THEN 'P' ELSE 'T' END AS fclass,
   CASE CAST(j % 12 AS INT) WHEN 0 THEN 'CSTL' WHEN 1 THEN 'HTL' WHEN 2 THEN 'PRK' WHEN 3 THEN 'PPL' WHEN 4 THEN CASE WHEN c_custkey % 25 % 3 = 2 THEN 'ADM1' ELSE 'ADM3' END WHEN 5 THEN CASE WHEN c_custkey % 25 % 3 = 0 THEN 'SEA' ELSE 'BAY' END WHEN 6 THEN 'ADM2' WHEN 7 THEN CASE WHEN c_custkey % 25 % 3 = 2 THEN 'ADM1' ELSE 'PCLI' END WHEN 8 THEN 'PPLX' WHEN 9 THEN 'STM' WHEN 10 THEN 'PPLA' ELSE 'MT' END AS fcode,
   CASE WHEN j % 12 IN (0,1) THEN 10000 WHEN j % 12 = 2 THEN 6000 WHEN j % 12 IN (3,8,10) THEN 600 ELSE 120 END AS spread
- FROM (SELECT *, CAST(floor(CAST(c_custkey AS DOUBLE)/25) AS BIGINT) AS j FROM customer) c0) c WHERE city <> 24
+ FROM (SELECT *, CAST(floor(CAST(c_custkey AS DOUBLE)/25) AS BIGINT) AS j FROM customer) c0) c
 """
 
 MEDIA_TAGS = """

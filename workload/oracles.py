@@ -201,6 +201,10 @@ result AS (SELECT f.file_name, f.album_name,
 CONTENT = f"content AS (SELECT path, encode(text) AS bytes, octet_length(encode(text)) AS length FROM ({fx.CONTENT}))"
 
 
+TREE = """tree AS (SELECT concat(source, '/d', CAST(doc_id % 3 AS VARCHAR), '/', CAST(doc_id AS VARCHAR),
+  CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN '.txt' WHEN 1 THEN '.MP4' ELSE '.jpg' END) AS name, CAST(octet_length(encode(text)) AS BIGINT) AS length, text FROM documents)"""
+
+
 def duplicates(key: str) -> str:
     return _sql(
         CONTENT,
@@ -327,7 +331,7 @@ SELECT c_custkey, {violations('/')} AS posix, {violations(_PORTABLE)} AS portabl
         "album_no_parts": _sql(*single(0.25, 10), figures(), select="SELECT CAST(album_id AS BIGINT) AS album_id, date_name AS album_name, 0 AS part FROM date_named"),
         "album_catalog": _sql(
             *by_owner(), figures("owner"), "based AS (SELECT *, date_name AS base FROM date_named)", PARTS,
-            select="SELECT lib AS owner, album_name, '/albums/' || album_name AS album_path, min(first_date) AS album_date, CAST(sum(files) AS BIGINT) AS files FROM albums GROUP BY lib, album_name",
+            select="SELECT lib AS owner, album_name, '/albums/' || lib || '/' || album_name AS album_path, min(first_date) AS album_date, CAST(sum(files) AS BIGINT) AS files FROM albums GROUP BY lib, album_name",
         ),
         "album_preview": _sql(
             *date_albums(0.25, 10),
@@ -337,7 +341,16 @@ SELECT c_custkey, {violations('/')} AS posix, {violations(_PORTABLE)} AS portabl
         "run_totals": _sql(*date_albums(0.25, 10), select="SELECT CAST(sum(files) AS BIGINT) AS files, count(DISTINCT album_name) AS albums FROM albums"),
         "content_duplicates_md5": duplicates("md5(bytes)"),
         "content_duplicates_sha": duplicates("sha256(bytes)"),
-        "content_duplicates_prefix": duplicates("bytes[1:65536]"),
+        "content_duplicates_prefix": duplicates("bytes"),
+        "content_same_prefix": """SELECT CAST(70008 AS BIGINT) AS length, count(*) AS files, min(concat('/long/', CAST(doc_id AS VARCHAR), '.mp4')) AS first_path
+FROM documents GROUP BY doc_id % 100 HAVING count(*) > 1""",
+        "content_files_twins": _sql(
+            TREE, select="SELECT name, length FROM tree QUALIFY count(*) OVER (PARTITION BY md5(text)) > 1"
+        ),
+        "scan_files": _sql(TREE, select="SELECT name, length FROM tree WHERE name NOT LIKE '%.txt'"),
+        "existing_listing": _sql(
+            TREE, select="SELECT regexp_extract(name, '(.*)/', 1) AS folder, count(*) AS files, CAST(sum(length) AS BIGINT) AS total_bytes FROM tree GROUP BY 1"
+        ),
         "content_twins": _sql(
             CONTENT, "hashed AS (SELECT path, length, md5(bytes) AS digest FROM content)",
             select="SELECT path, digest, min(path) OVER (PARTITION BY length, digest) AS first_path FROM hashed QUALIFY count(*) OVER (PARTITION BY length, digest) > 1",

@@ -20,7 +20,9 @@ from geoalbums.plans import report
 from geoalbums.plans.grouping import prepare, public
 from geoalbums.sources import tags as tag_source
 from geoalbums.sources.gazetteer import read_geonames
-from geoalbums.sources.media_files import distinct_paths, scan_counts
+from geoalbums.sources.media_files import (
+    distinct_paths, existing_files, list_files, scan_counts, scan_media, write_file,
+)
 from geoalbums.sources.shared import fresh_path, materialize
 from geoalbums.sources.state import merge_marks, read_marks, save_marks
 from geoalbums.streaming.albums import AlbumStream
@@ -422,6 +424,70 @@ def content_twins(spark, sf_dir):
     return duplicate_files(digests, cfg).select("path", "digest", "first_path")
 
 
+def long_contents(spark, sf_dir):
+    """Documents as files of over 64 KiB that differ in their last bytes only, or not at all."""
+    head = F.rpad(F.lit("head of a long file "), 70_000, ".")
+    tail = F.lpad((F.col("doc_id") % 100).cast("string"), 8, "0")
+    return fx.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("/long/"), F.col("doc_id").cast("string"), F.lit(".mp4")).alias("path"),
+        F.lit(70_008).cast("bigint").alias("length"),
+        F.concat(head, tail).cast("binary").alias("content"),
+    )
+
+
+def content_same_prefix(spark, sf_dir):
+    """One length and one beginning, different ends: no twins."""
+    digests = digest_candidates(long_contents(spark, sf_dir), AlbumConfig(hash_mode="crc"))
+    return duplicate_groups(digests).select("length", "files", "first_path")
+
+
+def written_tree(spark, sf_dir):
+    """Documents written as files below one new folder, by the executors; odd folders hold text files."""
+    root = fresh_path(spark, "tree")
+
+    def write(batches):
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"]):
+                write_file(f"{root}/{name}", bytes(content))
+            yield batch[["name"]]
+
+    source, number = F.col("source"), F.col("doc_id").cast("string")
+    ending = F.when(F.col("doc_id") % 5 == 0, ".txt").when(F.col("doc_id") % 5 == 1, ".MP4").otherwise(".jpg")
+    rows = fx.table(spark, sf_dir, "documents").select(
+        F.concat(source, F.lit("/d"), (F.col("doc_id") % 3).cast("string"), F.lit("/"), number, ending).alias("name"),
+        F.col("text").cast("binary").alias("content"),
+    )
+    materialize(rows.mapInPandas(write, "name string"), "written-names")
+    return root
+
+
+def _below(root):
+    return F.regexp_extract("path", r"/(tree-[^/]*/.*)\z", 1).substr(F.lit(len("tree-") + 34), F.lit(1000))
+
+
+def scan_files(spark, sf_dir):
+    """Media found below a root that holds other files too."""
+    root = written_tree(spark, sf_dir)
+    found = scan_media(spark, [root], recursive=True).withColumnRenamed("file_name", "path")
+    return found.select(_below(root).alias("name"), "length")
+
+
+def existing_listing(spark, sf_dir):
+    """Folders of a destination with their files and bytes."""
+    root = written_tree(spark, sf_dir)
+    files = existing_files(spark, root)
+    return files.groupBy("folder").agg(F.count("*").alias("files"), F.sum("length").alias("total_bytes"))
+
+
+def content_files_twins(spark, sf_dir):
+    """Twins among files: only those of one length and beginning are read as a whole."""
+    root = written_tree(spark, sf_dir)
+    listed = list_files(spark, [root], recursive=True).select("path", "length")
+    cfg = AlbumConfig(hash_mode="sha")
+    twins = duplicate_files(digest_candidates(listed, cfg), cfg)
+    return twins.select(_below(root).alias("name"), "length")
+
+
 def placement_items(spark, sf_dir, cfg):
     return build_albums(media(spark, sf_dir), cfg).items.withColumnRenamed("content_md5", "digest")
 
@@ -559,6 +625,10 @@ def queries() -> dict[str, Query]:
         "content_duplicates_sha": content_duplicates("sha"),
         "content_duplicates_prefix": content_duplicates("crc"),
         "content_twins": content_twins,
+        "content_same_prefix": content_same_prefix,
+        "content_files_twins": content_files_twins,
+        "scan_files": scan_files,
+        "existing_listing": existing_listing,
         "placement_manifest": placement_manifest_query,
         "placement_onto_existing": placement_onto_existing,
         "placement_counts": placement_counts,
