@@ -367,6 +367,17 @@ SELECT * FROM s3 WHERE epoch_us(last_date) + 86400000000 - 1 <= (SELECT epoch_us
             select="""SELECT s.file_name, s.date_created, s.latitude, s.longitude, CAST(s.album_id AS BIGINT) AS album_id, a.album_name, a.part
  FROM steps s JOIN albums a ON a.album_id = s.album_id, newest n WHERE n.t - epoch_us(a.last_date) > 900000000""",
         ),
+        "stream_albums_by_owner": _sql(
+            *by_owner(), figures("owner"), "based AS (SELECT *, date_name AS base FROM date_named)", PARTS,
+            "newest AS (SELECT max(t) AS t FROM steps)",
+            select="""SELECT s.owner, s.file_name, CAST(s.album_id AS BIGINT) AS album_id, a.part
+ FROM steps s JOIN albums a ON a.album_id = s.album_id AND a.lib = s.owner, newest n WHERE n.t - epoch_us(a.last_date) > 48 * 3600000000""",
+        ),
+        "stream_flush": _sql(
+            *by_owner(), figures("owner"), "based AS (SELECT *, date_name AS base FROM date_named)", PARTS,
+            select="SELECT s.owner, s.file_name, CAST(s.album_id AS BIGINT) AS album_id, a.part FROM steps s JOIN albums a ON a.album_id = s.album_id AND a.lib = s.owner",
+        ),
+        "stream_late": _sql(MEDIA, WANTED, select="SELECT file_name, date_created FROM wanted WHERE date_created BETWEEN '2024-01-03' AND '2024-01-04'"),
         "grouping_run": _sql(
             *placed(0.25, 10), figures(), TOP,
             f"based AS (SELECT *, strftime(first_date, '%Y/') || CASE WHEN has_place THEN {LIST_NAME} || strftime(first_date, ' (%b %Y)') ELSE date_name END AS base FROM place_named)",

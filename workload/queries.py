@@ -540,21 +540,50 @@ def stream_sessions(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows")
 
 
-def stream_albums(spark, sf_dir):
-    """Media arriving in three portions of ten days."""
+_PORTIONS = (("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-02-01"))
+
+
+def _streamed(spark, rows, cfg, *, before=None):
+    """The stream's job after media came in three portions of ten days, `before` ahead of the last."""
     out = fresh_path(spark, "stream")
-    rows = media(spark, sf_dir)
-    job = AlbumStream(ONE, f"{out}/result")
-    stream = None
-    for start, end in (("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-02-01")):
+    job = AlbumStream(cfg, f"{out}/result")
+    for number, (start, end) in enumerate(_PORTIONS):
         portion = filters.date_window(rows, AlbumConfig(date_from=start, date_to=end))
+        if before is not None and number == len(_PORTIONS) - 1:
+            portion = portion.unionByName(before)
         portion.write.mode("append").parquet(f"{out}/incoming")
         stream = spark.readStream.schema(rows.schema).parquet(f"{out}/incoming")
         job.start(stream, f"{out}/checkpoint").awaitTermination()
-    closed = job.closed_items(spark)
+    return job
+
+
+def stream_albums(spark, sf_dir):
+    """Media arriving in three portions of ten days."""
+    closed = _streamed(spark, media(spark, sf_dir), ONE).closed_items(spark)
     return closed.select("file_name", "date_created", "latitude", "longitude", "album_id", "album_name", "part")
 
 
+def stream_albums_by_owner(spark, sf_dir):
+    """Owners of whom many fall idle: their albums close by the newest item of all."""
+    closed = _streamed(spark, media_owner(spark, sf_dir), OWNERS).closed_items(spark)
+    return closed.select("owner", "file_name", "album_id", "part")
+
+
+def stream_flush(spark, sf_dir):
+    """The same, ended: every item is in an album."""
+    job = _streamed(spark, media_owner(spark, sf_dir), OWNERS)
+    job.close_all(spark)
+    return job.closed_items(spark).select("owner", "file_name", "album_id", "part")
+
+
+def stream_late(spark, sf_dir):
+    """Items that come after what they belong to was closed: a copy of one day, three weeks late."""
+    rows = media(spark, sf_dir)
+    day = filters.date_window(rows, AlbumConfig(date_from="2024-01-03", date_to="2024-01-04"))
+    late = _streamed(spark, rows, ONE, before=day).late_items(spark)
+    return late.select("file_name", "date_created")
+
+
 # --- everything together ------------------------------------------------------------------------
 
 
@@ -634,5 +663,8 @@ def queries() -> dict[str, Query]:
         "placement_counts": placement_counts,
         "stream_sessions": stream_sessions,
         "stream_albums": stream_albums,
+        "stream_albums_by_owner": stream_albums_by_owner,
+        "stream_flush": stream_flush,
+        "stream_late": stream_late,
         "grouping_run": grouping_run,
     }
