@@ -14,7 +14,6 @@ from geoalbums.functions.dates import (
 )
 
 # --- fixed values -----------------------------------------------------------
-HASH_MODES = {"crc": "crc", "md": "md5", "sha": "sha"}
 MODES = ("simulate", "copy", "move", "link")
 RESERVED_NAMES = (
     "CON", "PRN", "AUX", "NUL",
@@ -29,18 +28,11 @@ INVALID_CHARS_PORTABLE = "/\\x00-\\x1f<>:\"\\\\|?*"
 LAST = "last"
 
 
-def normalise_hash_mode(text: str) -> str:
-    """`CRC64`, `md5`, `SHA-512`-style spellings to the three digests; digits are ignored."""
-    key = re.sub(r"\d", "", (text or "").lower())
-    if key not in HASH_MODES:
-        raise ValueError(f"unknown hash {text!r}: use crc, md5 or sha")
-    return HASH_MODES[key]
-
-
-def is_ambiguous_date_format(pattern: str) -> bool:
-    """Fewer than two of day, month and year, or three characters at most."""
-    clean = pattern.strip().lower()
-    return len(clean) <= 3 or sum(letter in clean for letter in "dmy") < 2
+# Accepted spellings of the three digests, lower case.
+HASH_SPELLINGS = {
+    "crc": "crc", "crc64": "crc", "crc-64": "crc", "md5": "md5", "md-5": "md5",
+    "sha": "sha", "sha512": "sha", "sha-512": "sha",
+}
 
 
 @dataclass(frozen=True)
@@ -75,7 +67,9 @@ class AlbumConfig:
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "library_cols", tuple(self.library_cols))
-        object.__setattr__(self, "hash_mode", normalise_hash_mode(self.hash_mode))
+        if self.hash_mode.lower() not in HASH_SPELLINGS:
+            raise ValueError(f"unknown hash {self.hash_mode!r}: use crc, md5 or sha")
+        object.__setattr__(self, "hash_mode", HASH_SPELLINGS[self.hash_mode.lower()])
         object.__setattr__(self, "date_from", self._bound(self.date_from, "date_from"))
         object.__setattr__(self, "date_to", self._bound(self.date_to, "date_to"))
         if self.time_hours < 0 or self.distance_km < 0:

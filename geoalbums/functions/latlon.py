@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 ISO_6709 = r"([+-]\d{1,2}(?:\.\d+)?)\s*,?\s*([+-]\d{1,3}(?:\.\d+)?)"
 DECIMAL_HEMISPHERE = r"(?i)(-?\d{1,2}(?:\.\d+)?)\s*([NS])[, ]+\s*(-?\d{1,3}(?:\.\d+)?)\s*([EW])"
 DEGREES_MINUTES = r"(?i)(\d{1,3}),(\d{1,2}(?:\.\d+)?)\s*([NSEW])"
-DEGREES_MINUTES_SECONDS = (
-    r"(?i)(\d{1,3})\s*deg\s*(\d{1,2})'\s*(\d{1,2}(?:\.\d+)?)" r'"\s*([NSEW])'
-)
+DEGREES_MINUTES_SECONDS = r"""(?i)(\d{1,3})\s*deg\s*(\d{1,2})'\s*(\d{1,2}(?:\.\d+)?)"\s*([NSEW])"""
 # -----------------------------------------------------------------------------------------
 
 

@@ -3,7 +3,6 @@ import datetime as dt
 import pytest
 
 from geoalbums import AlbumConfig
-from geoalbums.config import is_ambiguous_date_format, normalise_hash_mode
 from geoalbums.functions.dates import net_pattern_pieces, split_template
 
 
@@ -33,8 +32,7 @@ def test_refused(options):
 
 def test_last_and_hash_names():
     assert AlbumConfig(date_from="LAST").date_from == "last"
-    assert [normalise_hash_mode(t) for t in ("CRC64", "md5", "sha512")] == ["crc", "md5", "sha"]
-    assert is_ambiguous_date_format("yyyy") and not is_ambiguous_date_format("dd MMM")
+    assert [AlbumConfig(hash_mode=t).hash_mode for t in ("CRC64", "md5", "SHA-512")] == ["crc", "md5", "sha"]
 
 
 def test_patterns():
