@@ -62,7 +62,9 @@ def test_against_loop(spark, seed, broadcast_rows, hot_rows):
         rows = placement_manifest(frame, cfg, there).collect()
         assert {r.file_name: (r.target_name, r.action) for r in rows} == loop(items, existing)
         assert len(rows) == len(items)
-        assert all(r.target_path == f"{r.album_name}/{r.target_name}" and r.mode == "copy" for r in rows)
+        assert all(r.target_path == f"{r.library}/{r.album_name}/{r.target_name}" and r.mode == "copy" for r in rows)
+        placed = [r.target_path for r in rows if r.action == "PLACE"]
+        assert len(placed) == len(set(placed))  # no target twice, over all libraries
 
 
 def test_digest_only_where_names_collide(spark):

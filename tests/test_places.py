@@ -140,3 +140,10 @@ def test_no_pairwise_join(spark):
         )
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_prefilter_takes_positions_as_they_are(spark):
+    """An item off the usual range keeps the place it stands on, as it does in the nearest-place join."""
+    media = spark.createDataFrame([("a", 10.0, 200.0), ("b", 10.0, 20.0)], "file_name string, latitude double, longitude double")
+    places = spark.createDataFrame([(1, 10.0, 200.0), (2, 10.2, 20.1), (3, 10.0, 100.0)], "geonameid long, latitude double, longitude double")
+    assert sorted(r.geonameid for r in ops.places_near(places, media).collect()) == [1, 2]
