@@ -25,8 +25,8 @@ def bit_table(keys: DataFrame) -> np.ndarray:
         F.bit_or(F.expr("shiftleft(1L, cast(b & 31 as int))")).alias("bits")
     )
     table = np.zeros(1 << (bits - 5), dtype=np.uint32)
-    found = cells.toPandas()  # at most 2**19 cells
-    table[found["cell"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    found = cells.toArrow()  # at most 2**19 cells
+    table[found["cell"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
     return table
 
 

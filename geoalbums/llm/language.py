@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoalbums.llm.sampling import hash_sample
 from geoalbums.llm.words import LOWER, U64, Slice, keys, mix, row_sums, runs, slices
 from geoalbums.sources.shared import materialize
 
@@ -29,7 +30,7 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class LanguageConfig:
-    """train_documents bounds the labelled sample (taken in order of a hash); model_words and
+    """train_documents is about the size of the labelled sample (drawn by a hash); model_words and
     model_grams bound what is kept per model, the most frequent first; grams: lengths in bytes,
     longest first; smoothing is added to every count."""
 
@@ -93,15 +94,13 @@ def _summed(code: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
 
 
 def train(labelled: DataFrame, cfg: LanguageConfig = LanguageConfig()) -> LanguageModel:
-    """Fit on `labelled` (doc_id, text, lang): a sample of `train_documents`, counted by Spark.
+    """Fit on `labelled` (doc_id, text, lang): a sample of about `train_documents`, counted by Spark.
 
     Rows without text or lang are ignored. Only the model's bounded tables reach the driver.
     """
     grams = cfg.grams
     rows = labelled.where("lang IS NOT NULL")
-    h = F.xxhash64(F.col("doc_id").cast("string"))
-    cut = rows.select(h.alias("h")).orderBy("h").limit(cfg.train_documents).agg(F.max("h")).first()[0]
-    sample = rows.where(h <= F.lit(cut)) if cut is not None else rows.limit(0)
+    sample = hash_sample(rows, F.col("doc_id"), cfg.train_documents)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,18 +117,17 @@ def train(labelled: DataFrame, cfg: LanguageConfig = LanguageConfig()) -> Langua
                 )
 
     counted = sample.select(F.col("lang").cast("string"), "text").mapInArrow(count, "lang string, kind int, key long, n long")
-    per_key = counted.groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
-    per_key = per_key.groupBy("kind", "key").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n"))
-    per_key = materialize(per_key.where(F.col("n") >= cfg.least_count), "language-counts")
-    tables = []
-    for kind in range(len(grams) + 1):
-        own = per_key.where(F.col("kind") == kind)
-        tables.append(own.orderBy(F.desc("n"), "key").limit(cfg.model_words if kind == 0 else cfg.model_grams).toPandas())
-    languages = tuple(sorted({name for table in tables for by in table["by"] for name in by}))
+    counted = materialize(counted.groupBy("kind", "key", "lang").agg(F.sum("n").alias("n")), "language-counts")
+    languages = tuple(sorted(r["lang"] for r in counted.select("lang").distinct().collect()))
+    by_language = [F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).alias(f"n{i}") for i, name in enumerate(languages)]
+    per_key = counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), *by_language)
+    per_key = materialize(per_key.where(F.col("n") >= cfg.least_count), "key-counts")
     known, scores = [], []
-    for table in tables:
-        key = table["key"].to_numpy(dtype=np.int64).view(U64)
-        n = np.array([[by.get(name, 0) for name in languages] for by in table["by"]], dtype=float).reshape(len(key), len(languages))
+    for kind in range(len(grams) + 1):
+        most = cfg.model_words if kind == 0 else cfg.model_grams
+        table = per_key.where(F.col("kind") == kind).orderBy(F.desc("n"), "key").limit(most).toArrow()
+        key = table["key"].to_numpy().view(U64)
+        n = np.array([table[f"n{i}"].to_numpy() for i in range(len(languages))], dtype=float).reshape(len(languages), len(key)).T
         total = n.sum(axis=0) + cfg.smoothing * (len(key) + 1)
         order = np.argsort(key)
         known.append(key[order])

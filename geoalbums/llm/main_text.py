@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoalbums.llm.page_blocks import Block, blocks
+from geoalbums.llm.sampling import hash_sample
 from geoalbums.llm.words import LETTERS, LOWER, U64, slices, words
 
 PATH_WIDTH = 64
@@ -53,7 +54,7 @@ _HOLDERS = [
 
 @dataclass(frozen=True)
 class LabellerConfig:
-    """train_pages bounds the sample (taken in order of a hash); of these only pages of at most
+    """train_pages bounds the sample (drawn by a hash, nine tenths of that on average); of these only pages of at most
     train_blocks blocks are learned from. Every page is labelled, whatever its length."""
 
     train_pages: int = 600
@@ -290,11 +291,11 @@ def label(model: Labeller | None, pages: list[list[Block]]) -> list[np.ndarray]:
 
 def train(pages: DataFrame, cfg: LabellerConfig = LabellerConfig()) -> Labeller | None:
     """Fit on a sample of at most `train_pages` rows of `pages` (page_id, html)."""
-    sample = pages.where("html IS NOT NULL").select(
-        F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("h"), "html"
-    )
-    drawn = sample.orderBy("h", F.xxhash64("html")).limit(cfg.train_pages).toPandas()
-    return fit([blocks(page) for page in drawn["html"]], cfg)
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    sample = hash_sample(pages, key, cfg.train_pages * 9 // 10).where("html IS NOT NULL")
+    drawn = sample.select(key.alias("key"), "html").limit(cfg.train_pages).collect()
+    drawn.sort(key=lambda row: (row["key"], row["html"]))
+    return fit([blocks(row["html"]) for row in drawn], cfg)
 
 
 def main_text(pages: DataFrame, model: Labeller | None) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoalbums.llm.quality_rules import repeated_words, text_lines
+from geoalbums.llm.sampling import hash_sample
 from geoalbums.llm.words import U64, Slice, mix, row_sums, slices, words
 from geoalbums.sources.shared import materialize
 
@@ -30,7 +31,7 @@ STATISTICS = (
 
 @dataclass(frozen=True)
 class BoostConfig:
-    """train_rows bounds the labelled sample (taken in order of a hash)."""
+    """train_rows bounds the labelled sample (drawn by a hash, nine tenths of that on average)."""
 
     train_rows: int = 20_000
     trees: int = 80
@@ -188,8 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, cfg: BoostConfig = BoostConfig())
     and null ids are ignored; of several labels of an id the higher counts.
     """
     drawn = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    drawn = drawn.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(cfg.train_rows)
-    drawn = materialize(drawn.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int")), "labelled")
+    drawn = hash_sample(drawn, F.col("doc_id"), cfg.train_rows * 9 // 10)
+    drawn = materialize(drawn.limit(cfg.train_rows).select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int")), "labelled")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, cfg: BoostConfig = BoostConfig())
     # the labelled ids are at most train_rows, so their broadcast is bounded
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(drawn), "id")
     measured = texts.select("quality", "text").mapInArrow(measure, "quality int, " + ", ".join(f"{s} double" for s in STATISTICS))
-    sample = measured.limit(cfg.train_rows).toPandas().sort_values(list(STATISTICS)).reset_index(drop=True)
+    sample = measured.limit(cfg.train_rows).toArrow().to_pandas().sort_values(list(STATISTICS)).reset_index(drop=True)
     return fit(sample[list(STATISTICS)].to_numpy(dtype=float).reshape(-1, len(STATISTICS)), sample["quality"].to_numpy(dtype=float), cfg)
 
 
