@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from geoalbums.llm import language
 from geoalbums.llm.decontaminate import decontaminate
-from geoalbums.llm.line_dedup import dedup_lines
+from geoalbums.llm.line_dedup import cut_lines
 from geoalbums.llm.mixing import mix_sources
 from geoalbums.llm.near_duplicates import near_duplicates
 from geoalbums.sources.shared import materialize
@@ -32,13 +32,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_document_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines like an earlier one go; so do documents of which no line stays. n_chars is counted anew."""
-    others = tuple(c for c in docs.columns if c != "text")
-    lines = dedup_lines(docs, with_text=True, carry=others)
-    lines = lines.where((F.col("n_removed") < F.col("n_lines")) | (F.col("n_lines") == 0))
-    out = {c: F.col("carried").getField(c) for c in others} | {"text": F.col("text")}
-    if "n_chars" in out:
-        out["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return lines.select(*[out[c].alias(c) for c in docs.columns])
+    left = cut_lines(docs)
+    if "n_chars" not in docs.columns:
+        return left
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from geoalbums.llm.near_duplicates import NearDuplicateConfig, near_duplicates
 from geoalbums.llm.passages import near_duplicate_passages
 from geoalbums.llm.quality_rules import quality_rules
 from geoalbums.llm.repeated_bytes import remove_repeats
+from geoalbums.llm.sql import ORACLE_SQL  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,10 +54,10 @@ def op6_prefix_free_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which lines go, and a digest of the text that stays."""
-    lines = dedup_lines(_table(spark, sf_dir, "documents"), with_text=True)
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    return lines.select("doc_id", "n_lines", "n_removed", digest.alias("kept_sha256"))
+    """The lines that go, by number."""
+    lines = dedup_lines(_table(spark, sf_dir, "documents"))
+    numbers = F.array_join(F.array_sort("removed_lines").cast("array<string>"), ",")
+    return lines.select("doc_id", "n_lines", "n_removed", numbers.alias("removed_lines"))
 
 
 def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +76,6 @@ def op10_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", unseen.alias("held_out"), "text"), model).drop("text")
 
 
-ORACLE_SQL: dict[str, str] = {}
-
 QUERIES: dict[str, Query] = {
     "op1_line_frequency": op1_line_frequency,
     "op2_pivotal_mix": op2_pivotal_mix,
