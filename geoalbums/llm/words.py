@@ -89,10 +89,14 @@ class Words:
 
 def slices(column: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
     """The texts of an Arrow column (null: empty) in slices; `row` is the first one's index."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
     if not len(column):
         return
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    # the column's own buffers: nothing of a batch is copied
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], dtype=width)[column.offset : column.offset + len(column) + 1]
+    offsets = offsets.astype(np.int64)
     raw = column.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, dtype=np.uint8)
     low = 0
@@ -100,8 +104,10 @@ def slices(column: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + slice_bytes, "right")) - 1)
         high = min(high, len(column))
         at = offsets[low : high + 1]
-        yield Slice(low, data[at[0] : at[-1]], (at - at[0]).astype(np.int64))
+        yield Slice(low, data[at[0] : at[-1]], at - at[0])
         low = high
+    # workers live on: what Arrow keeps for later is memory the next stage may need
+    pa.default_memory_pool().release_unused()
 
 
 def runs(mask: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
