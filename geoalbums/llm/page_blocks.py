@@ -20,12 +20,20 @@ _CONTAINER = frozenset(("ul", "ol", "dl", "table", "select", "menu"))
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|noscript|svg|iframe|object|math)\b.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>?"
     r"|<[!?/][^>]*>?"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+#: What goes with its content, up to its end tag. Without one, scripts and styles go up to the page's end, of others the tag.
+_DROPPED = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in ("script", "style", "template", "noscript", "svg", "iframe")}
+_TO_THE_END = frozenset(("script", "style"))
+#: Inside an svg (outside of foreignObject) these start tags say that it was never closed, as in browsers.
+_NOT_SVG = re.compile(
+    r"<(?P<foreign>foreignobject)\b"
+    r"|<(?:article|aside|blockquote|body|center|d[dlt]|div|em|h[1-6]|head|header|hr|img|li|main|meta|nav|ol|p|pre|section|span|strong|table|ul)(?=[\s/>])",
+    re.I,
+)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[a-z0-9]+")
 
@@ -43,6 +51,21 @@ def _names(tag: str, attrs: str) -> tuple[str, ...]:
     return (tag, *("." + part for value in found for part in _PARTS.findall(value.lower())))
 
 
+def _after(page: str, tag: str, low: int, high: int, end_tags: dict[str, re.Match | None]) -> int:
+    """Where the page goes on after a dropped element, whose tag's name ends at low and whose start
+    tag ends at high. `end_tags` keeps the end tag last found, so that none is sought twice."""
+    end = end_tags.get(tag)
+    if tag not in end_tags or end is not None and end.start() < low:
+        end = end_tags[tag] = _DROPPED[tag].search(page, low)
+    if end is None:
+        return len(page) if tag in _TO_THE_END else high
+    if tag == "svg":
+        other = _NOT_SVG.search(page, high, max(high, end.start()))
+        if other is not None and not other["foreign"]:
+            return high
+    return end.end()
+
+
 def blocks(page: str) -> list[Block]:
     """All blocks with text, in page order; scripts, styles, comments and markup are gone.
 
@@ -63,7 +86,11 @@ def blocks(page: str) -> list[Block]:
         pieces.clear()
         linked = 0
 
-    for token in _TOKEN.finditer(page):
+    at_char = 0
+    end_tags: dict[str, re.Match | None] = {}
+    while at_char < len(page):
+        token = _TOKEN.match(page, at_char)
+        at_char = token.end()
         text = token["text"]
         if text is not None:
             if "&" in text:
@@ -75,7 +102,11 @@ def blocks(page: str) -> list[Block]:
         tag = token["tag"]
         if tag is None:
             continue
-        tag = tag.lower()
+        tag, attrs = tag.lower(), token["attrs"]
+        if tag in _DROPPED and not token["close"] and (not attrs or attrs[0].isspace() or attrs[0] == "/"):
+            if tag != "svg" or not attrs.endswith("/"):
+                at_char = _after(page, tag, token.end("tag"), at_char, end_tags)
+            continue
         if tag in _SPACE:
             pieces.append(" ")
         elif tag in _BLOCK:
@@ -96,9 +127,9 @@ def blocks(page: str) -> list[Block]:
                 break
             if stack[at][0] in _CONTAINER or (ends == ("p",) and stack[at][0] in _BLOCK):
                 break
-        if token["attrs"].endswith("/") and tag not in _BLOCK:
+        if attrs.endswith("/") and tag not in _BLOCK:
             continue
-        stack.append((tag, _names(tag, token["attrs"])))
+        stack.append((tag, _names(tag, attrs)))
         in_link += tag == "a"
     close_block()
     return out

@@ -209,6 +209,21 @@ def test_blocks():
     assert blocks("") == [] and blocks("<p") == [] and blocks("a < b <br") == blocks("a < b")
 
 
+@pytest.mark.parametrize("inside, kept", [
+    ('<svg width="1" viewBox="0 0 1 1"/>', ""), ("<svg/>", ""), ("<svg><path d='M0'/><text>gone</text></svg>", ""), ("<SVG><g></svg >", ""),
+    ("<svg-icon>i</svg-icon>", "i"), ("<object-view/>", ""), ("<template-x>t</template-x>", "t"), ("<script_x>s</script_x>", "s"),
+    ("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "x=1"), ('<object data="a.pdf">instead</object>', "instead"),
+    ("<svg><path>", ""), ("<template>", ""), ("<noscript>", ""), ("<iframe src='a'>", ""), ("<math>", ""), ("<object>", ""),
+    ("<template>gone</template>", ""), ("<script>if (a < b) '<p>'</script>", ""), ("<style>p > a {}</style >", ""),
+    ("<svg><foreignObject><p>gone</p></foreignObject></svg>", ""),
+])
+def test_text_after_dropped_elements(inside, kept):
+    page = f"<body><p>before {inside} after</p><p>more</p><svg><g/></svg><p>last</p></body>"
+    text = " ".join(b.text for b in blocks(page))
+    assert text.split() == ["before", *kept.split(), "after", "more", "last"]
+    assert [b.text for b in blocks("<p>a</p><script>b<p>c</p>")] == ["a"]
+
+
 def test_lstm_gradients():
     """Against differences of the loss."""
     rng = np.random.default_rng(1)
