@@ -54,8 +54,8 @@ _HOLDERS = [
 
 @dataclass(frozen=True)
 class LabellerConfig:
-    """train_pages bounds the sample (drawn by a hash, nine tenths of that on average); of these only pages of at most
-    train_blocks blocks are learned from. Every page is labelled, whatever its length."""
+    """train_pages bounds the sample (drawn by a hash, nine tenths of that on average); it is learned from as a whole,
+    pages of more than train_blocks blocks in several sequences. Every page is labelled, whatever its length."""
 
     train_pages: int = 600
     train_blocks: int = 120
@@ -222,16 +222,23 @@ def _logits(model: Labeller, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
 
 
 def fit(pages: list[list[Block]], cfg: LabellerConfig = LabellerConfig()) -> Labeller | None:
-    """Train on the pages and their variants, by Adam over whole sequences."""
-    pages = [p for p in pages if 0 < len(p) <= cfg.train_blocks]
+    """Train on the pages and their variants, by Adam over whole sequences.
+
+    A page of more than `train_blocks` blocks is cut into sequences of like length after labels and
+    vectors were taken of the whole page. None if no page has a block.
+    """
+    pages = [p for p in pages if p]
     if not pages:
         return None
     rng = random.Random(cfg.seed)
     draw = np.random.default_rng(cfg.seed)
     others = [b.text for page in pages for b in page]
     shown = pages + [_varied(page, others, rng) for page in pages for _ in range(3)]
-    x = [vectors([page]) for page in shown]
-    y = [rule_labels(page) for page in shown]
+    # a page and its variants, which are somewhat longer, are cut into as many sequences
+    parts = [-(-len(page) // cfg.train_blocks) for page in pages]
+    parts += [n for n in parts for _ in range(3)]
+    x = [part for page, n in zip(shown, parts) for part in np.array_split(vectors([page]), n)]
+    y = [part for page, n in zip(shown, parts) for part in np.array_split(rule_labels(page), n)]
     n = cfg.hidden
 
     def fresh(rows, columns):
@@ -271,9 +278,12 @@ def fit(pages: list[list[Block]], cfg: LabellerConfig = LabellerConfig()) -> Lab
 
 
 def label(model: Labeller | None, pages: list[list[Block]]) -> list[np.ndarray]:
-    """Which blocks of each page are main text; pages of like length are read together."""
+    """Which blocks of each page are main text; pages of like length are read together. Without a
+    model the rules over tag paths decide."""
+    if model is None:
+        return [rule_labels(page).astype(bool) for page in pages]
     out = [np.zeros(len(page), dtype=bool) for page in pages]
-    order = sorted((i for i in range(len(pages)) if pages[i] and model), key=lambda i: len(pages[i]))
+    order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
     low = 0
     while low < len(order):
         high = low + 1

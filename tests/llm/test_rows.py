@@ -266,6 +266,25 @@ def test_main_text(spark):
     assert main_text.main_text(nothing, None).collect() == []
 
 
+def test_long_pages_are_learned_from():
+    rng = random.Random(3)
+    body = lambda: " ".join(rng.choice("alpha beta gamma delta of the".split()) for _ in range(rng.randrange(5, 40))) + "."
+    pages = []
+    for n in (130, 260, 151, 400):
+        inner = "".join(f"<p>{body()}</p>" for _ in range(n))
+        pages.append(blocks(f"<nav><a>Home</a></nav><article>{inner}</article><div class=comments><p>{body()}</div><footer>end</footer>"))
+    model = main_text.fit(pages, main_text.LabellerConfig(rounds=20, batch=4))
+    assert model is not None
+    right = [main_text.label(model, [page])[0] == main_text.rule_labels(page) for page in pages]
+    assert np.mean(np.concatenate(right)) > 0.97
+
+
+def test_rules_label_where_nothing_is_learned():
+    page = blocks("<nav><a>Home</a></nav><article><p>One two three.</p></article><footer>end</footer>")
+    assert main_text.fit([[], []]) is None
+    assert [b.text for b, main in zip(page, main_text.label(None, [page, []])[0]) if main] == ["One two three."]
+
+
 @pytest.mark.parametrize("apply", [quality_rules, mix_sources])
 def test_empty_tables(spark, apply):
     assert apply(frame(spark, [])).collect() == []
