@@ -23,7 +23,7 @@ def digest_candidates(files: DataFrame, cfg: AlbumConfig) -> DataFrame:
 
     `files` is a listing (path, length): lengths are compared first, the first 64 KiB of files of
     one length next, and only files that are equal so far are read as a whole, in chunks. A file
-    that cannot be read has no digest. Where `files` has a column `content`, digests are computed
+    that is gone has no digest, one that cannot be read is an error. Where `files` has a column `content`, digests are computed
     at the scan and only they are shuffled. Every file that can have a twin is in the result.
     """
     if "content" in files.columns:

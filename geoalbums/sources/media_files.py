@@ -113,9 +113,28 @@ _PREFIX = 64 * 1024
 _CHUNK = 4 << 20  # bytes of a file that are held at a time
 
 
+_STORES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "wasb": "abfs", "wasbs": "abfss"}  # Hadoop's names of Arrow's stores
+
+
+def _store(path: str) -> tuple[str, str]:
+    """Arrow's URI of the store a Hadoop path is in (empty: the local one), and the path inside, as it stands."""
+    scheme, at, rest = path.partition(":")
+    if not at or "/" in scheme or scheme == "file":
+        return "", re.sub(r"\Afile:/+", "/", path)
+    if scheme == "dbfs":  # mounted on every executor
+        return "", "/dbfs/" + rest.lstrip("/")
+    authority, _, inner = rest.removeprefix("//").partition("/") if rest.startswith("//") else ("", "", rest.lstrip("/"))
+    if scheme in ("wasb", "wasbs"):  # Arrow finds the container in names of the other endpoint only
+        authority = authority.replace(".blob.", ".dfs.", 1)
+    return f"{_STORES.get(scheme, scheme)}://{authority}/", inner
+
+
 def _located(path: str) -> tuple[fs.FileSystem, str]:
-    local = re.sub(r"\Afile:/+", "/", path)
-    return (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
+    store, inner = _store(path)
+    if not store:
+        return fs.LocalFileSystem(), inner
+    filesystem, root = fs.FileSystem.from_uri(store)
+    return filesystem, f"{root.rstrip('/')}/{inner}"
 
 
 def _open(path: str):
@@ -132,7 +151,8 @@ def write_file(path: str, content: bytes) -> None:
 
 
 def _file_digest(path: str, mode: str, most: int | None) -> str | None:
-    """Digest of a file, or of its first `most` bytes; null for a file that cannot be read."""
+    """Digest of a file, or of its first `most` bytes; null for a file that is gone. Any other error
+    fails the task, which is tried again: a file that isn't read must not count as one without twins."""
     digest = chunked_digest(mode)
     left = most
     try:
@@ -143,7 +163,7 @@ def _file_digest(path: str, mode: str, most: int | None) -> str | None:
                     break
                 digest.update(chunk)
                 left = left if left is None else left - len(chunk)
-    except Exception:  # file systems raise errors of their own; the row says that it was unreadable
+    except FileNotFoundError:
         return None
     return digest.hexdigest()
 
@@ -152,7 +172,7 @@ def with_file_digest(files: DataFrame, mode: str, path_col: str = "file_name", p
     """Adds `digest` of each file's whole content, read in chunks where the row is.
 
     With `prefix` only the first 64 KiB are read: different digests then tell files apart, equal
-    ones tell nothing. A file that cannot be read has no digest.
+    ones tell nothing. A file that is gone has no digest; one that cannot be read is an error.
     """
     most = _PREFIX if prefix else None
 

@@ -2,6 +2,7 @@ import datetime as dt
 import hashlib
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from geoalbums import AlbumConfig
@@ -10,7 +11,8 @@ from geoalbums.operators.content import digest_candidates, duplicate_files, dupl
 from geoalbums.operators.filters import date_window, late_items
 from geoalbums.sources.gazetteer import parse_lines
 from geoalbums.sources.media_files import (
-    distinct_paths, existing_files, existing_folders, list_files, scan_counts, scan_media, skipped_roots, with_file_digest,
+    _file_digest, _store, distinct_paths, existing_files, existing_folders, list_files, scan_counts, scan_media, skipped_roots,
+    with_file_digest,
 )
 from geoalbums.sources.state import merge_marks, read_marks, save_marks
 from geoalbums.sources.tags import tag_dates, tag_locations
@@ -92,6 +94,27 @@ def test_file_digest(spark, tmp_path):
     assert heads["a.jpg"] == heads["b.jpg"]
 
 
+def test_unreadable_files_are_errors(spark, tmp_path):
+    """Only a file that is gone has no digest."""
+    (tmp_path / "folder.jpg").mkdir()
+    assert _file_digest(f"{tmp_path}/gone.jpg", "md5", None) is None
+    for path in (f"{tmp_path}/folder.jpg", "nowhere://store/a.jpg"):
+        with pytest.raises(Exception):
+            _file_digest(path, "md5", None)
+    files = spark.createDataFrame([(f"{tmp_path}/folder.jpg", 5), (f"{tmp_path}/folder.jpg", 5)], "path string, length long")
+    with pytest.raises(Exception):
+        duplicate_groups(digest_candidates(files, AlbumConfig(hash_mode="md5"))).collect()
+
+
+def test_stores_of_paths():
+    assert _store("s3a://bucket/a b/c%20.jpg") == ("s3://bucket/", "a b/c%20.jpg")
+    assert _store("wasbs://box@acc.blob.core.windows.net/x/y") == ("abfss://box@acc.dfs.core.windows.net/", "x/y")
+    assert _store("dbfs:/mnt/a.jpg") == ("", "/dbfs/mnt/a.jpg")
+    assert _store("hdfs://node:8020/a/b") == ("hdfs://node:8020/", "a/b")
+    assert _store("file:/tmp/a.jpg") == _store("file:///tmp/a.jpg") == _store("/tmp/a.jpg") == ("", "/tmp/a.jpg")
+    assert _store("/tmp/10:30.jpg") == ("", "/tmp/10:30.jpg")
+
+
 def test_chunks_add_up():
     data = bytes(range(256)) * 37
     for mode, whole in (("crc", crc64_hex([data])[0]), ("md5", hashlib.md5(data).hexdigest())):
