@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -73,6 +74,22 @@ def test_near_duplicates_branched(docs):
     assert sum(x == y for x, y in zip(found, expected)) >= 0.9 * len(expected)
 
 
+def test_near_duplicates_star(spark):
+    """One original with copies, each linked with it and, in general, with no other copy: all are found
+    though the group is branched deeply."""
+    rng = random.Random(7)
+    original = [f"w{i}" for i in range(304)]
+    data = [(0, " ".join(original))]
+    for doc in range(1, 241):
+        copy = list(original)
+        for at in rng.sample(range(3, 300, 11), 5):
+            copy[at] = f"x{doc}_{at}"
+        data.append((doc, " ".join(copy)))
+    cfg = NearDuplicateConfig(percent=84, group_shingles=1500)
+    found = near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), cfg).collect()
+    assert len(found) == len(data) and all(r["component_id"] == 0 for r in found)
+
+
 def test_components(spark):
     links = [(1, 2), (3, 2), (3, 4), (10, 11), (11, 10), (7, 7), (30, 20), (25, 20)] + [(100 + i, 101 + i) for i in range(40)]
     found = dict(collected(components(spark.createDataFrame(links, "a long, b long")), "node", "label"))
