@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoalbums.llm import main_text, quality_classifier
+from geoalbums.llm.conversation_trie import conversation_trie
 from geoalbums.llm.decontaminate import decontaminate
+from geoalbums.llm.fingerprints import sketch_with_next
 from geoalbums.llm.language import held_out, identify, train
 from geoalbums.llm.line_dedup import dedup_lines
 from geoalbums.llm.mixing import mix_sources
@@ -17,6 +19,7 @@ from geoalbums.llm.passages import near_duplicate_passages
 from geoalbums.llm.quality_rules import quality_rules
 from geoalbums.llm.repeated_bytes import remove_repeats
 from geoalbums.llm.sql import ORACLE_SQL  # noqa: F401
+from geoalbums.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +79,18 @@ def op10_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", unseen.alias("held_out"), "text"), model).drop("text")
 
 
+def op11_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_with_next(_table(spark, sf_dir, "documents"))
+
+
+def op12_block_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_spectrum_slicing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_frequency": op1_line_frequency,
     "op2_pivotal_mix": op2_pivotal_mix,
@@ -87,4 +102,7 @@ QUERIES: dict[str, Query] = {
     "op8_compact_windows": op8_compact_windows,
     "op9_block_labeller": op9_block_labeller,
     "op10_word_backoff": op10_word_backoff,
+    "op11_scaled_sketch": op11_scaled_sketch,
+    "op12_block_hashing": op12_block_hashing,
+    "op13_spectrum_slicing": op13_spectrum_slicing,
 }

@@ -62,4 +62,29 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(componen
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_line_frequency": OP1, "op3_prefix_filter": OP3, "op4_chosen_path": OP4}
+# CRC-32 (reflected, polynomial 0xEDB88320) of a number's decimal digits, in list functions
+_CRC_TABLE = """(SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS crc_table
+  FROM range(256) t(n))"""
+_CRC = """xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+  lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+OP12 = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t), {_CRC_TABLE}),
+rebuilt AS (SELECT i.conv_id, p AS s, role, text FROM ids i JOIN t ON t.conv_id = base AND p <= h
+  UNION ALL SELECT i.conv_id, p + 3, role, text FROM ids i JOIN t ON t.conv_id = i.conv_id AND p > h),
+turns AS (SELECT i.conv_id, coalesce(w, []) AS w FROM ids i LEFT JOIN (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY s) AS w FROM rebuilt GROUP BY 1) USING (conv_id)),
+nodes AS (SELECT d, w[1:d] AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(w) = d), '')) AS ends_sha256
+  FROM (SELECT conv_id, w, unnest(range(0, len(w) + 1)) AS d FROM turns) GROUP BY 1, 2),
+childless AS (SELECT *, NOT EXISTS (SELECT 1 FROM nodes c WHERE c.d = n.d + 1 AND c.path[1:n.d] = n.path) AS leaf FROM nodes n),
+up AS (SELECT path[1:j] AS path, j AS d, (n_convs - 1) * CASE WHEN d = 0 THEN 0 ELSE len({_words(_SPACED, 'path[d].t')}) END AS saved, leaf, d - j AS below
+  FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM childless)),
+sums AS (SELECT d, path, count(*) FILTER (below = 1) AS n_children, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved_tokens FROM up GROUP BY 1, 2)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.d = n.d AND s.path = n.path LEFT JOIN nodes p ON p.d = n.d - 1 AND p.path = n.path[1:n.d - 1]
+"""
+
+ORACLE_SQL = {"op1_line_frequency": OP1, "op3_prefix_filter": OP3, "op4_chosen_path": OP4, "op12_block_hashing": OP12}
