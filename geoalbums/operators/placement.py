@@ -10,17 +10,19 @@ Three cases, told apart before any content is compared:
   numbers. Only the first file of each content counts, and the k-th such content gets the k-th
   free number: a rank over ranges, whatever the size of the group.
 * tangled: a new file's natural name is a number of another (`a.jpg` and `a (1).jpg`), or the
-  folder holds numbers with gaps. These go through the rule step by step, per family of names
-  and after copies have been folded into one row per content.
+  folder holds numbers with gaps. Copies are folded into one row per content, and the slots of
+  each name are a chain of their own; chains of one depth are walked side by side.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoalbums.config import AlbumConfig
 from geoalbums.functions.text import base_name, extension, numbered_name, stem
@@ -236,54 +238,140 @@ def _place_plain(contents: DataFrame, present: DataFrame | None, spot: list[str]
     return both.withColumn("target_name", numbered_name(F.col("name"), F.col("number"))).select(*result)
 
 
+def _depth(name: Column) -> Column:
+    """How many ` (n)` a name ends in."""
+    return F.when(_parent(name).isNull(), F.lit(0)).otherwise(F.size(_ancestors(name)))
+
+
 def _place_tangled(contents: DataFrame, present: DataFrame | None, keys: list[str], spot: list[str]) -> DataFrame:
+    """Names that get in each other's way, one chain of slots per name instead of one group per family.
+
+    A name's contents try `name`, `name (1)`, `name (2)` … in turn: its chain. Slot n of a chain is
+    barred from the moment somebody else is there: from the start where the folder holds it, and
+    from the first arrival of a file whose own name it is; both are known beforehand. The name
+    itself may be taken by a number of its parent's chain. So chains depend on the chains of
+    shorter names only, and all chains of one depth are walked side by side.
+    """
     content = [*spot, "length", "digest"]
-    family = [*keys, "folder", "root", "ext"]
+    columns = [*content, "first_no", "copies", "target_name", "action"]
+    contents = materialize(contents.select(*content, "first_no", "copies").withColumn("depth", _depth(F.col("name"))), "tangled")
+    depths = sorted(row.depth for row in contents.select("depth").distinct().collect())  # as many as names have numbers
+    bars = _bars(contents, present, keys, spot)
+    placed: list[DataFrame] = []
+    spilled = None  # slots that the chains of the depth before took
+    for depth in depths:
+        arrivals = contents.where(F.col("depth") == depth).drop("depth")
+        barred = bars.where(F.col("depth") == depth).drop("depth")
+        if spilled is not None:
+            barred = barred.unionByName(spilled)
+        walked = _walk_chains(arrivals, barred, spot)
+        named = walked.withColumn("target_name", numbered_name(F.col("name"), F.col("number")))
+        named = materialize(named, "walked-chains")
+        placed.append(named.select(*columns))
+        spilled = named.where((F.col("action") == PLACE) & (F.col("number") > 0)).select(
+            *[key for key in spot if key != "name"], F.col("target_name").alias("name"),
+            F.lit(0).cast("bigint").alias("number"), F.col("first_no").alias("since"), "length", "digest",
+        )
+    out = placed[0] if placed else contents.select(*content, "first_no", "copies", F.lit("").alias("target_name"), F.lit("").alias("action"))
+    for frame in placed[1:]:
+        out = out.unionByName(frame)
+    return out
 
-    def with_family(frame: DataFrame) -> DataFrame:
-        return frame.withColumn("root", _root(F.col("name"))).withColumn("ext", extension(F.col("name")))
 
-    arrivals = with_family(contents.select(*content, "first_no", "copies")).withColumn("stem", stem(F.col("name")))
+def _bars(contents: DataFrame, present: DataFrame | None, keys: list[str], spot: list[str]) -> DataFrame:
+    """Slots of the chains of `contents` that others hold, since when, and the content there."""
+    rest = [key for key in spot if key != "name"]
+    there = F.struct(F.col("first_no").alias("since"), "length", "digest")
+    firsts = contents.groupBy(*spot).agg(F.min(there).alias("there"))
+    claims = firsts.where(_parent(F.col("name")).isNotNull()).select(
+        *rest, _parent(F.col("name")).alias("name"), _number_of(F.col("name")).alias("number"), "there"
+    )
     if present is not None:
-        there = with_family(present).join(arrivals.select(*family).distinct(), family, "left_semi")
-        arrivals = arrivals.unionByName(
-            there.select(
-                *content,
-                F.lit(_EXISTING).cast("bigint").alias("first_no"),
-                F.lit(0).cast("bigint").alias("copies"),
-                "root", "ext", stem(F.col("name")).alias("stem"),
-            )
+        held = _taken_numbers(present, spot).select(
+            *spot, "number", F.struct(F.lit(_EXISTING).cast("bigint").alias("since"), "length", "digest").alias("there")
         )
-    schema = contents.select(*content, "first_no", "copies").schema
-    schema = schema.add("target_name", "string").add("action", "string")
-    return arrivals.groupBy(*family).applyInPandas(_place_family, schema)
-
-
-def _place_family(rows: pd.DataFrame) -> pd.DataFrame:
-    """The rule as it stands, for one family of names; existing files come first."""
-    taken: dict[str, tuple] = {}
-    for row in rows[rows["first_no"] == _EXISTING].itertuples(index=False):
-        taken[row.name] = (row.length, row.digest)
-    arrivals = rows[rows["first_no"] != _EXISTING].sort_values("first_no")
-    passed: dict[str, dict[tuple, str]] = {}  # per name: contents on the numbers tried so far
-    following: dict[str, int] = {}  # per name: the next number to try
-    targets, actions = [], []
-    for row in arrivals.itertuples(index=False):
-        content = (row.length, row.digest)
-        known = passed.setdefault(row.name, {})
-        action = SKIP
-        while content not in known:
-            number = following.get(row.name, 0)
-            following[row.name] = number + 1
-            slot = f"{row.stem} ({number}){row.ext}" if number else row.name
-            if slot not in taken:
-                taken[slot] = content
-                action = PLACE
-            known.setdefault(taken[slot], slot)
-        targets.append(known[content])
-        actions.append(action)
-    columns = [c for c in rows.columns if c not in ("root", "ext", "stem")]
-    return arrivals[columns].assign(target_name=targets, action=actions)
+        claims = claims.unionByName(held)
+    chains = contents.select(*spot, "depth").distinct()
+    held_first = claims.groupBy(*spot, "number").agg(F.min("there").alias("there"))
+    return materialize(held_first.join(chains, spot).select(*spot, "depth", "number", "there.*"), "barred-slots")
+
+
+def _walk_chains(arrivals: DataFrame, barred: DataFrame, spot: list[str]) -> DataFrame:
+    """Adds `number` and `action` to the arrivals, which come in order of `first_no` within a chain.
+
+    A chain's barred slots come first, as two numbers each and, where one holds a content of the
+    chain itself, the number of that arrival: nothing else of a chain is held.
+    """
+    content = [*spot, "length", "digest"]
+    own = arrivals.select(*content, F.col("first_no").alias("owner"))
+    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}")) for c in content]
+    matched = barred.alias("b").join(own.alias("a"), same, "left").select("b.*", "a.owner")
+    none = F.lit(None).cast("bigint")
+    rows = matched.where("number >= 0").select(
+        *spot, F.lit(0).alias("kind"), F.col("number").alias("place"), "since", "owner",
+        none.alias("length"), F.lit(None).cast("string").alias("digest"), none.alias("copies"),
+    ).unionByName(
+        arrivals.select(
+            *spot, F.lit(1).alias("kind"), F.col("first_no").alias("place"), none.alias("since"), none.alias("owner"),
+            F.col("length").cast("bigint").alias("length"), "digest", "copies",
+        )
+    )
+    kept = [(name, "place" if name == "first_no" else name) for name in arrivals.columns]
+    schema = T.StructType([T.StructField(name, rows.schema[source].dataType) for name, source in kept])
+    schema = schema.add("number", "long").add("action", "string")
+    ordered = rows.repartition(*spot).sortWithinPartitions(*spot, "kind", "place")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain: _Chain | None = None
+        for batch in batches:
+            columns = {name: batch.column(name).to_pylist() for name in batch.schema.names}
+            taken, numbers, actions = [], [], []
+            for row, key in enumerate(zip(*[columns[name] for name in spot])):
+                if chain is None or chain.key != key:
+                    chain = _Chain(key)
+                if columns["kind"][row] == 0:
+                    chain.bar(columns["place"][row], columns["since"][row], columns["owner"][row])
+                    continue
+                number, action = chain.settle(columns["place"][row])
+                taken.append(row)
+                numbers.append(number)
+                actions.append(action)
+            if taken:
+                settled = batch.take(pa.array(taken))
+                values = [settled.column(source) for _, source in kept]
+                yield pa.RecordBatch.from_arrays(
+                    [*values, pa.array(numbers, pa.int64()), pa.array(actions, pa.string())], names=schema.names
+                )
+
+    return ordered.mapInArrow(walk, schema)
+
+
+class _Chain:
+    """The slots of one name while its contents arrive."""
+
+    def __init__(self, key: tuple) -> None:
+        self.key = key
+        self.numbers, self.since = array("q"), array("q")  # barred slots, in order
+        self.owners: dict[int, int] = {}  # where that is an arrival of this chain: by place in the above
+        self.next, self.at = 0, 0  # the slot to try next, and the first barred one not below it
+        self.met: dict[int, int] = {}  # arrivals whose content was met on the way, and the slot it is in
+
+    def bar(self, number: int, since: int, owner: int | None) -> None:
+        if owner is not None:
+            self.owners[len(self.numbers)] = owner
+        self.numbers.append(number)
+        self.since.append(since)
+
+    def settle(self, arrival: int) -> tuple[int, str]:
+        while arrival not in self.met:
+            slot, self.next = self.next, self.next + 1
+            barred = self.at < len(self.numbers) and self.numbers[self.at] == slot
+            at, self.at = self.at, self.at + barred
+            if not barred or self.since[at] > arrival:
+                return slot, PLACE
+            if at in self.owners:
+                self.met.setdefault(self.owners[at], slot)
+        return self.met[arrival], SKIP
 
 
 def manifest_counts(manifest: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from geoalbums import AlbumConfig
+from geoalbums.operators import placement
 from geoalbums.operators.placement import _ancestors, manifest_counts, placement_manifest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,58 @@ def test_against_loop(spark, seed, broadcast_rows, hot_rows):
         assert len(placed) == len(set(placed))  # no target twice, over all libraries
 
 
+def tangles(seed, names, arrivals, held):
+    """One folder full of names that are numbers of each other, some held already, with gaps."""
+    rng = random.Random(seed)
+
+    def name():
+        numbers = "".join(f" ({rng.randint(1, 6)})" for _ in range(rng.choice([0, 0, 1, 1, 2, 3])))
+        return f"{rng.choice(names)}{numbers}.jpg"
+
+    items = [(0, f"/s{i}/{name()}", "x", i, rng.choice([1, 2]), rng.choice("pqrst")) for i in range(arrivals)]
+    present = {name(): (rng.choice([1, 2]), rng.choice("pqrst")) for _ in range(held)}
+    return items, [(0, "x", key, *content) for key, content in present.items()]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tangled_families_against_loop(spark, seed):
+    items, present = [], []
+    for library in range(12):  # a case per library
+        some, there = tangles(100 * seed + library, "ab", 60 + 20 * library, 3 * library)
+        items += [(library, *rest) for _, *rest in some]
+        present += [(library, *rest) for _, *rest in there]
+    cfg = AlbumConfig(library_cols=("library",), scan_buckets=3)
+    rows = placement_manifest(spark.createDataFrame(items, ITEMS), cfg, spark.createDataFrame(present, PRESENT)).collect()
+    found = {(r.library, r.file_name): (r.target_name, r.action) for r in rows}
+    for library in range(12):
+        own = loop([i for i in items if i[0] == library], [x for x in present if x[0] == library])
+        assert {k[1]: v for k, v in found.items() if k[0] == library} == own
+
+
+def test_tangled_family_is_spread(spark):
+    """One family of thousands of names: every name is a chain of its own, and tasks share them."""
+    present = [(0, "x", f"a ({n}).jpg", 1, str(n % 50)) for n in range(1, 3000) if n % 7]
+    items = [(0, f"/s{n}/a ({n % 4000 + 1}).jpg", "x", n, 1, str(n % 91)) for n in range(9000)]
+    items += [(0, f"/t{n}/a.jpg", "x", 9000 + n, 1, str(n)) for n in range(500)]
+    walk, seen = placement._walk_chains, []
+
+    def watched(arrivals, barred, spot):
+        out = walk(arrivals, barred, spot)
+        seen.append(out.groupBy(F.spark_partition_id().alias("task")).count().collect())
+        return out
+
+    cfg = AlbumConfig(library_cols=("library",), scan_buckets=3)
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(placement, "_walk_chains", watched)
+        spark.conf.set(merging, "false")  # it would put so little data into one task
+        rows = placement_manifest(spark.createDataFrame(items, ITEMS), cfg, spark.createDataFrame(present, PRESENT)).collect()
+        spark.conf.unset(merging)
+    assert {r.file_name: (r.target_name, r.action) for r in rows} == loop(items, present)
+    most = max(seen, key=lambda tasks: sum(t["count"] for t in tasks))
+    assert len(most) > 2 and max(t["count"] for t in most) < 0.6 * sum(t["count"] for t in most)
+
+
 def test_digest_only_where_names_collide(spark):
     items, _ = case(4)
     frame = spark.createDataFrame(items, ITEMS)

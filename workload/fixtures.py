@@ -69,6 +69,20 @@ SELECT DISTINCT folder FROM (
  UNION ALL SELECT concat(lpad(CAST(extract(day FROM ts) AS VARCHAR(2)),2,'0'),' Jan 2024 (3)') FROM events WHERE extract(day FROM ts) % 6 = 0) t
 """
 
+# names that are numbers of each other, and a folder that holds some of them, with gaps
+TANGLED = """
+SELECT concat('/in/', CAST(event_id AS VARCHAR(20)), '/', name) AS file_name, name, folder, event_id AS item_no,
+ 1000 + event_id % 3 AS length, md5(CAST(event_id % 7 AS VARCHAR(20))) AS digest
+FROM (SELECT event_id, concat('d', CAST(extract(day FROM ts) AS VARCHAR(20))) AS folder,
+  concat('IMG_', CAST(event_id % 40 AS VARCHAR(20)), CASE CAST(floor(CAST(event_id AS DOUBLE)/40) AS BIGINT) % 6 WHEN 1 THEN ' (1)' WHEN 2 THEN ' (3)' WHEN 3 THEN ' (1) (1)' WHEN 4 THEN ' (2)' ELSE '' END, '.jpg') AS name FROM events) t
+"""
+
+TANGLED_EXISTING = """
+SELECT DISTINCT folder, name, CAST(1000 + k % 3 AS BIGINT) AS length, md5(CAST(k % 7 AS VARCHAR(20))) AS digest
+FROM (SELECT concat('d', CAST(extract(day FROM ts) AS VARCHAR(20))) AS folder, event_id % 40 AS k,
+  concat('IMG_', CAST(event_id % 40 AS VARCHAR(20)), CASE CAST(event_id % 4 AS INT) WHEN 0 THEN ' (2)' WHEN 1 THEN ' (5)' ELSE ' (1) (2)' END, '.jpg') AS name FROM events WHERE event_id % 40 < 25) t
+"""
+
 CONTENT = """
 SELECT concat('/docs/', source, '/', CAST(doc_id % 50 AS VARCHAR(20)), '_', CAST(doc_id AS VARCHAR(20)), '.jpg') AS path, text
 FROM documents

@@ -198,6 +198,25 @@ result AS (SELECT f.file_name, f.album_name,
   CASE WHEN n.there THEN 'SKIP_IDENTICAL' WHEN n.seen = f.date_created THEN 'PLACE' ELSE 'SKIP_IDENTICAL' END AS action
  FROM named_files f JOIN again n ON n.album_name = f.album_name AND n.name = f.name AND n.length = f.length AND n.content_md5 = f.content_md5)"""
 
+# the rule arrival by arrival: `taken` is a map of a family's names to what they hold
+TANGLED_SQL = rf"""
+WITH RECURSIVE files AS (SELECT *, regexp_replace(name, '(?: \(\d+\))*\.jpg$', '') AS root, concat(length, ':', digest) AS content FROM ({fx.TANGLED})),
+present AS (SELECT *, regexp_replace(name, '(?: \(\d+\))*\.jpg$', '') AS root, concat(length, ':', digest) AS content FROM ({fx.TANGLED_EXISTING})),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY folder, root ORDER BY item_no) AS k FROM files),
+families AS (SELECT DISTINCT folder, root FROM files),
+start AS (SELECT f.folder, f.root, coalesce(list(p.name) FILTER (p.name IS NOT NULL), []) AS names, coalesce(list(p.content) FILTER (p.name IS NOT NULL), []) AS contents
+  FROM families f LEFT JOIN present p ON p.folder = f.folder AND p.root = f.root GROUP BY 1, 2),
+run AS (SELECT folder, root, CAST(0 AS BIGINT) AS k, names, contents, '' AS file_name, '' AS target_name, '' AS action FROM start
+  UNION ALL SELECT folder, root, k, CASE WHEN held = 0 THEN list_append(names, slot) ELSE names END, CASE WHEN held = 0 THEN list_append(contents, content) ELSE contents END,
+   file_name, slot, CASE WHEN held = 0 THEN 'PLACE' ELSE 'SKIP_IDENTICAL' END
+  FROM (SELECT *, coalesce(list_position(names, slot), 0) AS held FROM (
+   SELECT n.folder, n.root, n.k, r.names, r.contents, n.file_name, n.content,
+    list_filter(list_transform(range(0, len(r.names) + 1), lambda i: CASE WHEN i = 0 THEN n.name ELSE regexp_replace(n.name, '\.jpg$', ' (' || i || ').jpg') END),
+     lambda x: coalesce(list_position(r.names, x), 0) = 0 OR r.contents[list_position(r.names, x)] = n.content)[1] AS slot
+   FROM run r JOIN numbered n ON n.folder = r.folder AND n.root = r.root AND n.k = r.k + 1) a) b)
+SELECT file_name, folder AS album_name, target_name, action FROM run WHERE k > 0
+"""
+
 CONTENT = f"content AS (SELECT path, encode(text) AS bytes, octet_length(encode(text)) AS length FROM ({fx.CONTENT}))"
 
 
@@ -357,6 +376,7 @@ FROM documents GROUP BY doc_id % 100 HAVING count(*) > 1""",
         ),
         "placement_manifest": _sql(*date_albums(0, 10), PLACEMENT, select="SELECT file_name, album_name, target_name, album_name || '/' || target_name AS target_path, action FROM manifest"),
         "placement_onto_existing": _sql(*date_albums(0, 10), PLACEMENT, ONTO_EXISTING, select="SELECT file_name, album_name, target_name, action FROM result"),
+        "placement_tangled": TANGLED_SQL,
         "placement_counts": _sql(*date_albums(0, 10), PLACEMENT, select="SELECT action, count(*) AS files FROM manifest GROUP BY 1"),
         "stream_sessions": """WITH s1 AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 86400000000 THEN 0 ELSE 1 END AS fresh FROM events),
 s2 AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM s1),

@@ -515,6 +515,13 @@ def placement_onto_existing(spark, sf_dir):
     return manifest.select("file_name", "album_name", "target_name", "action")
 
 
+def placement_tangled(spark, sf_dir):
+    """Names that are numbers of each other, onto folders that hold numbers with gaps."""
+    items = fx.derived(spark, sf_dir, fx.TANGLED, "events").withColumnRenamed("folder", "album_name")
+    existing = fx.derived(spark, sf_dir, fx.TANGLED_EXISTING, "events")
+    return placement_manifest(items, ONE, existing).select("file_name", "album_name", "target_name", "action")
+
+
 def placement_counts(spark, sf_dir):
     return manifest_counts(placement_manifest(placement_items(spark, sf_dir, ONE_DISTANCE), ONE_DISTANCE))
 
@@ -660,6 +667,7 @@ def queries() -> dict[str, Query]:
         "existing_listing": existing_listing,
         "placement_manifest": placement_manifest_query,
         "placement_onto_existing": placement_onto_existing,
+        "placement_tangled": placement_tangled,
         "placement_counts": placement_counts,
         "stream_sessions": stream_sessions,
         "stream_albums": stream_albums,
