@@ -30,7 +30,7 @@ from geoalbums.operators.joins import left_join_by_weight
 from geoalbums.operators.scan import WHOLE, library_keys, ranked
 from geoalbums.sources.shared import materialize
 
-PLACE, SKIP = "PLACE", "SKIP_IDENTICAL"
+PLACE, SKIP, FAILED = "PLACE", "SKIP_IDENTICAL", "FAILED"
 
 _EXISTING = -1  # arrival number of files that were there before
 
@@ -85,6 +85,10 @@ def placement_manifest(
     carried = ["length"] + (["digest"] if "digest" in items.columns else [])
     if keys == [WHOLE] and WHOLE not in items.columns:
         items = items.withColumn(WHOLE, F.lit(0))
+    failed = None
+    if "error" in items.columns:
+        failed = _failed(items.withColumn("folder", F.col("album_name")), keys)
+        items = items.where(F.col("error").isNull())
     files = materialize(
         items.select(
             *keys,
@@ -108,6 +112,10 @@ def placement_manifest(
     if add_digest is not None:
         contested = add_digest(contested)
     contested = materialize(contested, "contested-files")
+    if "error" in contested.columns:
+        unread = _failed(contested, keys)
+        failed = unread if failed is None else failed.unionByName(unread)
+        contested = contested.where(F.col("error").isNull()).drop("error")
     content = [*spot, "length", "digest"]
     contents = contested.groupBy(*content).agg(
         F.min("item_no").alias("first_no"),
@@ -127,18 +135,28 @@ def placement_manifest(
         *spot, "file_name", "target_name",
         F.when(F.col("item_no") == F.col("first_no"), F.col("action")).otherwise(F.lit(SKIP)).alias("action"),
     )
-    return quiet.unionByName(settled).select(
+    placed_or_not = quiet.unionByName(settled).drop("name")
+    if failed is not None:
+        placed_or_not = placed_or_not.unionByName(failed)
+    # libraries have folders of their own, so that no two files are given one target
+    target = [*[F.col(c).cast("string") for c in cfg.library_cols], F.col("folder"), F.col("target_name")]
+    return placed_or_not.select(
         *cfg.library_cols,
         "file_name",
         F.col("folder").alias("album_name"),
         "target_name",
-        # libraries have folders of their own, so that no two files are given one target
-        F.concat_ws("/", *[F.col(c).cast("string") for c in cfg.library_cols], "folder", "target_name").alias("target_path"),
+        F.when(F.col("target_name").isNotNull(), F.concat_ws("/", *target)).alias("target_path"),
         "action",
         F.lit(cfg.mode).alias("mode"),
     )
 
 
+def _failed(files: DataFrame, keys: list[str]) -> DataFrame:
+    return files.where(F.col("error").isNotNull()).select(
+        *keys, "folder", "file_name", F.lit(None).cast("string").alias("target_name"), F.lit(FAILED).alias("action")
+    )
+
+
 def _by_library(existing: DataFrame, keys: list[str]) -> DataFrame:
     if keys == [WHOLE] and WHOLE not in existing.columns:
         existing = existing.withColumn(WHOLE, F.lit(0))

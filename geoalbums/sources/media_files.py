@@ -2,42 +2,27 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoalbums.functions.hashing import chunked_digest
 from geoalbums.operators.filters import is_media
-from geoalbums.sources.shared import path_exists
+from geoalbums.sources.listing import failed_files, list_tree  # noqa: F401
+from geoalbums.sources.shared import hadoop_path, path_exists
+from geoalbums.sources.stores import open_file, tried, write_file  # noqa: F401
 
 
 def list_files(spark: SparkSession, roots: Sequence[str], recursive: bool = False) -> DataFrame:
-    """path, modified_at, length, content. Content is read only by a query that asks for it.
+    """path, modified_at, length of the files under the roots, listed by the executors.
 
-    A root that isn't there is left out, see `skipped_roots`, as is a file that vanishes meanwhile.
+    A root that isn't there is left out, see `skipped_roots`, as is what cannot be listed: `list_tree`
+    has these with the reason, and `failed_files` collects them.
     """
-    frames = []
-    for root in roots:
-        if _why_skipped(spark, root) is not None:
-            continue
-        reader = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", str(recursive).lower())
-            .option("ignoreMissingFiles", "true")
-            .option("ignoreCorruptFiles", "true")
-        )
-        frames.append(reader.load(root))
-    if not frames:
-        return spark.createDataFrame([], "path string, modified_at timestamp, length bigint, content binary")
-    union = frames[0]
-    for frame in frames[1:]:
-        union = union.unionByName(frame)
-    return union.withColumnRenamed("modificationTime", "modified_at")
+    return list_tree(spark, roots, recursive).where("error IS NULL").drop("error")
 
 
 def _why_skipped(spark: SparkSession, root: str) -> str | None:
@@ -85,8 +70,8 @@ def scan_counts(files: DataFrame, path_col: str = "path") -> DataFrame:
 
 
 def existing_files(spark: SparkSession, destination: str) -> DataFrame:
-    """Files already there: file_name, folder (relative to the destination), name, length, content."""
-    root = destination.rstrip("/")
+    """Files already there: file_name, folder (relative to the destination), name, length."""
+    root = hadoop_path(spark, destination).rstrip("/")
     listed = list_files(spark, [destination], recursive=True)
     relative = F.regexp_extract(F.col("path"), rf"\Q{root}\E/(.*)\z", 1)
     return listed.select(
@@ -94,7 +79,6 @@ def existing_files(spark: SparkSession, destination: str) -> DataFrame:
         F.regexp_extract(relative, r"\A(?:(.*)/)?[^/]*\z", 1).alias("folder"),
         F.substring_index(relative, "/", -1).alias("name"),
         "length",
-        "content",
     )
 
 
@@ -113,72 +97,58 @@ _PREFIX = 64 * 1024
 _CHUNK = 4 << 20  # bytes of a file that are held at a time
 
 
-_STORES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "wasb": "abfs", "wasbs": "abfss"}  # Hadoop's names of Arrow's stores
-
-
-def _store(path: str) -> tuple[str, str]:
-    """Arrow's URI of the store a Hadoop path is in (empty: the local one), and the path inside, as it stands."""
-    scheme, at, rest = path.partition(":")
-    if not at or "/" in scheme or scheme == "file":
-        return "", re.sub(r"\Afile:/+", "/", path)
-    if scheme == "dbfs":  # mounted on every executor
-        return "", "/dbfs/" + rest.lstrip("/")
-    authority, _, inner = rest.removeprefix("//").partition("/") if rest.startswith("//") else ("", "", rest.lstrip("/"))
-    if scheme in ("wasb", "wasbs"):  # Arrow finds the container in names of the other endpoint only
-        authority = authority.replace(".blob.", ".dfs.", 1)
-    return f"{_STORES.get(scheme, scheme)}://{authority}/", inner
-
-
-def _located(path: str) -> tuple[fs.FileSystem, str]:
-    store, inner = _store(path)
-    if not store:
-        return fs.LocalFileSystem(), inner
-    filesystem, root = fs.FileSystem.from_uri(store)
-    return filesystem, f"{root.rstrip('/')}/{inner}"
-
-
-def _open(path: str):
-    filesystem, inner = _located(path)
-    return filesystem.open_input_stream(inner)
-
-
-def write_file(path: str, content: bytes) -> None:
-    """One file, with the folders above it; a task that runs again writes it again."""
-    filesystem, inner = _located(path)
-    filesystem.create_dir(inner.rpartition("/")[0], recursive=True)
-    with filesystem.open_output_stream(inner) as stream:
-        stream.write(content)
-
-
-def _file_digest(path: str, mode: str, most: int | None) -> str | None:
-    """Digest of a file, or of its first `most` bytes; null for a file that is gone. Any other error
-    fails the task, which is tried again: a file that isn't read must not count as one without twins."""
+def _file_digest(path: str, mode: str, most: int | None) -> str:
+    """Digest of a file, or of its first `most` bytes."""
     digest = chunked_digest(mode)
     left = most
-    try:
-        with _open(path) as stream:
-            while left is None or left > 0:
-                chunk = stream.read(_CHUNK if left is None else min(_CHUNK, left))
-                if not chunk:
-                    break
-                digest.update(chunk)
-                left = left if left is None else left - len(chunk)
-    except FileNotFoundError:
-        return None
+    with open_file(path) as stream:
+        while left is None or left > 0:
+            chunk = stream.read(_CHUNK if left is None else min(_CHUNK, left))
+            if not chunk:
+                break
+            digest.update(chunk)
+            left = left if left is None else left - len(chunk)
     return digest.hexdigest()
 
 
-def with_file_digest(files: DataFrame, mode: str, path_col: str = "file_name", prefix: bool = False) -> DataFrame:
+def with_file_digest(
+    files: DataFrame, mode: str, path_col: str = "file_name", prefix: bool = False, quarantine: bool = False
+) -> DataFrame:
     """Adds `digest` of each file's whole content, read in chunks where the row is.
 
     With `prefix` only the first 64 KiB are read: different digests then tell files apart, equal
-    ones tell nothing. A file that is gone has no digest; one that cannot be read is an error.
+    ones tell nothing. A file that is gone has no digest; one that cannot be read is an error, so
+    that it does not pass for one without twins. With `quarantine` both have the reason in `error`
+    instead, and the rest goes on; what a store refuses for a moment is tried again first.
     """
     most = _PREFIX if prefix else None
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [_file_digest(path, mode, most) for path in batch[path_col]]
-            yield batch.assign(digest=pd.Series(found, index=batch.index, dtype=object))
+            found = [tried(lambda: _file_digest(path, mode, most)) for path in batch[path_col]]
+            for path, (_, error) in zip(batch[path_col], found):
+                if error not in (None, "not found") and not quarantine:
+                    raise OSError(f"{path}: {error}")
+            out = batch.assign(digest=pd.Series([value for value, _ in found], index=batch.index, dtype=object))
+            if quarantine:
+                out = out.assign(error=pd.Series([error for _, error in found], index=batch.index, dtype=object))
+            yield out
+
+    added = ["digest", "error"] if quarantine else ["digest"]
+    kept = [field for field in files.schema.fields if field.name not in added]
+    schema = T.StructType([*kept, *[T.StructField(name, T.StringType()) for name in added]])
+    return files.select(*[F.col(f"`{f.name}`") for f in kept]).mapInPandas(digest, schema)
+
+
+def with_content(files: DataFrame, path_col: str = "path") -> DataFrame:
+    """Adds `content`, whole; for files known to be small."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(len(batch)):
+                one = batch.iloc[at : at + 1]
+                with open_file(one[path_col].iloc[0]) as stream:
+                    yield one.assign(content=[stream.read()])
 
-    return files.mapInPandas(digest, T.StructType([*files.schema.fields, T.StructField("digest", T.StringType())]))
+    schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])
+    return files.mapInPandas(read, schema)

@@ -36,6 +36,12 @@ def _hadoop(spark: SparkSession, path: str):
     return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
 
 
+def hadoop_path(spark: SparkSession, path: str) -> str:
+    """A path in full, with its store: one spelling for one place."""
+    filesystem, found = _hadoop(spark, path)
+    return filesystem.makeQualified(found).toString()
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """False only if there is nothing; a store that can't be asked raises its error."""
     filesystem, found = _hadoop(spark, path)

@@ -170,7 +170,7 @@ def test_files_end_to_end(spark, tmp_path):
     cfg = AlbumConfig(mode="copy")
     media = media_from_tags(tags, files.withColumn("modified_at", F.lit("2024-06-01").cast("timestamp_ntz")), cfg)
     run = build_albums(media, cfg)
-    existing = with_file_digest(existing_files(spark, f"file:{tmp_path}/out").drop("content"), "crc")
+    existing = with_file_digest(existing_files(spark, f"file:{tmp_path}/out"), "crc")
     write_run(run, cfg, f"{tmp_path}/result", existing, f"{tmp_path}/marks", "/out", lambda files: with_file_digest(files, "crc"))
     manifest = spark.read.parquet(f"{tmp_path}/result/manifest").collect()
     short = {r.file_name.split("/in/")[1]: (r.target_path, r.action) for r in manifest}

@@ -137,6 +137,27 @@ def test_digest_only_where_names_collide(spark):
     assert (9, "x", "only.jpg") not in asked[0]
 
 
+def test_failed_files_take_no_name(spark):
+    """Files that failed before, or whose digest cannot be had, are listed without a target."""
+    items, present = case(5)
+    bad = {i[1] for i in items if i[3] % 5 == 0}
+    frame = spark.createDataFrame([(*i, "gone" if i[1] in bad else None) for i in items], f"{ITEMS}, error string")
+    cfg = AlbumConfig(library_cols=("library",), scan_buckets=3)
+    there = spark.createDataFrame(present, PRESENT)
+    rows = placement_manifest(frame, cfg, there).collect()
+    expected = loop([i for i in items if i[1] not in bad], present) | {path: (None, "FAILED") for path in bad}
+    assert {r.file_name: (r.target_name, r.action) for r in rows} == expected
+    assert all((r.target_path is None) == (r.action == "FAILED") for r in rows)
+
+    def add_digest(files):
+        return files.join(frame.select("library", "file_name", "digest", "error"), ["library", "file_name"])
+
+    rows = placement_manifest(frame.drop("digest", "error"), cfg, there, add_digest).collect()
+    unread = {r.file_name for r in rows if r.action == "FAILED"}
+    assert unread and unread <= bad  # those whose name nobody else wants are not read
+    assert len(rows) == len(items)
+
+
 def test_hot_name_needs_no_group(spark):
     """Many variants and copies of one name, onto a gapless run, are ranked and not grouped."""
     items = [(0, f"/s{i}/a.jpg", "x", i, 1, str(i // 2)) for i in range(400)]

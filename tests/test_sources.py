@@ -11,9 +11,10 @@ from geoalbums.operators.content import digest_candidates, duplicate_files, dupl
 from geoalbums.operators.filters import date_window, late_items
 from geoalbums.sources.gazetteer import parse_lines
 from geoalbums.sources.media_files import (
-    _file_digest, _store, distinct_paths, existing_files, existing_folders, list_files, scan_counts, scan_media, skipped_roots,
-    with_file_digest,
+    distinct_paths, existing_files, existing_folders, failed_files, list_files, list_tree, scan_counts, scan_media,
+    skipped_roots, with_content, with_file_digest,
 )
+from geoalbums.sources.stores import store_of
 from geoalbums.sources.state import merge_marks, read_marks, save_marks
 from geoalbums.sources.tags import tag_dates, tag_locations
 
@@ -57,7 +58,7 @@ def test_duplicates(spark, tmp_path):
         "huge": head * 3,
     })
     files = list_files(spark, [str(tmp_path)]).select("path", "length")
-    contents = list_files(spark, [str(tmp_path)])
+    contents = with_content(list_files(spark, [str(tmp_path)]))
     name = F.regexp_extract("first_path", r"([^/]*)$", 1)
     for mode in ("crc", "md5", "sha"):
         for cfg in (AlbumConfig(hash_mode=mode), AlbumConfig(hash_mode=mode, broadcast_rows=0, hot_rows=0)):
@@ -70,14 +71,54 @@ def test_duplicates(spark, tmp_path):
 
 
 def test_lone_lengths_are_not_read(spark, tmp_path):
-    tree(str(tmp_path), {"a": b"1", "b": b"1", "huge": b"x" * 5000})
-    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
-    try:
-        listed = list_files(spark, [str(tmp_path)]).select("path", "length")
-        digests = digest_candidates(listed, AlbumConfig(hash_mode="md5"))
-        assert digests.count() == 2
-    finally:
-        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    """A file of a length of its own may be unreadable: nobody asks."""
+    tree(str(tmp_path), {"a": b"1", "b": b"1"})
+    lone = spark.createDataFrame([("nowhere://store/huge", 5000)], "path string, length long")
+    listed = list_files(spark, [str(tmp_path)]).select("path", "length").unionByName(lone)
+    assert digest_candidates(listed, AlbumConfig(hash_mode="md5")).count() == 2
+
+
+def test_listing_is_made_by_the_executors(spark, tmp_path):
+    root = tmp_path / "root"
+    names = [f"d{i}/e{j}/f{k}.jpg" for i in range(3) for j in range(2) for k in range(5)]
+    names += [f"flat/{k}.mp4" for k in range(2500)] + [".hidden/_x.jpg", "a b%20c/ü.heic", "top.jpg"]
+    tree(str(root), {name: name.encode() for name in names})
+    (root / "empty").mkdir()
+    os.symlink(root, root / "d0" / "back")  # a folder that leads back is not followed
+    os.symlink(root / "top.jpg", root / "d0" / "link.jpg")
+    os.symlink(root / "nothing", root / "d1" / "broken.jpg")
+    with open(os.fsencode(str(root)) + b"/bad\xff.jpg", "wb") as out:
+        out.write(b"1")
+    listed = list_tree(spark, [str(root), f"{tmp_path}/nowhere", "nowhere://store/x", f"{root}/top.jpg"], recursive=True, page=100)
+    rows = listed.collect()
+    good = {r.path.removeprefix(f"file:{root}/"): r.length for r in rows if r.error is None}
+    assert good == {name: len(name.encode()) for name in names} | {"d0/link.jpg": len("top.jpg")}
+    assert all(r.modified_at is not None for r in rows if r.error is None)
+    failed = {r.path: r.reason for r in failed_files(listed).collect()}
+    assert failed.pop("nowhere://store/x").startswith("cannot be read")
+    bad = failed.pop(f"file:{root}")
+    assert bad.startswith("a name is not UTF-8")
+    assert failed == {
+        f"file:{tmp_path}/nowhere": "not found", f"file:{root}/top.jpg": "not a folder", f"file:{root}/d1/broken.jpg": "not found",
+    }
+    # what is planned is tables of folders and files, no index of them
+    plan = list_tree(spark, [str(root)], recursive=True)._jdf.queryExecution().toString()
+    assert "binaryFile" not in plan and "LocalTableScan" not in plan.split("Physical Plan")[1]
+    flat = list_tree(spark, [str(root)])
+    assert {os.path.basename(r.path) for r in flat.where("error IS NULL").collect()} == {"top.jpg"}
+
+
+def test_quarantine(spark, tmp_path):
+    tree(str(tmp_path), {"a.jpg": b"1", "b.jpg": b"2"})
+    (tmp_path / "folder.jpg").mkdir()
+    files = spark.createDataFrame(
+        [(f"{tmp_path}/{name}", "old") for name in ("a.jpg", "b.jpg", "gone.jpg", "folder.jpg")] + [("nowhere://s/x", None)],
+        "file_name string, error string",
+    )
+    digests = with_file_digest(files, "md5", quarantine=True)
+    assert {os.path.basename(r.file_name) for r in digests.where("digest IS NOT NULL AND error IS NULL").collect()} == {"a.jpg", "b.jpg"}
+    failed = {os.path.basename(r.path): r.reason for r in failed_files(digests).collect()}
+    assert failed["gone.jpg"] == "not found" and failed["x"].startswith("cannot be read") and len(failed) == 3
 
 
 def test_file_digest(spark, tmp_path):
@@ -95,24 +136,20 @@ def test_file_digest(spark, tmp_path):
 
 
 def test_unreadable_files_are_errors(spark, tmp_path):
-    """Only a file that is gone has no digest."""
+    """Without quarantine, only a file that is gone has no digest."""
     (tmp_path / "folder.jpg").mkdir()
-    assert _file_digest(f"{tmp_path}/gone.jpg", "md5", None) is None
-    for path in (f"{tmp_path}/folder.jpg", "nowhere://store/a.jpg"):
-        with pytest.raises(Exception):
-            _file_digest(path, "md5", None)
     files = spark.createDataFrame([(f"{tmp_path}/folder.jpg", 5), (f"{tmp_path}/folder.jpg", 5)], "path string, length long")
     with pytest.raises(Exception):
         duplicate_groups(digest_candidates(files, AlbumConfig(hash_mode="md5"))).collect()
 
 
 def test_stores_of_paths():
-    assert _store("s3a://bucket/a b/c%20.jpg") == ("s3://bucket/", "a b/c%20.jpg")
-    assert _store("wasbs://box@acc.blob.core.windows.net/x/y") == ("abfss://box@acc.dfs.core.windows.net/", "x/y")
-    assert _store("dbfs:/mnt/a.jpg") == ("", "/dbfs/mnt/a.jpg")
-    assert _store("hdfs://node:8020/a/b") == ("hdfs://node:8020/", "a/b")
-    assert _store("file:/tmp/a.jpg") == _store("file:///tmp/a.jpg") == _store("/tmp/a.jpg") == ("", "/tmp/a.jpg")
-    assert _store("/tmp/10:30.jpg") == ("", "/tmp/10:30.jpg")
+    assert store_of("s3a://bucket/a b/c%20.jpg") == ("s3://bucket/", "a b/c%20.jpg")
+    assert store_of("wasbs://box@acc.blob.core.windows.net/x/y") == ("abfss://box@acc.dfs.core.windows.net/", "x/y")
+    assert store_of("dbfs:/mnt/a.jpg") == ("", "/dbfs/mnt/a.jpg")
+    assert store_of("hdfs://node:8020/a/b") == ("hdfs://node:8020/", "a/b")
+    assert store_of("file:/tmp/a.jpg") == store_of("file:///tmp/a.jpg") == store_of("/tmp/a.jpg") == ("", "/tmp/a.jpg")
+    assert store_of("/tmp/10:30.jpg") == ("", "/tmp/10:30.jpg")
 
 
 def test_chunks_add_up():
