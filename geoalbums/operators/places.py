@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from geoalbums.config import AlbumConfig
@@ -63,13 +63,19 @@ def relevant_places(places: DataFrame, precision: int) -> DataFrame:
     return places.where(is_relevant(F.col("feature_class"), F.col("feature_code"), precision))
 
 
+# Heights of the dyadic tree of latitudes: leaves of 2**-20 degrees (some 10 cm), nodes up to one degree.
+_HEIGHTS = 20
+
+
 def places_near(places: DataFrame, media: DataFrame) -> DataFrame:
     """Places with at least one positioned item in their ±1° box.
 
-    Per one-degree cell and latitude the items shrink to their lowest and highest longitude:
-    in any cell that touches a box, one side of the longitude test always holds, so the two
-    extremes decide. Cell extremes (at most one row per degree square) settle nearly all places;
-    the rest is checked against the latitude rows of its corner cells.
+    Per one-degree column of longitude, items shrink to the lowest and highest longitude of each
+    dyadic interval of latitudes: in any column that touches a box, one side of the longitude test
+    always holds, so the two extremes decide. Extremes of degree squares (at most one row each)
+    settle nearly all places. For the rest, the latitudes of the box fall into at most some forty
+    whole intervals, each an equi join of one row per column, and two leaves that are cut, where
+    the latitudes themselves are looked at: the items of a metropolis never meet in one task.
     """
     r = PREFILTER_DEGREES
     lat, lon = F.col("latitude"), F.col("longitude")
@@ -93,15 +99,56 @@ def places_near(places: DataFrame, media: DataFrame) -> DataFrame:
     lat_meets = F.col("min_lat").between(lat_low, lat_high) | F.col("max_lat").between(lat_low, lat_high)
     lon_meets = F.col("min_lon").between(lon_low, lon_high) | F.col("max_lon").between(lon_low, lon_high)
     settled = (lat_inside & lon_meets) | (lon_inside & lat_meets)
-    sure = homed.join(around, home & settled, "left_semi")
+    sure = homed.join(around, home & settled, "left_semi").select(*places.columns)
     unsure = homed.join(around, home & settled, "left_anti").join(
         around, home & lat_meets & lon_meets, "left_semi"
     )
-    in_row = F.col("at_lat").between(lat_low, lat_high) & (
-        F.col("min_lon").between(lon_low, lon_high) | F.col("max_lon").between(lon_low, lon_high)
-    )
-    checked = unsure.join(_to_neighbours(rows), home & in_row, "left_semi")
-    return sure.unionByName(checked).select(*places.columns)
+    unsure = materialize(unsure.withColumn("_place", F.monotonically_increasing_id()), "unsure-places")
+    if unsure.isEmpty():
+        return sure
+    sides = F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.col("py") + d))
+    probes = unsure.select("_place", "latitude", "longitude", sides.alias("cy"))
+    nodes = _latitude_nodes(rows)
+    whole = probes.select("*", F.explode(_whole_nodes(lat_low, lat_high)).alias("_node")).select("*", "_node.*")
+    by_node = whole.join(nodes, ["cy", "height", "node"]).where(lon_meets).select("_place")
+    cut = probes.withColumn("leaf", F.explode(F.array_distinct(F.array(_leaf(lat_low), _leaf(lat_high)))))
+    by_row = cut.join(rows.withColumn("leaf", _leaf(F.col("at_lat"))), ["cy", "leaf"]).where(
+        F.col("at_lat").between(lat_low, lat_high) & lon_meets
+    ).select("_place")
+    found = by_node.unionByName(by_row).distinct()
+    return sure.unionByName(unsure.join(found, "_place", "left_semi").select(*places.columns))
+
+
+def _leaf(lat: Column) -> Column:
+    return F.floor(lat * (1 << _HEIGHTS))
+
+
+def _latitude_nodes(rows: DataFrame) -> DataFrame:
+    """cy, height, node: lowest and highest longitude of every dyadic interval that holds an item."""
+    extremes = [F.min("min_lon").alias("min_lon"), F.max("max_lon").alias("max_lon")]
+    leaves = rows.groupBy("cy", _leaf(F.col("at_lat")).alias("leaf")).agg(*extremes)
+    heights = F.explode(F.sequence(F.lit(0), F.lit(_HEIGHTS)))
+    up = leaves.withColumn("height", heights).withColumn("node", F.expr("shiftright(leaf, height)"))
+    return up.groupBy("cy", "height", "node").agg(*extremes)
+
+
+def _whole_nodes(low: Column, high: Column) -> Column:
+    """The fewest dyadic intervals that make up all leaves wholly between the two leaves of the bounds."""
+    first, end = _leaf(low) + 1, _leaf(high)  # leaves first .. end - 1
+    power = lambda h: F.lit(1 << h).cast("bigint")
+    node_of = lambda h: lambda x: F.struct(F.lit(h).alias("height"), x.alias("node"))
+    pieces = []
+    for h in range(_HEIGHTS + 1):
+        left, right = F.ceil(first / power(h)).cast("bigint"), F.floor(end / power(h)).cast("bigint")
+        if h == _HEIGHTS:
+            ids = F.when(left < right, F.sequence(left, F.greatest(right - 1, left)))
+        else:
+            ids = F.when(
+                left < right,
+                F.array_compact(F.array(F.when(left % 2 != 0, left), F.when(right % 2 != 0, right - 1))),
+            )
+        pieces.append(F.transform(F.coalesce(ids, F.array().cast("array<bigint>")), node_of(h)))
+    return F.flatten(F.array(*pieces))
 
 
 def _to_neighbours(cells: DataFrame) -> DataFrame:
@@ -117,20 +164,25 @@ class NoPlacesError(ValueError):
 
 
 def load_gazetteer(places: DataFrame, media: DataFrame, cfg: AlbumConfig) -> tuple[DataFrame, int, int]:
-    """Relevant places near the media, with the counts (relevant entries, places kept)."""
-    relevant = relevant_places(places, cfg.precision)
-    kept = materialize(places_near(relevant, media), "places")
-    total, count = relevant.count(), kept.count()
-    if count == 0 and cfg.require_places:
+    """Relevant places near the media, with the counts (relevant entries, places kept).
+
+    Both are counted by the passes that write the places, so nothing is read for the counts alone.
+    """
+    total, count = Observation(), Observation()
+    every = F.count(F.lit(1)).alias("n")
+    relevant = materialize(relevant_places(places, cfg.precision).observe(total, every), "relevant-places")
+    kept = materialize(places_near(relevant, media).observe(count, every), "places")
+    if count.get["n"] == 0 and cfg.require_places:
         raise NoPlacesError("no matching places were found near any item")
-    return kept, total, count
+    return kept, total.get["n"], count.get["n"]
 
 
 def box_join(points: DataFrame, places: DataFrame, radius: float, cfg: AlbumConfig) -> DataFrame:
     """All (point, place) pairs inside the ±radius box; points keep their columns.
 
     Place columns are prefixed with `place_`. Places are repeated into the cells they can be
-    seen from; few of them are broadcast, many are joined by cell with crowded cells salted.
+    seen from; few of them are broadcast, many are joined by cell. A crowded cell is cut into
+    tiles of at most `hot_rows` points and as many places, each a task's work at most.
     """
     renamed = places.select(*[F.col(name).alias(f"place_{name}") for name in places.columns])
     seen = renamed.withColumn("_cx", F.explode(cells_in_reach(F.col("place_latitude"), radius))).withColumn(
@@ -142,12 +194,42 @@ def box_join(points: DataFrame, places: DataFrame, radius: float, cfg: AlbumConf
     if seen.count() <= cfg.broadcast_rows:
         joined = celled.join(F.broadcast(seen), ["_cx", "_cy"])
     else:
-        joined = _salted_cell_join(celled, seen, cfg, "inner")
+        joined = _tiled_cell_join(materialize(celled, "box-points"), seen, cfg)
     return joined.where(
         within_box(F.col("place_latitude"), F.col("place_longitude"), lat, lon, radius)
     ).select(*points.columns, *renamed.columns)
 
 
+def _tiled_cell_join(points: DataFrame, seen: DataFrame, cfg: AlbumConfig) -> DataFrame:
+    """Join on the cell, both sides of a crowded cell dealt out: a row has a stripe of its own side and
+    is repeated over the stripes of the other, `_row` and `_column` of its tiles. Of crowded cells there
+    are at most rows / hot_rows."""
+    cells = ["_cx", "_cy"]
+
+    def stripes(name: str) -> Column:
+        return F.ceil(F.coalesce(name, F.lit(0)) / max(cfg.hot_rows, 1)).cast("int")
+
+    load = points.groupBy(*cells).agg(F.count("*").alias("points")).join(
+        seen.groupBy(*cells).agg(F.count("*").alias("places")), cells
+    )
+    crowded = load.where(F.greatest("points", "places") > cfg.hot_rows).select(
+        *cells, stripes("points").alias("_rows"), stripes("places").alias("_columns")
+    )
+    crowded = F.broadcast(materialize(crowded, "crowded-cells"))
+
+    def dealt(side: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        return (  # equal rows are told apart by where they are written
+            side.withColumn("_at", F.monotonically_increasing_id()).join(crowded, cells, "left")
+            .withColumn(mine, F.pmod(F.xxhash64("_at"), F.coalesce(own, F.lit(1))).cast("int"))
+            .withColumn(theirs, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+            .drop("_at", "_rows", "_columns")
+        )
+
+    left = dealt(points, "_rows", "_columns", "_row", "_column")
+    right = dealt(seen, "_columns", "_rows", "_column", "_row")
+    return left.join(right, [*cells, "_row", "_column"])
+
+
 @dataclass(frozen=True)
 class _TierCells:
     cells: DataFrame  # tier, cx, cy, part, candidates

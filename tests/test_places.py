@@ -82,6 +82,45 @@ def test_box_join(spark):
         assert {(r.latitude, r.longitude, r.place_geonameid) for r in rows} == expected
 
 
+def test_crowded_cell_is_tiled(spark):
+    """Points at one spot and places at another of the same cell: no tile beyond its bound."""
+    points = spark.createDataFrame([(10.001, 20.001, i % 2) for i in range(300)], "latitude double, longitude double, n int")
+    places = spark.createDataFrame([(i, str(i), 10.002, 20.002 + (i % 3) * 0.2, "P", "PPL") for i in range(300)], SCHEMA)
+    seen = places.select(*[F.col(c).alias(f"place_{c}") for c in places.columns]).withColumns({"_cx": F.lit(1), "_cy": F.lit(2)})
+    cfg = AlbumConfig(broadcast_rows=0, hot_rows=40)
+    tiles = ops._tiled_cell_join(points.withColumns({"_cx": F.lit(1), "_cy": F.lit(2)}), seen, cfg)
+    assert tiles.count() == 300 * 300
+    keys = tiles.groupBy("_row", "_column").count().collect()
+    assert len(keys) == 64 and max(k["count"] for k in keys) < 4 * 40 * 40
+    assert len(ops.box_join(points, places, 0.1, cfg).collect()) == 300 * 100
+
+
+def test_many_latitudes_of_one_city(spark):
+    """The ends of boxes run through a city of many latitudes."""
+    rng = random.Random(9)
+    items = [(10 + rng.random() / 50, 20 + rng.random() / 50) for _ in range(3000)]
+    items += [(-10 - rng.random() / 50, -20 - rng.random() / 50) for _ in range(50)]
+    gazetteer = []
+    for i in range(1500):
+        a, o = rng.choice(items)
+        edge = lambda: rng.choice([-1, 1]) + rng.gauss(0, 0.003)
+        gazetteer.append((i, "x", a + rng.choice([edge(), rng.uniform(-1, 1)]), o + edge(), "P", "PPL"))
+    expected = {p[0] for p in gazetteer if any(p[2] - 1 <= a <= p[2] + 1 and p[3] - 1 <= o <= p[3] + 1 for a, o in items)}
+    found = ops.places_near(
+        spark.createDataFrame(gazetteer, SCHEMA), spark.createDataFrame(items, "latitude double, longitude double")
+    ).collect()
+    assert len(found) == len(expected) and {r.geonameid for r in found} == expected
+    assert 300 < len(expected) < 1400
+    low, high = F.col("low"), F.col("high")
+    bounds = [(a, a + rng.choice([2.0, 0.3, 0.0])) for a, _ in items[:200]] + [(-1.5, 0.5), (0.0, 2.0)]
+    for r in spark.createDataFrame(bounds, "low double, high double").select(
+        "*", ops._whole_nodes(low, high).alias("nodes"), ops._leaf(low).alias("a"), ops._leaf(high).alias("b")
+    ).collect():
+        leaves = sorted((n.node << n.height, (n.node + 1) << n.height) for n in r.nodes)
+        assert len(leaves) <= 43 and all(x[1] == y[0] for x, y in zip(leaves, leaves[1:]))
+        assert (leaves[0][0], leaves[-1][1]) == (r.a + 1, r.b) if leaves else r.b - r.a <= 1
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_places_near(spark, seed):
     rng = random.Random(seed)
