@@ -87,6 +87,50 @@ class Crc64:
         return f"{self._state ^ _ALL_ONES:016X}"
 
 
+class Crc64Part:
+    """The state that bytes from somewhere inside a content lead to, beginning at zero."""
+
+    def __init__(self) -> None:
+        self.state = 0
+
+    def update(self, chunk: bytes) -> None:
+        self.state = _advance([chunk], [self.state])[0]
+
+
+_moves: dict[int, list[int]] = {}  # per number of bytes: where as many zero bytes take each bit of a state
+
+
+def _moved(bits: list[int], state: int) -> int:
+    out = 0
+    while state:
+        low = state & -state
+        out ^= bits[low.bit_length() - 1]
+        state ^= low
+    return out
+
+
+def _over(length: int) -> list[int]:
+    """Effect of `length` zero bytes: a matrix over two elements, by repeated squaring."""
+    if length not in _moves:
+        if length == 1:
+            byte = _tables()[0].tolist()
+            _moves[1] = [byte[bit & 0xFF] ^ (bit >> 8) for bit in (1 << i for i in range(64))]
+        else:
+            half = _over(length // 2)
+            twice = [_moved(half, bit) for bit in half]
+            _moves[length] = [_moved(_over(1), bit) for bit in twice] if length % 2 else twice
+    return _moves[length]
+
+
+def crc64_of_parts(parts: list[tuple[int, int]]) -> str:
+    """CRC-64 of a content from (bytes, state of a `Crc64Part`) of its parts, in order."""
+    state = _ALL_ONES
+    for length, own in parts:
+        if length:
+            state = _moved(_over(length), state) ^ own
+    return f"{state ^ _ALL_ONES:016X}"
+
+
 _AT_ONCE = 16 << 20  # bytes of contents checked side by side
 
 

@@ -74,16 +74,17 @@ def numbered_name(name: Column, number: Column) -> Column:
 def clock_text(micros: Column) -> Column:
     """`hh:mm:ss` of a gap, hours within the day, as the imputation audit prints it."""
     seconds = F.floor(F.abs(micros) / 1_000_000)
-    return F.format_string(
+    text = F.format_string(
         "%02d:%02d:%02d",
         F.floor(seconds / 3600) % 24,
         F.floor(seconds / 60) % 60,
         seconds % 60,
     )
+    return F.when(micros.isNotNull(), text)
 
 
 def fixed2(number: Column) -> Column:
-    return F.format_string("%.2f", number)
+    return F.when(number.isNotNull(), F.format_string("%.2f", number))
 
 
 def name_violations(path: Column, invalid_chars: str = INVALID_CHARS_POSIX) -> Column:

@@ -42,7 +42,7 @@ def digest_candidates(files: DataFrame, cfg: AlbumConfig) -> DataFrame:
             "path", "length", F.concat(F.lit("prefix:"), "prefix").alias("digest")
         )
     )
-    return known.unionByName(with_file_digest(rest, cfg.hash_mode, "path"))
+    return known.unionByName(with_file_digest(rest, cfg.hash_mode, "path", length_col="length"))
 
 
 def duplicate_groups(digests: DataFrame) -> DataFrame:

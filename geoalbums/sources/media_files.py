@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoalbums.functions.hashing import chunked_digest
+from geoalbums.functions.hashing import Crc64Part, chunked_digest, crc64_of_parts
 from geoalbums.operators.filters import is_media
 from geoalbums.sources.listing import failed_files, list_tree  # noqa: F401
 from geoalbums.sources.shared import hadoop_path, path_exists
-from geoalbums.sources.stores import open_file, tried, write_file  # noqa: F401
+from geoalbums.sources.stores import located, open_file, tried, write_file  # noqa: F401
 
 
 def list_files(spark: SparkSession, roots: Sequence[str], recursive: bool = False) -> DataFrame:
@@ -111,8 +111,12 @@ def _file_digest(path: str, mode: str, most: int | None) -> str:
     return digest.hexdigest()
 
 
+RANGE_BYTES = 64 << 20  # longer files may be read by several tasks
+
+
 def with_file_digest(
-    files: DataFrame, mode: str, path_col: str = "file_name", prefix: bool = False, quarantine: bool = False
+    files: DataFrame, mode: str, path_col: str = "file_name", prefix: bool = False, quarantine: bool = False,
+    length_col: str | None = None, range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
     """Adds `digest` of each file's whole content, read in chunks where the row is.
 
@@ -120,7 +124,19 @@ def with_file_digest(
     ones tell nothing. A file that is gone has no digest; one that cannot be read is an error, so
     that it does not pass for one without twins. With `quarantine` both have the reason in `error`
     instead, and the rest goes on; what a store refuses for a moment is tried again first.
+
+    CRC digests of parts can be put together: given `length_col`, files of more than `range_bytes`
+    are read in ranges, by as many tasks. The others' digests need a file's bytes one after the other.
     """
+    if mode == "crc" and not prefix and length_col is not None:
+        long = F.coalesce(F.col(length_col) > range_bytes, F.lit(False))
+        short = with_file_digest(files.where(~long), mode, path_col, quarantine=quarantine)
+        ranged = _with_ranged_crc(files.where(long), path_col, length_col, range_bytes)
+        if not quarantine:
+            stop = F.raise_error(F.concat(F.col(path_col), F.lit(": "), F.col("error"))).cast("string")
+            fine = F.col("error").isNull() | (F.col("error") == "not found")
+            ranged = ranged.withColumn("digest", F.when(fine, F.col("digest")).otherwise(stop)).drop("error")
+        return short.unionByName(ranged.select(*short.columns))
     most = _PREFIX if prefix else None
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,6 +156,58 @@ def with_file_digest(
     return files.select(*[F.col(f"`{f.name}`") for f in kept]).mapInPandas(digest, schema)
 
 
+def _range_state(path: str, start: int, size: int, whole: int) -> int:
+    part, left = Crc64Part(), size
+    filesystem, inner = located(path)
+    with filesystem.open_input_file(inner) as source:
+        if source.size() != whole:
+            raise OSError("not of the length it was listed with")
+        source.seek(start)
+        while left > 0:
+            chunk = source.read(min(_CHUNK, left))
+            if not chunk:
+                raise OSError("ends before its length")
+            part.update(chunk)
+            left -= len(chunk)
+    return part.state
+
+
+def _with_ranged_crc(files: DataFrame, path_col: str, length_col: str, range_bytes: int) -> DataFrame:
+    """Adds `digest` and `error`; a file's ranges are read wherever there is room."""
+    whole = F.col("_length")
+    paths = files.select(F.col(path_col).alias("_path"), F.col(length_col).alias("_length")).distinct()
+    starts = F.sequence(F.lit(0).cast("bigint"), whole - 1, F.lit(range_bytes).cast("bigint"))
+    ranges = paths.select("_path", "_length", F.explode(starts).alias("_start"))
+    tasks = files.sparkSession.sparkContext.defaultParallelism
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, length, start in batch[["_path", "_length", "_start"]].itertuples(index=False):
+                size = min(range_bytes, length - start)
+                state, error = tried(lambda: _range_state(path, start, size, length))
+                out.append((path, start, size, None if state is None else state.to_bytes(8, "big"), error))
+            yield pd.DataFrame(out, columns=["_path", "_start", "_size", "_state", "error"])
+
+    schema = "_path string, _start bigint, _size bigint, _state binary, error string"
+    # most expensive first would need their order; dealt out evenly is enough for ranges of one size
+    states = ranges.repartition(tasks).mapInPandas(read, schema)
+    parts = F.array_sort(F.collect_list(F.struct("_start", "_size", "_state")))  # length / range_bytes of a file
+    joined = states.groupBy("_path").agg(parts.alias("_parts"), F.max("error").alias("error"))
+    digests = joined.select(
+        F.col("_path").alias(path_col), F.when(F.col("error").isNull(), _crc_of_ranges("_parts")).alias("digest"), "error"
+    )
+    return files.drop("digest", "error").join(digests, path_col)
+
+
+@F.pandas_udf(T.StringType())
+def _crc_of_ranges(parts: pd.Series) -> pd.Series:
+    def whole(own) -> str:
+        return crc64_of_parts([(part["_size"], int.from_bytes(part["_state"] or b"", "big")) for part in own])
+
+    return parts.map(whole)
+
+
 def with_content(files: DataFrame, path_col: str = "path") -> DataFrame:
     """Adds `content`, whole; for files known to be small."""
 

@@ -53,6 +53,13 @@ def remove_path(spark: SparkSession, path: str) -> None:
     filesystem.delete(found, True)
 
 
+def remove_files(spark: SparkSession, uris: list[str]) -> None:
+    """Files by the URIs that `DataFrame.inputFiles` gives."""
+    for uri in uris:
+        found = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri))
+        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, False)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Intermediate tables written inside are gone afterwards: results must have been written by then."""

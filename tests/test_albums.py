@@ -1,5 +1,6 @@
 """Names, parts and whole runs."""
 
+import dataclasses
 import datetime as dt
 import random
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geoalbums import AlbumConfig, build_albums
 from geoalbums.operators.albums import avoid_existing, part_numbers, top_places, with_part_suffix
-from geoalbums.plans.outputs import write_run
+from geoalbums.plans.outputs import publish_run, read_published, write_run
 from geoalbums.plans.report import album_catalog, album_preview, file_preview, run_totals
 from geoalbums.sources.media_files import existing_files, scan_media, with_file_digest
 from geoalbums.sources.state import read_marks
@@ -182,6 +183,28 @@ def test_files_end_to_end(spark, tmp_path):
     assert read_marks(spark, f"{tmp_path}/marks").first().last_processed == dt.datetime(2024, 5, 5, 10)
 
 
+def test_published_at_once(spark, tmp_path, monkeypatch):
+    """A run that is stopped anywhere leaves no trace in what is read."""
+    media, _ = small(spark)
+    cfg, folder, marks = AlbumConfig(library_cols=("library",), mode="copy"), f"{tmp_path}/out", f"{tmp_path}/marks"
+    run = build_albums(media.withColumns({"length": F.lit(1), "digest": F.lit("d")}), cfg)
+    assert read_published(spark, folder) is None
+    fail = F.raise_error(F.lit("a task that dies")).cast("string")
+    broken = dataclasses.replace(run, items=run.items.withColumn("digest", F.when(F.col("file_name") == "/q/a.jpg", fail).otherwise("d")))
+    with pytest.raises(Exception):
+        publish_run(broken, cfg, folder, None, marks)
+    assert read_published(spark, folder) is None and read_marks(spark, marks, ("library",)) is None
+    publish_run(run, cfg, folder, None, marks)
+    first = read_published(spark, folder)
+    assert first.number == 1 and first.manifest.count() == run.items.count() and first.catalog.count() == album_catalog(run.albums, cfg).count()
+    assert read_marks(spark, marks, ("library",)).count() == 2
+    with pytest.raises(Exception):
+        publish_run(broken, cfg, folder, None, marks)
+    assert read_published(spark, folder).number == 1
+    publish_run(run, cfg, folder, None, marks)
+    assert read_published(spark, folder).number == 2
+
+
 def test_options(spark):
     media, _ = small(spark)
     base = {"library_cols": ("library",)}

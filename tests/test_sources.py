@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoalbums import AlbumConfig
-from geoalbums.functions.hashing import chunked_digest, crc64_hex
+from geoalbums.functions.hashing import Crc64Part, chunked_digest, crc64_hex, crc64_of_parts
 from geoalbums.operators.content import digest_candidates, duplicate_files, duplicate_groups
 from geoalbums.operators.filters import date_window, late_items
 from geoalbums.sources.gazetteer import parse_lines
@@ -15,7 +15,8 @@ from geoalbums.sources.media_files import (
     skipped_roots, with_content, with_file_digest,
 )
 from geoalbums.sources.stores import store_of
-from geoalbums.sources.state import merge_marks, read_marks, save_marks
+from geoalbums.sources import state
+from geoalbums.sources.state import compact_marks, merge_marks, read_marks, save_marks
 from geoalbums.sources.tags import tag_dates, tag_locations
 
 
@@ -161,6 +162,34 @@ def test_chunks_add_up():
         assert digest.hexdigest() == whole
 
 
+def test_parts_add_up():
+    data = os.urandom(5003)
+    for cuts in ([], [1], [17, 4096], [1024, 2048, 3072], [0, 5003]):
+        bounds = [0, *cuts, len(data)]
+        parts = []
+        for low, high in zip(bounds, bounds[1:]):
+            part = Crc64Part()
+            part.update(data[low:high])
+            parts.append((high - low, part.state))
+        assert crc64_of_parts(parts) == crc64_hex([data])[0]
+
+
+def test_long_files_in_ranges(spark, tmp_path):
+    data = {f"f{i}.jpg": os.urandom(size) for i, size in enumerate([0, 1, 999, 1000, 1001, 25_000])}
+    tree(str(tmp_path), data)
+    files = list_files(spark, [str(tmp_path)]).select("path", "length")
+    files = files.unionByName(files.where("length = 25000"))
+    rows = with_file_digest(files, "crc", "path", length_col="length", range_bytes=1000).collect()
+    assert len(rows) == 7
+    assert {os.path.basename(r.path): r.digest for r in rows} == {name: crc64_hex([blob])[0] for name, blob in data.items()}
+    wrong = spark.createDataFrame([(f"{tmp_path}/f5.jpg", 24_000), (f"{tmp_path}/gone.jpg", 5000)], "path string, length long")
+    bad = with_file_digest(wrong, "crc", "path", quarantine=True, length_col="length", range_bytes=1000)
+    failed = {os.path.basename(r.path): r.reason for r in failed_files(bad).collect()}
+    assert failed == {"f5.jpg": "cannot be read: not of the length it was listed with", "gone.jpg": "not found"}
+    with pytest.raises(Exception):
+        with_file_digest(wrong, "crc", "path", length_col="length", range_bytes=1000).collect()
+
+
 def test_dump_lines(spark):
     good = ["7", 'The "Inn"', "", "", " 1.5", "-2e1", "P", "PPL", "XX", "", "01", "", "", "", "n/a", "", "", "", ""]
     change = lambda **at: "\t".join(at.get(f"f{i}", v) for i, v in enumerate(good))
@@ -192,6 +221,26 @@ def test_tags(spark):
     assert located == {"a": (45.0, 10.0), "b": (10.5, -20.5), "c": (0.0, 0.0)}
 
 
+def test_marks_compacted(spark, tmp_path, monkeypatch):
+    path, cfg = str(tmp_path / "marks"), AlbumConfig(library_cols=("library",), mode="copy")
+    day = lambda d: dt.datetime(2024, 1, d)
+    compact_marks(spark, path, ("library",))
+    for d in range(1, 6):
+        rows = [(1, day(d)), (2, day(6 - d))]
+        save_marks(spark.createDataFrame(rows, "library int, date_created timestamp_ntz"), path, cfg)
+    files = lambda: [f for f in os.listdir(path) if f.endswith(".parquet")]
+    held = lambda: {r.library: r.last_processed for r in read_marks(spark, path, ("library",)).collect()}
+    before = len(files())
+    assert before > 1
+    with monkeypatch.context() as patch:  # stopped before the old files go
+        patch.setattr(state, "remove_files", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            compact_marks(spark, path, ("library",))
+    assert len(files()) > before and held() == {1: day(5), 2: day(5)}
+    compact_marks(spark, path, ("library",))
+    assert len(files()) == 1 and held() == {1: day(5), 2: day(5)}
+
+
 def test_marks(spark, tmp_path):
     path = str(tmp_path / "marks")
     day = lambda d: dt.datetime(2024, 1, d)

@@ -276,6 +276,7 @@ WHERE {TAG_DATE} >= TIMESTAMP '2024-01-10 00:00:00' AND {TAG_DATE} < TIMESTAMP '
         "exclude_recent": media("date_created < TIMESTAMP '2024-01-23 09:30:00'", "event_id, date_created"),
         "late_dropped": f"WITH {MARKS} SELECT m.owner, count(*) AS late FROM media m JOIN marks k ON k.owner = m.owner WHERE date_created < last_processed GROUP BY 1",
         "save_mark": _sql(OWNER, select="SELECT owner, max(date_created) AS last_processed FROM media WHERE date_created < TIMESTAMP '2024-01-28 00:00:00' GROUP BY 1"),
+        "marks_compacted": _sql(OWNER, select="SELECT owner, max(date_created) AS last_processed FROM media WHERE date_created < TIMESTAMP '2024-01-31 00:00:00' GROUP BY 1"),
         "merged_marks": f"""WITH {MARKS} SELECT owner, max(last_processed) AS last_processed FROM (
  SELECT owner, date_created AS last_processed FROM media WHERE date_created < TIMESTAMP '2024-01-12 00:00:00' UNION ALL SELECT * FROM marks) GROUP BY 1""",
         "haversine_steps": _sql(*single(0, 0), select="SELECT event_id, round(step_km, 6) AS distance_km FROM steps WHERE step_km IS NOT NULL"),
@@ -304,6 +305,11 @@ SELECT c_custkey, {violations('/')} AS posix, {violations(_PORTABLE)} AS portabl
             MEDIA, PLACES, "spots AS (SELECT DISTINCT latitude, longitude FROM media WHERE latitude <> 0 OR longitude <> 0)",
             select="""SELECT geonameid, name FROM places p WHERE EXISTS (SELECT 1 FROM spots m WHERE m.latitude BETWEEN p.latitude - 1 AND p.latitude + 1
  AND m.longitude BETWEEN p.longitude - 1 AND p.longitude + 1)""",
+        ),
+        "places_load_counts": _sql(
+            MEDIA, PLACES, "spots AS (SELECT DISTINCT latitude, longitude FROM media WHERE latitude <> 0 OR longitude <> 0)",
+            select=f"""SELECT count(*) AS total, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM spots m WHERE m.latitude BETWEEN p.latitude - 1 AND p.latitude + 1
+ AND m.longitude BETWEEN p.longitude - 1 AND p.longitude + 1)) AS kept FROM places p WHERE {relevant(3)}""",
         ),
         "box_join": _sql(
             MEDIA, PLACES, "points AS (SELECT DISTINCT latitude, longitude FROM media WHERE latitude <> 0 AND longitude <> 0)",
@@ -329,6 +335,19 @@ SELECT c_custkey, {violations('/')} AS posix, {violations(_PORTABLE)} AS portabl
             *single(0.25, 10),
             select=f"""SELECT event_id, prev_file, round(gap_hours, 6) AS gap_hours, round(step_km, 6) AS distance_km, time_break, distance_break,
  {BASE.replace('file_name', 'prev_file')} AS prev_name, {BASE} AS curr_name FROM steps WHERE time_break OR distance_break""",
+        ),
+        "album_break_texts": _sql(
+            *single(0.25, 10),
+            select=f"""SELECT event_id, {BASE.replace('file_name', 'prev_file')} AS prev_name, {BASE} AS curr_name,
+ concat_ws(' and ', CASE WHEN time_break THEN printf('time (%.2f hrs)', ((t - s_t) * 2 + 36000000) // 72000000 / 100.0) END,
+  CASE WHEN distance_break THEN printf('distance (%.2f km)', step_km) END) AS reason FROM steps WHERE time_break OR distance_break""",
+        ),
+        "imputation_texts": _sql(
+            *single(0.25, 10),
+            """audit AS (SELECT event_id, CASE WHEN via_prev THEN prev_file0 ELSE b_file END AS source, CASE WHEN via_prev THEN gap ELSE until END AS g,
+ CASE WHEN via_prev AND reach THEN until WHEN NOT via_prev AND behind THEN gap END AS r FROM f7 WHERE how IN ('back', 'next'))""",
+            select=rf"""SELECT event_id, {BASE.replace('file_name', 'source')} AS source_name, strftime(make_timestamp(g), '%H:%M:%S') AS source_gap_text,
+ coalesce(strftime(make_timestamp(r), '%H:%M:%S'), 'none') AS rejected_gap_text FROM audit""",
         ),
         "album_dates": _sql(*by_owner(), select="SELECT owner, CAST(album_id AS BIGINT) AS album_id, min(date_created) AS first_date, max(date_created) AS last_date, count(*) AS files FROM steps GROUP BY 1, 2"),
         "album_top_places": _sql(*placed(0.25, 10), figures(), TOP, select="SELECT CAST(album_id AS BIGINT) AS album_id, array_to_string(places, '|') AS places FROM top_lists"),
@@ -357,6 +376,10 @@ SELECT c_custkey, {violations('/')} AS posix, {violations(_PORTABLE)} AS portabl
             select="""SELECT album_name, CAST(sum(files) AS BIGINT) AS files, CASE WHEN sum(files) = 1 THEN '1 file' ELSE format('{:,}', CAST(sum(files) AS BIGINT)) || ' files' END AS files_text
  FROM albums GROUP BY album_name""",
         ),
+        "file_preview": _sql(
+            *date_albums(0.25, 10),
+            select=f"SELECT a.album_name, s.file_name, {BASE.replace('file_name', 's.file_name')} AS name FROM steps s JOIN albums a ON a.album_id = s.album_id",
+        ),
         "run_totals": _sql(*date_albums(0.25, 10), select="SELECT CAST(sum(files) AS BIGINT) AS files, count(DISTINCT album_name) AS albums FROM albums"),
         "content_duplicates_md5": duplicates("md5(bytes)"),
         "content_duplicates_sha": duplicates("sha256(bytes)"),
@@ -366,6 +389,19 @@ FROM documents GROUP BY doc_id % 100 HAVING count(*) > 1""",
         "content_files_twins": _sql(
             TREE, select="SELECT name, length FROM tree QUALIFY count(*) OVER (PARTITION BY md5(text)) > 1"
         ),
+        "content_crc_ranges": _sql(
+            TREE, select="SELECT name, length FROM tree QUALIFY count(*) OVER (PARTITION BY md5(text)) > 1"
+        ),
+        "failed_files": _sql(
+            TREE, "ids AS (SELECT name, CAST(regexp_extract(name, '(\\d+)\\.[^/.]*$', 1) AS BIGINT) AS doc FROM tree)",
+            select="SELECT name, 'not found' AS reason FROM ids WHERE doc % 7 = 3 UNION ALL SELECT 'nowhere', 'not found'",
+        ),
+        "placement_failures": _sql(
+            "docs AS (SELECT source AS album_name, doc_id, doc_id % 10 AS name, octet_length(encode(text)) AS length, md5(text) AS digest FROM documents)",
+            "good AS (SELECT *, row_number() OVER (PARTITION BY album_name, name, length, digest ORDER BY doc_id) AS k FROM docs WHERE doc_id % 7 <> 3)",
+            select="""SELECT album_name, CASE WHEN k = 1 THEN 'PLACE' ELSE 'SKIP_IDENTICAL' END AS action, count(*) AS files FROM good GROUP BY 1, 2
+ UNION ALL SELECT album_name, 'FAILED', count(*) FROM docs WHERE doc_id % 7 = 3 GROUP BY 1""",
+        ),
         "scan_files": _sql(TREE, select="SELECT name, length FROM tree WHERE name NOT LIKE '%.txt'"),
         "existing_listing": _sql(
             TREE, select="SELECT regexp_extract(name, '(.*)/', 1) AS folder, count(*) AS files, CAST(sum(length) AS BIGINT) AS total_bytes FROM tree GROUP BY 1"
@@ -377,6 +413,13 @@ FROM documents GROUP BY doc_id % 100 HAVING count(*) > 1""",
         "placement_manifest": _sql(*date_albums(0, 10), PLACEMENT, select="SELECT file_name, album_name, target_name, album_name || '/' || target_name AS target_path, action FROM manifest"),
         "placement_onto_existing": _sql(*date_albums(0, 10), PLACEMENT, ONTO_EXISTING, select="SELECT file_name, album_name, target_name, action FROM result"),
         "placement_tangled": TANGLED_SQL,
+        "written_run": _sql(
+            *date_albums(0, 10), PLACEMENT,
+            "acts AS (SELECT album_name, count(*) FILTER (action = 'PLACE') AS placed, count(*) FILTER (action <> 'PLACE') AS skipped FROM manifest GROUP BY 1)",
+            "catalog AS (SELECT album_name, CAST(sum(files) AS BIGINT) AS files, min(first_date) AS album_date FROM albums GROUP BY 1)",
+            select="""SELECT c.album_name, c.album_name AS album_path, album_date, files, placed, skipped, 2 AS run, (SELECT max(date_created) FROM steps) AS mark
+ FROM catalog c JOIN acts a ON a.album_name = c.album_name""",
+        ),
         "placement_counts": _sql(*date_albums(0, 10), PLACEMENT, select="SELECT action, count(*) AS files FROM manifest GROUP BY 1"),
         "stream_sessions": """WITH s1 AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 86400000000 THEN 0 ELSE 1 END AS fresh FROM events),
 s2 AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM s1),

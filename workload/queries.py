@@ -17,14 +17,16 @@ from geoalbums.operators.placement import manifest_counts, placement_manifest
 from geoalbums.operators.scan import bucketed
 from geoalbums.operators.walk import ORDER, walk, with_album_ids
 from geoalbums.plans import report
+from geoalbums.plans.outputs import publish_run, read_published
 from geoalbums.plans.grouping import prepare, public
 from geoalbums.sources import tags as tag_source
 from geoalbums.sources.gazetteer import read_geonames
 from geoalbums.sources.media_files import (
-    distinct_paths, existing_files, list_files, scan_counts, scan_media, write_file,
+    distinct_paths, existing_files, failed_files, list_files, list_tree, scan_counts, scan_media, with_file_digest, write_file,
 )
 from geoalbums.sources.shared import fresh_path, materialize
-from geoalbums.sources.state import merge_marks, read_marks, save_marks
+from geoalbums.sources.state import compact_marks, merge_marks, read_marks, save_marks
+from geoalbums.sources.stores import remove_file
 from geoalbums.streaming.albums import AlbumStream
 from geoalbums.streaming.sessions import session_albums
 from workload import fixtures as fx
@@ -168,6 +170,18 @@ def save_mark(spark, sf_dir):
     return read_marks(spark, path, ("owner",))
 
 
+def marks_compacted(spark, sf_dir):
+    """A run every third day, marks saved each time, and the table made short twice."""
+    path = fresh_path(spark, "marks")
+    cfg = AlbumConfig(library_cols=("owner",), mode="copy")
+    rows = media_owner(spark, sf_dir)
+    for day in range(1, 29, 3):
+        save_marks(filters.date_window(rows, AlbumConfig(date_from=f"2024-01-{day:02}", date_to=f"2024-01-{day + 3:02}")), path, cfg)
+        if day in (13, 28):
+            compact_marks(spark, path, ("owner",))
+    return read_marks(spark, path, ("owner",))
+
+
 def merged_marks(spark, sf_dir):
     rows = filters.date_window(media_owner(spark, sf_dir), AlbumConfig(date_to="2024-01-12"))
     return merge_marks(rows, album_state(spark, sf_dir), ("owner",))
@@ -307,6 +321,12 @@ def places_near_media(spark, sf_dir):
     return place_ops.places_near(places(spark, sf_dir), media(spark, sf_dir)).select("geonameid", "name")
 
 
+def places_load_counts(spark, sf_dir):
+    """Relevant places and those kept, as the load counted them."""
+    _, total, kept = place_ops.load_gazetteer(places(spark, sf_dir), media(spark, sf_dir), AlbumConfig())
+    return spark.range(1).select(F.lit(total).cast("long").alias("total"), F.lit(kept).cast("long").alias("kept"))
+
+
 def box_join(spark, sf_dir):
     pairs = place_ops.box_join(located(spark, sf_dir), places(spark, sf_dir), 0.01, AlbumConfig())
     return pairs.select("latitude", "longitude", "place_geonameid")
@@ -364,6 +384,15 @@ def album_breaks(spark, sf_dir):
     )
 
 
+def album_break_texts(spark, sf_dir):
+    return build_albums(media(spark, sf_dir), ONE).breaks.select("event_id", "prev_name", "curr_name", "reason")
+
+
+def imputation_texts(spark, sf_dir):
+    found = build_albums(media(spark, sf_dir), ONE).imputations
+    return found.select("event_id", "source_name", "source_gap_text", F.coalesce("rejected_gap_text", F.lit("none")).alias("rejected_gap_text"))
+
+
 def album_dates(spark, sf_dir):
     figures = album_figures(album_pieces(steps(media_owner(spark, sf_dir), OWNERS), OWNERS), OWNERS)
     return figures.select("owner", "album_id", "first_date", "last_date", "files")
@@ -400,6 +429,11 @@ def album_preview(spark, sf_dir):
     return report.album_preview(run.albums, ONE)
 
 
+def file_preview(spark, sf_dir):
+    run = build_albums(media(spark, sf_dir), ONE)
+    return report.file_preview(run.items, ONE)
+
+
 def run_totals(spark, sf_dir):
     run = build_albums(media(spark, sf_dir), ONE)
     return report.run_totals(run.albums, ONE)
@@ -488,6 +522,53 @@ def content_files_twins(spark, sf_dir):
     return twins.select(_below(root).alias("name"), "length")
 
 
+def content_crc_ranges(spark, sf_dir):
+    """Twins by CRC, files of over 512 bytes read in ranges of that size by any task."""
+    root = written_tree(spark, sf_dir)
+    listed = list_files(spark, [root], recursive=True).select("path", "length")
+    digests = materialize(with_file_digest(listed, "crc", "path", length_col="length", range_bytes=512), "ranged-digests")
+    twins = duplicate_files(digests, AlbumConfig(hash_mode="crc"))
+    return twins.select(_below(root).alias("name"), "length")
+
+
+def _doc():
+    return F.regexp_extract("path", r"/(\d+)\.[^/.]*\z", 1).cast("bigint")
+
+
+def digests_of_a_shrinking_tree(spark, sf_dir):
+    """Root, listing and digests, where every seventh file goes between the two, and one root is not there."""
+    root = written_tree(spark, sf_dir)
+    listed = materialize(list_tree(spark, [root, f"{root}/nowhere"], recursive=True), "listing")
+    good = listed.where("error IS NULL")
+
+    def remove(batches):
+        for batch in batches:
+            for path in batch["path"]:
+                remove_file(path)
+            yield batch
+
+    materialize(good.where(_doc() % 7 == 3).select("path").mapInPandas(remove, "path string"), "removed")
+    digests = with_file_digest(good, "md5", "path", quarantine=True)
+    return root, listed, materialize(digests, "quarantined-digests")
+
+
+def failed_files_query(spark, sf_dir):
+    root, listed, digests = digests_of_a_shrinking_tree(spark, sf_dir)
+    return failed_files(listed, digests).select(_below(root).alias("name"), "reason")
+
+
+def placement_failures(spark, sf_dir):
+    """What became of the files of each source, the lost ones too; names are the documents' last digit."""
+    _, _, digests = digests_of_a_shrinking_tree(spark, sf_dir)
+    source = F.regexp_extract("path", r"([^/]*)/[^/]*/[^/]*\z", 1)
+    name = F.concat(F.lit("/"), F.regexp_extract("path", r"(\d)\.[^/.]*\z", 1), F.lit(".jpg"))
+    items = digests.select(
+        F.concat("path", name).alias("file_name"), source.alias("album_name"), _doc().alias("item_no"), "length", "digest", "error"
+    )
+    manifest = placement_manifest(items, ONE)
+    return manifest.groupBy("album_name", "action").agg(F.count("*").alias("files"))
+
+
 def placement_items(spark, sf_dir, cfg):
     return build_albums(media(spark, sf_dir), cfg).items.withColumnRenamed("content_md5", "digest")
 
@@ -526,6 +607,23 @@ def placement_counts(spark, sf_dir):
     return manifest_counts(placement_manifest(placement_items(spark, sf_dir, ONE_DISTANCE), ONE_DISTANCE))
 
 
+def written_run(spark, sf_dir):
+    """A run published twice over, and what is read back: per album, files and what became of them."""
+    cfg = AlbumConfig(time_hours=0, mode="copy")
+    run = build_albums(media(spark, sf_dir).withColumnRenamed("content_md5", "digest"), cfg)
+    folder = fresh_path(spark, "published")
+    for _ in range(2):
+        publish_run(run, cfg, folder, state_path=f"{folder}/marks")
+    found = read_published(spark, folder)
+    acts = found.manifest.groupBy("album_name").agg(
+        F.count_if(F.col("action") == "PLACE").alias("placed"), F.count_if(F.col("action") != "PLACE").alias("skipped")
+    )
+    saved = read_marks(spark, f"{folder}/marks")
+    return found.catalog.select("album_name", "album_path", "album_date", "files").join(acts, "album_name").withColumn(
+        "run", F.lit(found.number)
+    ).withColumn("mark", saved.select("last_processed").scalar())
+
+
 # --- streams ------------------------------------------------------------------------------------
 
 SESSIONS = AlbumConfig(time_hours=24, distance_km=0, library_cols=("user_id",))
@@ -619,6 +717,7 @@ def queries() -> dict[str, Query]:
         "exclude_recent": exclude_recent,
         "late_dropped": late_dropped,
         "save_mark": save_mark,
+        "marks_compacted": marks_compacted,
         "merged_marks": merged_marks,
         "haversine_steps": haversine_steps,
         "sanitize_names": sanitize_names,
@@ -633,6 +732,7 @@ def queries() -> dict[str, Query]:
         "places_relevant_p3": places_relevant(3),
         "geonames_text_reader": geonames_text_reader,
         "places_near_media": places_near_media,
+        "places_load_counts": places_load_counts,
         "box_join": box_join,
         "nearest_place_p1": nearest_place(1),
         "nearest_place_p2": nearest_place(2),
@@ -645,6 +745,8 @@ def queries() -> dict[str, Query]:
         "album_ids_distance_only": album_ids(ONE_DISTANCE),
         "album_ids_by_owner": album_ids(OWNERS, media_owner),
         "album_breaks": album_breaks,
+        "album_break_texts": album_break_texts,
+        "imputation_texts": imputation_texts,
         "album_dates": album_dates,
         "album_top_places": album_top_places,
         "album_names_dates": album_names(ONE, False),
@@ -656,6 +758,7 @@ def queries() -> dict[str, Query]:
         "album_no_parts": album_names(AlbumConfig(time_hours=0.25, use_part_numbers=False), False),
         "album_catalog": album_catalog,
         "album_preview": album_preview,
+        "file_preview": file_preview,
         "run_totals": run_totals,
         "content_duplicates_md5": content_duplicates("md5"),
         "content_duplicates_sha": content_duplicates("sha"),
@@ -663,11 +766,15 @@ def queries() -> dict[str, Query]:
         "content_twins": content_twins,
         "content_same_prefix": content_same_prefix,
         "content_files_twins": content_files_twins,
+        "content_crc_ranges": content_crc_ranges,
         "scan_files": scan_files,
+        "failed_files": failed_files_query,
         "existing_listing": existing_listing,
         "placement_manifest": placement_manifest_query,
         "placement_onto_existing": placement_onto_existing,
         "placement_tangled": placement_tangled,
+        "placement_failures": placement_failures,
+        "written_run": written_run,
         "placement_counts": placement_counts,
         "stream_sessions": stream_sessions,
         "stream_albums": stream_albums,
