@@ -28,7 +28,7 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/geoalbums/{application}/{label}-{uuid.uuid4().hex}"
 
 
-_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+_written: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())  # a list per open `scratch`
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -62,9 +62,9 @@ def remove_files(spark: SparkSession, uris: list[str]) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Intermediate tables written inside are gone afterwards: results must have been written by then."""
+    """Intermediate tables written inside are gone afterwards, but for those that `outlives`."""
     paths: list[str] = []
-    token = _written.set(paths)
+    token = _written.set((*_written.get(), paths))
     try:
         yield
     finally:
@@ -73,12 +73,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove_path(spark, path)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write once, read back."""
+def materialize(df: DataFrame, label: str, outlives: bool = False) -> DataFrame:
+    """Write once, read back. With `outlives` the table stays when the innermost `scratch` ends, and goes
+    with the one around it, if any."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    paths = _written.get()
-    if paths is not None:
-        paths.append(path)
+    lists = _written.get()
+    if outlives:
+        lists = lists[:-1]
+    if lists:
+        lists[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -16,6 +16,7 @@ from geoalbums.sources.media_files import (
 )
 from geoalbums.sources.stores import store_of
 from geoalbums.sources import state
+from geoalbums.sources.shared import materialize, path_exists, scratch
 from geoalbums.sources.state import compact_marks, merge_marks, read_marks, save_marks
 from geoalbums.sources.tags import tag_dates, tag_locations
 
@@ -221,6 +222,23 @@ def test_tags(spark):
     assert located == {"a": (45.0, 10.0), "b": (10.5, -20.5), "c": (0.0, 0.0)}
 
 
+def test_scratch(spark):
+    held = lambda frame: path_exists(spark, frame.inputFiles()[0])
+    with scratch(spark):
+        outer = materialize(spark.range(3), "outer")
+        with scratch(spark):
+            inner = materialize(spark.range(3), "inner")
+            result = materialize(inner.where("id > 0"), "result", outlives=True)
+            assert held(inner)
+        with pytest.raises(Exception):
+            inner.collect()
+        assert result.count() == 2 and outer.count() == 3
+        last = materialize(result, "last", outlives=True)
+    with pytest.raises(Exception):
+        result.collect()
+    assert last.count() == 2
+
+
 def test_marks_compacted(spark, tmp_path, monkeypatch):
     path, cfg = str(tmp_path / "marks"), AlbumConfig(library_cols=("library",), mode="copy")
     day = lambda d: dt.datetime(2024, 1, d)
