@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from geoalbums.llm.bits import bit_table, may_have
 from geoalbums.llm.groups import group_bounds, whole_groups
 from geoalbums.llm.words import LOWER, SPACED, U64, Slice, mix, row_sums, runs, slices, words
-from geoalbums.sources.shared import materialize
+from geoalbums.sources.shared import materialize, scratch
 
 _BUCKETS = 1 << 18
 
@@ -419,7 +419,8 @@ def dedup_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig()) -> Da
     Lines without a word stay. Null and empty texts have no lines. Rows that repeat doc_id and text
     are one document and all get its result.
     """
-    found = materialize(removed_lines(docs, cfg), "removed-lines")
+    with scratch(docs.sparkSession):
+        found = materialize(removed_lines(docs, cfg), "removed-lines", outlives=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _uid().alias("uid"))
     return rows.join(found, "uid").select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")
 
@@ -427,7 +428,9 @@ def dedup_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig()) -> Da
 def cut_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig()) -> DataFrame:
     """`docs` with later matches cut out of `text`, without the documents that lose all of their
     lines. Other columns stay as they are. See `dedup_lines` for what is a match."""
-    found = materialize(removed_lines(docs, cfg).where(F.size("removed_lines") > 0), "removed-lines")
+    with scratch(docs.sparkSession):
+        found = removed_lines(docs, cfg).where(F.size("removed_lines") > 0)
+        found = materialize(found, "removed-lines", outlives=True)
     found = found.select(F.col("uid").alias("__uid"), F.struct("n_lines", "removed_lines").alias("__cut"))
     out = docs.withColumn("__uid", _uid()).join(found, "__uid", "left")
     out = out.where("__cut IS NULL OR size(__cut.removed_lines) < __cut.n_lines")
