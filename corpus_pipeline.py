@@ -1,7 +1,8 @@
 """A training corpus out of `documents`: five stages, each written as Parquet and read again.
 
 Every stage works on all that its predecessor kept. All but the last return the columns of
-`documents`; the last one says how often the mix takes each document.
+`documents`; the last one says how often the mix takes each document. Of a stage only its decisions
+stay (which documents or lines go): what it wrote to find them is gone when the next one begins.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from geoalbums.llm.decontaminate import decontaminate
 from geoalbums.llm.line_dedup import cut_lines
 from geoalbums.llm.mixing import mix_sources
 from geoalbums.llm.near_duplicates import near_duplicates
-from geoalbums.sources.shared import materialize
+from geoalbums.sources.shared import materialize, scratch
 
 LEAST_SCORE = 0.4  # of a language among all learned; even odds among four are 0.25
 
@@ -24,7 +25,8 @@ ORACLE_SQL = None  # drawing, training and minwise tokens have no SQL twin: see
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that are in no language (null, empty, no letter) or in none clearly."""
     unseen = language.held_out(F.col("doc_id"), 4, 2)
-    model = language.train(docs.where(~unseen).select("doc_id", "text", "lang"))
+    with scratch(spark):
+        model = language.train(docs.where(~unseen).select("doc_id", "text", "lang"))
     named = language.identify(docs, model, names=("__lang", "__score"))
     clear = (F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)
     return named.where(clear).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -40,8 +42,9 @@ def dedup_document_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the lowest doc_id, once if its row is repeated."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    gone = materialize(gone, "near-duplicates")
+    with scratch(spark):
+        gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+        gone = materialize(gone, "near-duplicates", outlives=True)
     again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     again = materialize(again, "repeated-ids")
     left = docs.join(gone, "doc_id", "left_anti")
@@ -55,8 +58,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that hold a window of a benchmark item go."""
     # rows are told apart by id and text, so that those without an id are judged too
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
-    found = decontaminate(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = materialize(found.where("contaminated").select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
+    with scratch(spark):
+        found = decontaminate(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+        found = found.where("contaminated").select(F.col("doc_id").alias("__key")).distinct()
+        gone = materialize(found, "contaminated", outlives=True)
     return docs.withColumn("__key", key).join(gone, "__key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
