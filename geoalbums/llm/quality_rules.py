@@ -1,9 +1,8 @@
 """Quality rules: text statistics, and lines that too many documents of a host share.
 
 One pass over the texts gives the statistics and a key per normalised line (its words, A-Z
-lower-cased, one space between). Lines are counted per host over distinct texts, so that exact
-copies count once; lines above the limit are taken out of every document, and a document left
-with too little is rejected.
+lower-cased, one space between). Distinct documents are counted per host and line; lines above the
+limit are taken out of every document, and a document left with too little is rejected.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ _REPEATED = 5
 class QualityConfig:
     """Base rules: at least `least_words`; at most `repeat_percent` of words in repeated windows.
 
-    A line is removed where more than `line_share` of its host's distinct texts, and at least
+    A line is removed where more than `line_share` of its host's documents, and at least
     `line_documents` of them, have it. Rejected is a document with fewer than `least_words` words
     left or less than `left_percent` of them.
     """
@@ -81,7 +80,7 @@ def _sequence_keys(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nda
 
 
 _SCHEMA = (
-    "row long, doc_id long, host string, copy_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
+    "row long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
     " n_repeat_words long, lines array<struct<number:int,key:long,words:int>>"
 )
 
@@ -91,7 +90,7 @@ def _statistics(docs: DataFrame, with_text: bool) -> DataFrame:
         context = TaskContext.get()
         row = (context.partitionId() if context else 0) << 40
         for batch in batches:
-            for part in slices(batch.column(3)):
+            for part in slices(batch.column(2)):
                 w = words(part)
                 text, number, raw, low, high = text_lines(part, w)
                 folded = keys(part.data, w.start, w.end, LOWER)
@@ -108,7 +107,7 @@ def _statistics(docs: DataFrame, with_text: bool) -> DataFrame:
                 )
                 arrays = [
                     pa.array(np.arange(row, row + part.texts)),
-                    *[batch.column(c).slice(part.row, part.texts) for c in range(3)],
+                    *[batch.column(c).slice(part.row, part.texts) for c in range(2)],
                     pa.array(w.counts.astype(np.int64)),
                     pa.array(row_sums(points.astype(np.int64), part.at)),
                     pa.array(row_sums(_SYMBOLS[part.data].astype(np.int64), part.at)),
@@ -116,17 +115,14 @@ def _statistics(docs: DataFrame, with_text: bool) -> DataFrame:
                     pa.array(repeated_words(w)),
                     pa.ListArray.from_arrays(pa.array(line_first.astype(np.int32)), lists),
                 ]
-                names = ["row", "doc_id", "host", "copy_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
+                names = ["row", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
                 if with_text:
-                    arrays.append(batch.column(3).slice(part.row, part.texts))
+                    arrays.append(batch.column(2).slice(part.row, part.texts))
                     names.append("text")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
                 row += part.texts
 
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"),
-        F.xxhash64("text").alias("copy_key"), "text",
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), "text")
     return rows.mapInArrow(scan, _SCHEMA + (", text string" if with_text else ""))
 
 
@@ -136,20 +132,21 @@ def quality_rules(docs: DataFrame, cfg: QualityConfig = QualityConfig(), with_te
     numbers in the text, from 0), kept, and with `with_text` the text without those lines.
 
     Null and empty texts have no words and fail the base rules. A null source is a host of its own.
-    Repeated rows count as one text for line frequencies and are all returned; a row without
-    doc_id is judged like any other. With equal line counts there is nothing to order: a line is
+    Rows of one doc_id count as one document for line frequencies and are all returned; a row
+    without doc_id is a document of its own. Copies under other ids are documents like any other. With equal line counts there is nothing to order: a line is
     above its host's limit or not.
     """
     drawn = materialize(_statistics(docs, with_text), "statistics")
-    lines = drawn.select("row", "host", "copy_key", F.explode("lines").alias("x"))
+    document = ["doc_id", F.when(F.col("doc_id").isNull(), F.col("row")).alias("alone")]
+    lines = drawn.select("row", "host", *document, F.explode("lines").alias("x"))
     place = F.xxhash64("host", F.col("x.key"))
-    seen = lines.select("host", place.alias("place"), "copy_key").distinct()
-    frequency = seen.groupBy("host", "place").agg(F.count("*").alias("texts"))
-    frequency = frequency.where(F.col("texts") >= cfg.line_documents)
-    hosts = drawn.select("host", "copy_key").distinct().groupBy("host").agg(F.count("*").alias("of"))
+    seen = lines.select("host", place.alias("place"), "doc_id", "alone").distinct()
+    frequency = seen.groupBy("host", "place").agg(F.count("*").alias("documents"))
+    frequency = frequency.where(F.col("documents") >= cfg.line_documents)
+    hosts = drawn.select("host", *document).distinct().groupBy("host").agg(F.count("*").alias("of"))
     hosts = hosts.withColumnRenamed("host", "name")
     frequent = frequency.join(hosts, F.col("host").eqNullSafe(F.col("name")))
-    frequent = frequent.where(F.col("texts") > F.col("of") * cfg.line_share).select("place").distinct()
+    frequent = frequent.where(F.col("documents") > F.col("of") * cfg.line_share).select("place").distinct()
     frequent = materialize(frequent, "frequent-lines")
 
     removed = (
@@ -163,7 +160,7 @@ def quality_rules(docs: DataFrame, cfg: QualityConfig = QualityConfig(), with_te
         100 * F.col("n_repeat_words") > cfg.repeat_percent * F.col("n_words")
     )
     depleted = (F.col("n_left") < cfg.least_words) | (100 * F.col("n_left") < cfg.left_percent * F.col("n_words"))
-    out = drawn.drop("lines", "host", "copy_key").join(removed, "row", "left")
+    out = drawn.drop("lines", "host").join(removed, "row", "left")
     out = out.withColumn("n_left", left).withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
     out = out.withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<int>")))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

@@ -12,7 +12,7 @@ def _words(pattern: str, text: str) -> str:
 
 
 OP1 = f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, md5(coalesce(text, '')) AS copy, {_words(_SPACED, 'text')} AS w FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, coalesce(CAST(doc_id AS VARCHAR), 'row ' || row_number() OVER ()) AS copy, {_words(_SPACED, 'text')} AS w FROM documents),
 windows AS (SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS g FROM d, unnest(range(1, len(w) - 3)) AS t(i) WHERE len(w) >= 5),
 twice AS (SELECT doc_id, g FROM windows GROUP BY ALL HAVING count(*) > 1),
 again AS (SELECT doc_id, count(DISTINCT p) AS n FROM windows JOIN twice USING (doc_id, g), unnest(range(i, i + 5)) AS t(p) GROUP BY 1),
@@ -20,9 +20,9 @@ lines AS (SELECT doc_id, source, copy, line, array_to_string({_words(_SPACED, "t
   FROM (SELECT doc_id, source, copy, unnest(string_split(text, chr(10))) AS line FROM d)),
 worded AS (SELECT *, len(string_split(k, ' ')) AS n FROM lines WHERE k <> ''),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY 1),
-hosts AS (SELECT source, count(DISTINCT copy) AS texts FROM d GROUP BY 1),
+hosts AS (SELECT source, count(DISTINCT copy) AS documents FROM d GROUP BY 1),
 frequent AS (SELECT w.source, k FROM worded w JOIN hosts h ON w.source IS NOT DISTINCT FROM h.source
-  GROUP BY w.source, k, h.texts HAVING count(DISTINCT copy) >= 10 AND count(DISTINCT copy) > h.texts * 0.02),
+  GROUP BY w.source, k, h.documents HAVING count(DISTINCT copy) >= 10 AND count(DISTINCT copy) > h.documents * 0.02),
 gone AS (SELECT doc_id, sum(n) AS n FROM worded w JOIN frequent f ON w.source IS NOT DISTINCT FROM f.source AND w.k = f.k GROUP BY 1),
 base AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
   length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,

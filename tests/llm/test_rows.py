@@ -23,12 +23,13 @@ def test_quality_rules(docs):
     cfg = QualityConfig(line_share=0.1, line_documents=3)
     data = rows()
     texts_of, count = collections.defaultdict(set), collections.defaultdict(set)
-    for r in data:
-        texts_of[r[3]].add(r[1])
+    for i, r in enumerate(data):
+        document = ("row", i) if r[0] is None else r[0]
+        texts_of[r[3]].add(document)
         for line in (r[1] or "").split("\n"):
             key = tuple(spaced(line.lower()))
             if key:
-                count[r[3], key].add(r[1])
+                count[r[3], key].add(document)
     expected = []
     for r in data:
         text = r[1] or ""
