@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,14 +31,11 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class LanguageConfig:
-    """train_documents is about the size of the labelled sample (drawn by a hash); model_words and
-    model_grams bound what is kept per model, the most frequent first; grams: lengths in bytes,
-    longest first; smoothing is added to every count."""
+    """train_documents is about the size of the labelled sample (drawn by a hash), which bounds the model:
+    every word and n-gram of it is kept; grams: lengths in characters, longest first; smoothing is
+    added to every count."""
 
     train_documents: int = 20_000
-    model_words: int = 60_000
-    model_grams: int = 60_000
-    least_count: int = 2
     grams: tuple[int, ...] = (5, 4, 3, 2, 1)
     smoothing: float = 0.5
 
@@ -51,7 +49,7 @@ class LanguageModel:
 
 
 def _gram_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all n-byte pieces of the words, each framed by one space, and each word's first."""
+    """Keys of all pieces of n characters of the words, each framed by one space, and each word's first."""
     length = end - start + 2
     first = np.concatenate([[0], np.cumsum(length)])
     framed = np.full(first[-1], 0x20, dtype=np.uint8)
@@ -59,19 +57,27 @@ def _gram_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) ->
     letters = (inner > 0) & (inner < np.repeat(length, length) - 1)
     source = np.repeat(start, length) + inner - 1
     framed[letters] = LOWER[data[source[letters]]]
-    per_word = np.maximum(length - n + 1, 0)
+    # a character is its first byte and those that go on with it
+    places = np.flatnonzero((framed & 0xC0) != 0x80)
+    size = np.diff(np.append(places, len(framed)))
+    character = framed[places].astype(U64)
+    for j in range(1, 4):
+        more = np.flatnonzero(size > j)
+        character[more] |= framed[places[more] + j].astype(U64) << U64(8 * j)
+    first = np.searchsorted(places, first)
+    per_word = np.maximum(np.diff(first) - n + 1, 0)
     bounds = np.concatenate([[0], np.cumsum(per_word)])
     at = np.arange(bounds[-1]) + np.repeat(first[:-1] - bounds[:-1], per_word)
     out = np.full(len(at), n, dtype=U64)
     for j in range(n):
-        out = out * U64(257) + framed[at + j]
-    return mix(out), bounds
+        out = mix(out * U64(0xD6E8FEB86659FD93) + character[at + j])
+    return out, bounds
 
 
 def _counts(column: pa.Array, code: np.ndarray, grams: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(kind, code, key, count) over a column's slices: kind 0 for words, else the place of the
     n-gram length. Each text has a code, its language's; a slice's equal words are counted first."""
-    for part in slices(column):
+    for part in slices(pc.utf8_lower(column)):
         start, end, first = runs(ALPHABETIC[part.data], part.at)
         own = code[part.row + np.repeat(np.arange(part.texts), np.diff(first))]
         own, key, n, at = _summed(own, keys(part.data, start, end, LOWER), np.ones(len(start), dtype=np.int64))
@@ -96,7 +102,8 @@ def _summed(code: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
 def train(labelled: DataFrame, cfg: LanguageConfig = LanguageConfig()) -> LanguageModel:
     """Fit on `labelled` (doc_id, text, lang): a sample of about `train_documents`, counted by Spark.
 
-    Rows without text or lang are ignored. Only the model's bounded tables reach the driver.
+    Rows without text or lang are ignored. What reaches the driver is the sample's distinct words
+    and n-grams, in lower case as Unicode has it.
     """
     grams = cfg.grams
     rows = labelled.where("lang IS NOT NULL")
@@ -121,11 +128,10 @@ def train(labelled: DataFrame, cfg: LanguageConfig = LanguageConfig()) -> Langua
     languages = tuple(sorted(r["lang"] for r in counted.select("lang").distinct().collect()))
     by_language = [F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).alias(f"n{i}") for i, name in enumerate(languages)]
     per_key = counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), *by_language)
-    per_key = materialize(per_key.where(F.col("n") >= cfg.least_count), "key-counts")
+    per_key = materialize(per_key, "key-counts")
     known, scores = [], []
     for kind in range(len(grams) + 1):
-        most = cfg.model_words if kind == 0 else cfg.model_grams
-        table = per_key.where(F.col("kind") == kind).orderBy(F.desc("n"), "key").limit(most).toArrow()
+        table = per_key.where(F.col("kind") == kind).toArrow()
         key = table["key"].to_numpy().view(U64)
         n = np.array([table[f"n{i}"].to_numpy() for i in range(len(languages))], dtype=float).reshape(len(languages), len(key)).T
         total = n.sum(axis=0) + cfg.smoothing * (len(key) + 1)
@@ -183,7 +189,7 @@ def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("l
     """Adds lang_pred and score (or `names`, which replace columns of that name) to every row of
     `docs` (text; other columns stay as they are).
 
-    Whole texts are scored. lang_pred is `und` with score 0 if the text is null, empty or has no
+    Whole texts are scored, in lower case. lang_pred is `und` with score 0 if the text is null, empty or has no
     letter, or nothing was learned; score is the share of the best language among all after
     normalising the mean word. Equal scores: the language first in the alphabet.
     """
@@ -192,7 +198,7 @@ def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("l
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best, share = [], []
-            for part in slices(batch.column("text")):
+            for part in slices(pc.utf8_lower(batch.column("text"))):
                 start, end, first = runs(ALPHABETIC[part.data], part.at)
                 count = np.diff(first)
                 b = np.full(part.texts, len(languages) - 1)

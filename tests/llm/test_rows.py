@@ -140,8 +140,7 @@ def test_language(spark, docs):
 def test_language_scores_by_hand(spark):
     """A known word counts by its frequency, an unseen one by its longest known pieces."""
     data = [(i, "aa bb aa", "x") for i in range(4)] + [(10 + i, "cc bb", "y") for i in range(4)]
-    cfg = language.LanguageConfig(least_count=1)
-    model = language.train(spark.createDataFrame(data, "doc_id long, text string, lang string"), cfg)
+    model = language.train(spark.createDataFrame(data, "doc_id long, text string, lang string"))
     counts = {"aa": (8, 0), "bb": (4, 4), "cc": (0, 4)}
     total = [sum(c[j] for c in counts.values()) + 0.5 * 4 for j in (0, 1)]
     text = np.frombuffer(b"aa bb cca", dtype=np.uint8)
@@ -154,6 +153,29 @@ def test_language_scores_by_hand(spark):
     assert np.allclose(got[2], [np.log(0.5 / total[0]), np.log(4.5 / total[1])])
 
 
+def test_language_by_characters(spark):
+    """Pieces are cut between characters, and letters beyond ASCII have one case."""
+    data = [(1, "Éa ÜÜ", "x"), (2, "éa üß", "y"), (3, "漢字", "z")]
+    model = language.train(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert len(model.known[0]) == 4  # éa, üü, üß, 漢字
+    pieces = [{p for w in ("éa", "üü", "üß", "漢字") for p in [f" {w} "[i : i + n] for i in range(5 - n)]} for n in (5, 4, 3, 2, 1)]
+    assert [len(k) for k in model.known[1:]] == [len(p) for p in pieces]
+    text = np.frombuffer("é字".encode(), dtype=np.uint8)
+    got = language.word_scores(model, text, np.array([0]), np.array([5]))[0]
+    # of " é字 " two pieces of two characters are known: " é" (once in x, once in y) and "字 " (once in z)
+    counts = {" é": (1, 1, 0), "字 ": (0, 0, 1)}
+    each = [{}, {}, {}]
+    for words, own in ((("éa", "üü"), each[0]), (("éa", "üß"), each[1]), (("漢字",), each[2])):
+        for w in words:
+            for i in range(3):
+                piece = f" {w} "[i : i + 2]
+                own[piece] = own.get(piece, 0) + 1
+    size = len(model.known[4])
+    total = [sum(own.values()) + 0.5 * (size + 1) for own in each]
+    expected = [np.mean([np.log((c[j] + 0.5) / total[j]) for c in counts.values()]) for j in range(3)]
+    assert np.allclose(got, expected)
+
+
 def test_nothing_to_learn_from(spark):
     empty = frame(spark, [])
     model = language.train(empty)
