@@ -23,7 +23,9 @@ ORACLE_SQL = None  # drawing, training and minwise tokens have no SQL twin: see
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that are in no language (null, empty, no letter) or in none clearly."""
+    """Documents go that are in no language (null, empty, no letter) or in none clearly. Rows are judged
+    one by one: repeated ones alike, those without doc_id too; of languages that score the same the
+    first in the alphabet counts. Where nothing can be learned every document goes."""
     unseen = language.held_out(F.col("doc_id"), 4, 2)
     with scratch(spark):
         model = language.train(docs.where(~unseen).select("doc_id", "text", "lang"))
@@ -33,7 +35,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_document_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines like an earlier one go; so do documents of which no line stays. n_chars is counted anew."""
+    """Lines like an earlier one go; so do documents of which no line stays. n_chars is counted anew.
+
+    Documents without a line (null, empty, white space) stay as they are. Repeated rows are one
+    document and all stay or go; rows without doc_id come last in the order of lines.
+    """
     left = cut_lines(docs)
     if "n_chars" not in docs.columns:
         return left
@@ -41,7 +47,9 @@ def dedup_document_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the lowest doc_id, once if its row is repeated."""
+    """One document of each group stays: the one with the lowest doc_id, once if its row is repeated (of
+    different rows with that id the one whose text comes first). Rows without doc_id, and texts
+    without words, are in no group and stay."""
     with scratch(spark):
         gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
         gone = materialize(gone, "near-duplicates", outlives=True)
@@ -55,7 +63,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go. Null and empty texts hold none; repeated rows
+    and rows without doc_id are judged one by one, items without text have no window."""
     # rows are told apart by id and text, so that those without an id are judged too
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
     with scratch(spark):
@@ -66,7 +75,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often the mix takes each document that is left."""
+    """How often the mix takes each document that is left; null texts have no words, a null source is a
+    source, repeated rows are drawn one by one. Ties between documents are decided by hashes."""
     return mix_sources(docs)
 
 
