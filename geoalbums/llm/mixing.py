@@ -6,8 +6,10 @@ other. Two documents with open probabilities meet and, by one draw, words move f
 other until one of them is decided (0 or 1); the sum of words over both stays as it was, and so
 does each one's expectation. A block of some 64 documents is one chain of such meetings and leaves
 one open document; the open ones of 64 blocks are a block of the next level, up to one per source.
-That last one is rounded to the nearer side, so that a source's words differ from its target by
-no more than half of one document.
+That last one is rounded to the nearer side. It may be a long one, so what a source is then off its
+target is made good by a reserve of its documents (some 128, drawn by a hash): from the longest
+down, each whose decision turned over brings the source nearer is turned over. Words above and
+below the target are as likely, so the odds of a document stay what they were.
 """
 
 from __future__ import annotations
@@ -29,14 +31,17 @@ class MixConfig:
     """weights are dealt to the sources in code point order, null last, again and again.
 
     factor: words of the mix over words of the input; ceiling: most words of a source over its
-    own; block: documents of a block, on average; seed: another one gives another draw.
+    own; block: documents of a block, on average; reserve: documents of a source, on average, that may
+    make good what it is off its target; seed: another one gives another draw.
     """
 
     weights: tuple[int, ...] = (5, 2, 1)
     factor: float = 1.5
     ceiling: float = 2.0
     block: int = 64
+    reserve: int = 128
     seed: int = 17
+    broadcast_rows: int = 100_000
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -121,6 +126,34 @@ def _round_blocks(items: DataFrame, seed: int, last: bool) -> DataFrame:
     )
 
 
+def _turned_over(decided: DataFrame, sources: DataFrame, cfg: MixConfig) -> DataFrame:
+    """source, h, doc_id, copy of the documents whose decision is turned over."""
+    off = decided.groupBy("source").agg(F.sum("taken").alias("words")).select(F.col("source").alias("name"), "words")
+    off = off.join(sources, F.col("source").eqNullSafe(F.col("name"))).select(
+        "name", (F.col("words") - F.col("target")).alias("off"),
+        F.greatest(F.lit(1), F.floor(F.col("documents") / F.lit(cfg.reserve))).alias("one_in"),
+    )
+    drawn = decided.where("free").join(off, F.col("source").eqNullSafe(F.col("name")))
+    drawn = drawn.where(F.pmod(F.xxhash64(F.lit(cfg.seed - 1), "h", "copy"), "one_in") == 0)
+    reserve = drawn.groupBy("source", "off").agg(
+        F.sort_array(F.collect_list(F.struct("size", "h", "doc_id", "copy", "extra")), asc=False).alias("items")
+    )
+    none = F.array().cast("array<struct<h:bigint,doc_id:bigint,copy:bigint>>")
+    start = F.struct(F.col("off").cast("double").alias("off"), none.alias("turned"))
+
+    def step(state: Column, x: Column) -> Column:
+        over = state["off"] > 0
+        helps = (x["extra"] == over.cast("int")) & (x["size"] <= F.abs(state["off"]))
+        row = F.struct(x["h"].alias("h"), x["doc_id"].alias("doc_id"), x["copy"].alias("copy"))
+        return F.struct(
+            F.when(helps, state["off"] + F.when(over, -x["size"]).otherwise(x["size"])).otherwise(state["off"]).alias("off"),
+            F.when(helps, F.concat(state["turned"], F.array(row))).otherwise(state["turned"]).alias("turned"),
+        )
+
+    turned = reserve.select("source", F.aggregate("items", start, step, lambda state: state["turned"]).alias("turned"))
+    return turned.select("source", F.explode("turned").alias("x")).select("source", "x.*")
+
+
 def mix_sources(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     """Per row of `docs` (doc_id, source, text; other columns are ignored): doc_id, source, size,
     source_size, target, copies, taken.
@@ -145,7 +178,8 @@ def mix_sources(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     rows = rows.withColumn("h", h).withColumn("block", F.pmod(F.xxhash64(F.lit(cfg.seed + 1), "h"), "blocks"))
     fraction = (F.col("p") > 0) & (F.col("size") > 0)
 
-    whole = rows.where(~fraction).select("source", "doc_id", "size", F.lit(0).alias("extra"))
+    columns = ["source", "h", "doc_id", "copy", "size", "extra"]
+    whole = rows.where(~fraction).withColumn("extra", F.lit(0)).select(*columns, F.lit(False).alias("free"))
     open_items = rows.where(fraction)
     largest = sources.agg(F.max("documents")).first()[0] or 0
     levels = 1
@@ -154,12 +188,21 @@ def mix_sources(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     decided = whole
     for level in range(levels):
         rounded = materialize(_round_blocks(open_items, cfg.seed + level, level == levels - 1), "rounded")
-        decided = decided.unionByName(rounded.where("extra IS NOT NULL").select("source", "doc_id", "size", "extra"))
+        decided = decided.unionByName(rounded.where("extra IS NOT NULL").select(*columns, F.lit(True).alias("free")))
         open_items = rounded.where("extra IS NULL").withColumn("block", F.floor(F.col("block") / 64))
 
     named = rates.select(F.col("source").alias("name"), "source_size", "target", "base")
-    out = decided.join(named, F.col("source").eqNullSafe(F.col("name")))
-    copies = F.col("base") + F.col("extra")
+    taken = (F.col("base") + F.col("extra")) * F.col("size")
+    decided = decided.join(named, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("taken", taken)
+    decided = materialize(decided, "decided")
+    turned = materialize(_turned_over(decided, sources, cfg), "turned-over")
+    key = ["source", "h", "doc_id", "copy"]
+    small = turned.count() <= cfg.broadcast_rows
+    turned = turned.select(*[F.col(c).alias(f"turned_{c}") for c in key])
+    same = [F.col(c).eqNullSafe(F.col(f"turned_{c}")) for c in key]
+    out = decided.join(F.broadcast(turned) if small else turned, same, "left")
+    other_way = F.when(F.col("turned_h").isNotNull(), 1 - F.col("extra")).otherwise(F.col("extra"))
+    copies = F.col("base") + other_way
     return out.select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
