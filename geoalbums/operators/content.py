@@ -23,12 +23,13 @@ def digest_candidates(files: DataFrame, cfg: AlbumConfig) -> DataFrame:
 
     `files` is a listing (path, length): lengths are compared first, the first 64 KiB of files of
     one length next, and only files that are equal so far are read as a whole, in chunks. A file
-    that is gone has no digest, one that cannot be read is an error. Where `files` has a column `content`, digests are computed
-    at the scan and only they are shuffled. Every file that can have a twin is in the result.
+    that is gone has no digest, one that cannot be read is an error. Where `files` has a column
+    `content`, lengths are compared by the listing alone and digests are computed at the scan, of
+    contents that share their length; contents are never shuffled. Every file that can have a twin
+    is in the result.
     """
     if "content" in files.columns:
-        digests = files.select("path", "length", content_digest(F.col("content"), cfg.hash_mode).alias("digest"))
-        return _shared(materialize(digests, "content-digests"), ["length"])
+        return _content_digests(files, cfg)
     candidates = _shared(files.select("path", "length"), ["length"])
     screened = with_file_digest(candidates, cfg.hash_mode, "path", prefix=True).withColumnRenamed("digest", "prefix")
     screened = materialize(screened, "prefix-digests")
@@ -45,6 +46,17 @@ def digest_candidates(files: DataFrame, cfg: AlbumConfig) -> DataFrame:
     return known.unionByName(with_file_digest(rest, cfg.hash_mode, "path", length_col="length"))
 
 
+def _content_digests(files: DataFrame, cfg: AlbumConfig) -> DataFrame:
+    digest = content_digest(F.col("content"), cfg.hash_mode).alias("digest")
+    lengths = files.groupBy("length").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("length")
+    lengths = materialize(lengths, "shared-lengths")
+    if lengths.count() <= cfg.broadcast_rows:
+        shared = files.join(F.broadcast(lengths), "length", "left_semi")
+        return materialize(shared.select("path", "length", digest), "content-digests")
+    digests = materialize(files.select("path", "length", digest), "content-digests")
+    return digests.join(lengths, "length", "left_semi")
+
+
 def duplicate_groups(digests: DataFrame) -> DataFrame:
     """Groups of two or more: length, digest, files, first path.
 

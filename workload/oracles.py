@@ -389,6 +389,10 @@ FROM documents GROUP BY doc_id % 100 HAVING count(*) > 1""",
         "content_files_twins": _sql(
             TREE, select="SELECT name, length FROM tree QUALIFY count(*) OVER (PARTITION BY md5(text)) > 1"
         ),
+        "content_long_twins": _sql(
+            "blocks AS (SELECT CAST(floor(doc_id / 200) AS BIGINT) AS block, sum(octet_length(encode(coalesce(text, '')))) + count(*) AS length FROM documents GROUP BY 1)",
+            select="SELECT concat(block, '/', n, '.mp4') AS name, CAST(length AS BIGINT) AS length, concat(block, '/a.mp4') AS first_name FROM blocks, (VALUES ('a'), ('b')) t(n)",
+        ),
         "content_crc_ranges": _sql(
             TREE, select="SELECT name, length FROM tree QUALIFY count(*) OVER (PARTITION BY md5(text)) > 1"
         ),

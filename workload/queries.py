@@ -569,6 +569,31 @@ def placement_failures(spark, sf_dir):
     return manifest.groupBy("album_name", "action").agg(F.count("*").alias("files"))
 
 
+def content_long_twins(spark, sf_dir):
+    """Files of some hundred kilobytes: 200 documents each, written twice, and once more with another end.
+
+    One length and one beginning: the first 64 KiB tell nothing, and all are read as a whole.
+    """
+    root = fresh_path(spark, "blocks")
+    docs = fx.table(spark, sf_dir, "documents")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: F.coalesce(x["text"], F.lit("")))
+    blocks = docs.groupBy(F.floor(F.col("doc_id") / 200).alias("block")).agg(F.array_join(texts, "\n").cast("binary").alias("content"))
+
+    def write(batches):
+        for batch in batches:
+            for block, content in zip(batch["block"], batch["content"]):
+                for name, end in (("a", b"."), ("b", b"."), ("c", b"!")):
+                    write_file(f"{root}/{block}/{name}.mp4", bytes(content) + end)
+            yield batch[["block"]]
+
+    materialize(blocks.mapInPandas(write, "block long"), "written-blocks")
+    cfg = AlbumConfig(hash_mode="crc")
+    listed = list_files(spark, [root], recursive=True).select("path", "length")
+    twins = duplicate_files(digest_candidates(listed, cfg), cfg)
+    name = F.regexp_extract("path", r"([^/]*/[^/]*)\z", 1)
+    return twins.select(name.alias("name"), "length", F.regexp_extract("first_path", r"([^/]*/[^/]*)\z", 1).alias("first_name"))
+
+
 def placement_items(spark, sf_dir, cfg):
     return build_albums(media(spark, sf_dir), cfg).items.withColumnRenamed("content_md5", "digest")
 
@@ -767,6 +792,7 @@ def queries() -> dict[str, Query]:
         "content_same_prefix": content_same_prefix,
         "content_files_twins": content_files_twins,
         "content_crc_ranges": content_crc_ranges,
+        "content_long_twins": content_long_twins,
         "scan_files": scan_files,
         "failed_files": failed_files_query,
         "existing_listing": existing_listing,
