@@ -6,8 +6,9 @@ of Jaccard similarity t or more must share a word among the rarest (1 - t) * siz
 pair that meets must pass the length, positional and bitmap filters (all exact), and is verified on
 the full sets. Only whether some earlier class matches is asked: of each word's list a class first
 gives just its earliest two partners that pass the filters; of these the likeliest is verified, the
-others only if it turns out not to match, and all that lists still hold only if none did. Thousands
-of variants of a line cost a few verifications each, not all pairs.
+others only if it turns out not to match. Thousands of variants of a line cost a few verifications
+each, not all pairs. A class that matched none of these and has still others in its lists is open:
+open classes meet the rest by pairs of words, where lists are short, and are verified there.
 
 Rarity is a table of 2**18 counts, filled from all lines. Any order gives the same result; a good
 one gives short lists.
@@ -145,11 +146,26 @@ def _token() -> Column:
     return F.shiftright("word", 32)
 
 
-def _entries(
-    docs: DataFrame, rarity: np.ndarray, percent: int, of_words: np.ndarray | None = None, of_lines: np.ndarray | None = None
-) -> DataFrame:
-    """word, cls, doc_id, number, parity: the prefix words of all lines (a slice's first of each class), or of
-    those words or lines that may be in a bit table."""
+def _first_of_class(lines: _Lines, key: np.ndarray, ids: np.ndarray, none: np.ndarray) -> np.ndarray:
+    """Whether a line is the first of its class in the slice."""
+    out = np.ones(len(key), dtype=bool)
+    rank = np.lexsort((lines.number, ids[lines.text].view(np.int64), none, key))
+    out[rank[1:]] = key[rank[1:]] != key[rank[:-1]]
+    return out
+
+
+def _by_rarity(lines: _Lines, rarity: np.ndarray) -> np.ndarray:
+    """The words of each line in the order all lines have in common."""
+    return np.lexsort((lines.tokens, rarity[(lines.tokens % U64(_BUCKETS)).astype(np.int64)], lines.line))
+
+
+def _prefix(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Of so many words of either line two matching ones share at least one."""
+    return sizes - -(-percent * sizes // 100) + 1
+
+
+def _entries(docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
+    """word, cls, doc_id, number, parity: the prefix words of all lines (a slice's first of each class)."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,22 +174,14 @@ def _entries(
                 key, sizes, line = lines.keys(), lines.sizes, lines.line
                 ids = _doc_ids(batch.column(0), part)
                 none = batch.column(0).slice(part.row, part.texts).is_null().to_numpy(zero_copy_only=False)[lines.text]
-                wanted = np.ones(len(key), dtype=bool)
-                if of_lines is not None:
-                    wanted = may_have(of_lines, _spots(lines, key, ids))
-                else:
-                    rank = np.lexsort((lines.number, ids[lines.text].view(np.int64), none, key))
-                    wanted[rank[1:]] = key[rank[1:]] != key[rank[:-1]]
-                order = np.lexsort((lines.tokens, rarity[(lines.tokens % U64(_BUCKETS)).astype(np.int64)], line))
+                wanted = _first_of_class(lines, key, ids, none)
+                order = _by_rarity(lines, rarity)
                 place = np.arange(len(order)) - lines.first[line]
-                prefix = sizes - -(-percent * sizes // 100) + 1
+                prefix = _prefix(sizes, percent)
                 bits = U64(1) << (mix(lines.tokens) >> U64(58))
                 parity = np.bitwise_xor.reduceat(bits, lines.first[:-1]) if len(sizes) else bits
                 chosen = np.flatnonzero((place < prefix[line]) & wanted[line])
                 token = lines.tokens[order][chosen] >> U64(32)
-                if of_words is not None:
-                    some = may_have(of_words, mix(token))
-                    chosen, token = chosen[some], token[some]
                 own = line[chosen]
                 packed = (np.minimum(sizes[own], _MOST) << 16) | np.minimum(place[chosen], _MOST)
                 yield pa.RecordBatch.from_arrays(
@@ -321,57 +329,120 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return materialize(met.where(same).select("cls").distinct(), "matches")
 
 
-def _all_candidates(y: DataFrame, docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
-    """cls, spot, x_cls, x_spot: the classes y (cls, spot) with all their possible partners."""
-    own = _entries(docs, rarity, percent, of_lines=bit_table(y.select(F.col("spot").alias("key"))))
-    own = materialize(own.join(y, "cls").select(*_ENTRY, "spot").distinct(), "open-entries")
-    table = bit_table(_mixed_words(own))
-    all_of_them = _entries(docs, rarity, percent, of_words=table)
-    other = materialize(all_of_them.distinct(), "entries-of-open-words")
-    x = other.select(*[F.col(c).alias(f"x_{c}") for c in _ENTRY])
-    own, x = own.withColumn("token", _token()), x.withColumn("token", F.shiftright("x_word", 32))
-
-    def part(name: str, shift: int) -> Column:
-        return F.shiftright(name, shift).bitwiseAND(_MOST)
-
-    ny, nx = part("word", 16), part("x_word", 16)
-    rest = F.least(ny - part("word", 0), nx - part("x_word", 0))
-    differ = F.bit_count(F.col("parity").bitwiseXOR(F.col("x_parity")))
-    place, x_place = (
-        F.struct(F.col(f"{p}doc_id").isNull(), F.coalesce(f"{p}doc_id", F.lit(0)), f"{p}number", f"{p}cls") for p in ("", "x_")
-    )
-    may = (x_place < place) & (F.col("cls") != F.col("x_cls")) & (
-        (F.greatest(ny, nx) >= _MOST)
-        | (100 * F.least(ny, nx) >= percent * F.greatest(ny, nx))
-        & ((100 + percent) * rest >= percent * (ny + nx))
-        & ((100 + percent) * differ <= (100 - percent) * (ny + nx))
-    )
-    pairs = own.join(x, "token").where(may).select("cls", "spot", "x_cls", "x_doc_id", F.col("x_number").cast("long").alias("n"))
-    return _with_spots(pairs.distinct())
-
-
-def _arrow_map(df: DataFrame, make, schema: str) -> DataFrame:
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield make(batch)
-
-    return df.mapInArrow(apply, schema)
-
+_PAIRED = 24  # lines with more prefix words than this go by single words
 
-def _mixed_words(entries: DataFrame) -> DataFrame:
-    def make(batch):
-        return pa.RecordBatch.from_arrays([pa.array(mix(batch.column(0).to_numpy().view(U64)).view(np.int64))], names=["key"])
 
-    return _arrow_map(entries.select(F.shiftrightunsigned("word", 32).alias("token")).distinct(), make, "key long")
+def _meeting_keys(lines: _Lines, wanted: np.ndarray, rarity: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key): where lines that match are sure to meet.
 
+    With one word more in the prefix, matching lines share two words of it: pairs of words make far
+    shorter lists than words. Long lines have too many pairs and go by single words, as do, beside
+    their pairs, the shorter lines they may match.
+    """
+    sizes = lines.sizes
+    tokens = lines.tokens[_by_rarity(lines, rarity)]
+    prefix = _prefix(sizes, percent)
+    paired = prefix + 1 <= _PAIRED
+    longest = -(-100 * sizes // percent)
+    single = ~paired | (_prefix(longest, percent) + 1 > _PAIRED)
+    out_line, out_key = [], []
+    for i in range(int(prefix[wanted & paired].max(initial=0))):
+        for j in range(i + 1, _PAIRED):
+            own = np.flatnonzero(wanted & paired & (np.minimum(prefix + 1, sizes) > j))
+            if not len(own):
+                break
+            low = lines.first[own]
+            out_line.append(own)
+            out_key.append(mix(tokens[low + i] * U64(0xD6E8FEB86659FD93) + tokens[low + j]))
+    chosen = np.flatnonzero((wanted & single)[lines.line] & (np.arange(len(tokens)) - lines.first[lines.line] < prefix[lines.line]))
+    out_line.append(lines.line[chosen])
+    out_key.append(mix(tokens[chosen]))
+    return np.concatenate(out_line), np.concatenate(out_key)
+
+
+def _meetings(docs: DataFrame, rarity: np.ndarray, percent: int, open_lines: np.ndarray, table: np.ndarray | None) -> DataFrame:
+    """key, cls, doc_id, number, open, tokens of lines that meet an open one. Without a table of the open
+    lines' keys, these keys."""
 
-def _with_spots(pairs: DataFrame) -> DataFrame:
-    def make(batch):
-        cls, doc, number = (batch.column(c).fill_null(0).to_numpy().view(U64) for c in ("x_cls", "x_doc_id", "n"))
-        spot = pa.array(mix(mix(cls + doc) + number).view(np.int64))
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], spot], names=["cls", "spot", "x_cls", "x_spot"])
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(1)):
+                lines = _lines(part)
+                key, ids = lines.keys(), _doc_ids(batch.column(0), part)
+                none = batch.column(0).slice(part.row, part.texts).is_null().to_numpy(zero_copy_only=False)[lines.text]
+                is_open = may_have(open_lines, _spots(lines, key, ids))
+                if table is None:
+                    _, keys = _meeting_keys(lines, is_open, rarity, percent)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(keys).view(np.int64))], names=["key"])
+                    continue
+                own, keys = _meeting_keys(lines, _first_of_class(lines, key, ids, none), rarity, percent)
+                some = may_have(table, keys)
+                own, keys = own[some], keys[some]
+                ends = np.concatenate([[0], np.cumsum(lines.sizes[own])])
+                at = np.arange(ends[-1]) + np.repeat(lines.first[own] - ends[:-1], lines.sizes[own])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(keys.view(np.int64)), pa.array(key[own].view(np.int64)),
+                        pa.array(ids.view(np.int64)[lines.text[own]], mask=none[own]), pa.array(lines.number[own].astype(np.int32)),
+                        pa.array(is_open[own]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(lines.tokens[at].view(np.int64))),
+                    ],
+                    names=["key", "cls", "doc_id", "number", "open", "tokens"],
+                )
 
-    return _arrow_map(pairs, make, "cls long, spot long, x_cls long, x_spot long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = "key long" if table is None else "key long, cls long, doc_id long, number int, open boolean, tokens array<long>"
+    return rows.mapInArrow(draw, schema)
+
+
+def _open_matches(y: DataFrame, docs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
+    """cls of the open lines y (spot) that match any earlier line: each is verified on full sets against
+    all it meets, in the task that holds the list, until one matches. No pairs are written."""
+    open_lines = bit_table(y.select(F.col("spot").alias("key")))
+    table = bit_table(_meetings(docs, rarity, percent, open_lines, None).distinct())
+    met = _meetings(docs, rarity, percent, open_lines, table)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lists in whole_groups(batches, "key"):
+            keys, cls, is_open = (lists.column(c).to_numpy(zero_copy_only=False) for c in ("key", "cls", "open"))
+            tokens = lists.column("tokens")
+            tokens = tokens.chunk(0) if isinstance(tokens, pa.ChunkedArray) else tokens
+            ends = tokens.offsets.to_numpy().astype(np.int64)
+            values = tokens.values.to_numpy().view(U64)
+            bounds = group_bounds(keys)
+            found: set[int] = set()
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if high - low > 1 and is_open[low:high].any():
+                    found |= _matched(cls[low:high], is_open[low:high], ends[low : high + 1], values, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], names=["cls"])
+
+    ordered = met.repartition("key").sortWithinPartitions("key", F.col("doc_id").asc_nulls_last(), "number", "cls")
+    return materialize(ordered.select("key", "cls", "open", "tokens").mapInArrow(verify, "cls long").distinct(), "open-matches")
+
+
+def _matched(cls: np.ndarray, is_open: np.ndarray, ends: np.ndarray, values: np.ndarray, percent: int) -> set[int]:
+    """Open classes of one list, in order, whose first line there matches one of an earlier class."""
+    found: set[int] = set()
+    sizes = np.diff(ends)
+    first = np.zeros(len(cls), dtype=bool)  # a class may come from several slices
+    first[np.unique(cls, return_index=True)[1]] = True
+    for y in np.flatnonzero(is_open & first).tolist():
+        own = np.sort(values[ends[y] : ends[y + 1]])
+        for low in range(0, y, 8 * _BLOCK):
+            high = min(low + 8 * _BLOCK, y)
+            near = np.flatnonzero(
+                (100 * np.minimum(sizes[low:high], len(own)) >= percent * np.maximum(sizes[low:high], len(own)))
+                & first[low:high]
+            ) + low
+            if not len(near):
+                continue
+            bounds = np.concatenate([[0], np.cumsum(sizes[near])])
+            other = values[np.arange(bounds[-1]) + np.repeat(ends[near] - bounds[:-1], sizes[near])]
+            at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+            n = row_sums((own[at] == other).astype(np.int64), bounds)
+            if (100 * n >= percent * (sizes[near] + len(own) - n)).any():
+                found.add(int(cls[y]))
+                break
+    return found
 
 
 def later_matches(docs: DataFrame, rarity: np.ndarray, cfg: LineDedupConfig) -> DataFrame:
@@ -390,8 +461,7 @@ def later_matches(docs: DataFrame, rarity: np.ndarray, cfg: LineDedupConfig) ->
     left = materialize(best.where("more = 1").select("cls", "spot").join(found, "cls", "left_anti"), "unmatched")
     if left.isEmpty():
         return found
-    again = _all_candidates(left, docs, rarity, cfg.percent).join(pairs, ["cls", "x_cls"], "left_anti")
-    return found.unionByName(_verified(materialize(again, "more-candidates"), docs, cfg.percent))
+    return found.unionByName(_open_matches(left, docs, rarity, cfg.percent))
 
 
 def removed_lines(docs: DataFrame, cfg: LineDedupConfig = LineDedupConfig()) -> DataFrame:
