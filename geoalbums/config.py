@@ -23,16 +23,14 @@ RESERVED_NAMES = (
 # Characters that may not occur in a file name, as a regex character class.
 INVALID_CHARS_POSIX = "/\\x00"
 INVALID_CHARS_PORTABLE = "/\\x00-\\x1f<>:\"\\\\|?*"
-# ----------------------------------------------------------------------------
-
-LAST = "last"
-
-
 # Accepted spellings of the three digests, lower case.
 HASH_SPELLINGS = {
     "crc": "crc", "crc64": "crc", "crc-64": "crc", "md5": "md5", "md-5": "md5",
     "sha": "sha", "sha512": "sha", "sha-512": "sha",
 }
+# ----------------------------------------------------------------------------
+
+LAST = "last"
 
 
 @dataclass(frozen=True)
