@@ -9,14 +9,12 @@ import numpy as np
 import pytest
 from samples import collected, frame, lower, rows, spaced
 
-from geoalbums.llm import line_dedup
 from geoalbums.llm.components import components
 from geoalbums.llm.decontaminate import decontaminate
 from geoalbums.llm.line_dedup import cut_lines, dedup_lines
 from geoalbums.llm.near_duplicates import NearDuplicateConfig, near_duplicates
 from geoalbums.llm.passages import PassageConfig, alike, compact_windows, near_duplicate_passages
 from geoalbums.llm.repeated_bytes import remove_repeats
-from geoalbums.llm.words import mix
 
 
 @pytest.fixture(scope="module")
@@ -131,46 +129,6 @@ def test_line_dedup(docs):
     assert dedup_lines(docs).count() == len(rows())
 
 
-def test_open_lines_meet_all_they_may_match(spark):
-    """The last step alone, with every line open: short lines by pairs of words, long ones by words, and
-    the sizes between by both."""
-    rng = random.Random(12)
-    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(400)]
-    texts = []
-    for size in (2, 3, 4, 5, 6, 9, 12, 25, 60, 90, 105, 110, 115, 120, 140, 170):
-        for _ in range(4):
-            line = rng.sample(vocabulary, size)
-            for _ in range(5):
-                near = list(line)
-                for _ in range(rng.randint(0, max(1, size // 6))):
-                    near[rng.randrange(len(near))] = rng.choice(vocabulary)
-                if rng.random() < 0.3:
-                    near += rng.sample(vocabulary, max(1, size // 10))
-                texts.append(" ".join(near))
-    rng.shuffle(texts)
-    data = [(i, "\n".join(texts[low : low + 3])) for i, low in enumerate(range(0, len(texts), 3))] + [(None, "\n".join(texts[:4]))]
-    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
-    lists = line_dedup._lists(docs).collect()
-    cls_of, spots = {}, []
-    for r in lists:
-        for x in r["lines"]:
-            cls_of[r["doc_id"], x["number"]] = x["cls"]
-            at = np.array([x["cls"], r["doc_id"] or 0, x["number"]]).view(np.uint64)
-            spots.append(int(mix(mix(at[:1] + at[1:2]) + at[2:]).view(np.int64)[0]))
-    seen, expected = {}, set()
-    for doc, text in sorted(data, key=lambda r: (r[0] is None, r[0] or 0)):
-        for number, line in enumerate(text.split("\n")):
-            words, cls = frozenset(line.split()), cls_of[doc, number]
-            if cls not in seen:
-                if any(10 * len(words & x) >= 8 * len(words | x) for x in seen.values()):
-                    expected.add(cls)
-                seen[cls] = words
-    rarity = line_dedup._rarity(docs)
-    found = line_dedup._open_matches(spark.createDataFrame([(s,) for s in spots], "spot long"), docs, rarity, 80)
-    assert {r["cls"] for r in found.collect()} == expected
-    assert 60 < len(expected) < len(seen) - 60
-
-
 def test_cut_lines(docs):
     removed, count = expected_lines()
     found = {(r["doc_id"], r["text"]) for r in cut_lines(docs).collect() if r["doc_id"] != 1004}
