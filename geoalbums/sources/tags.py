@@ -102,7 +102,8 @@ def tag_locations(tags: DataFrame, files: DataFrame) -> DataFrame:
         "file_name", (F.col("at") + 1).alias("rank"), *order, "value"
     )
     walked = tags.select("file_name", F.lit(3).alias("rank"), "dir_ord", "tag_ord", "value")
-    texts = xmp.unionByName(walked).where(~is_blank(F.col("value")))
+    # every notation has two numbers at least; what has not is not looked at any closer
+    texts = xmp.unionByName(walked).where(F.col("value").rlike("[0-9][^0-9]+[0-9]"))
     parsed = with_latlon(texts, "value").drop("value")
     # The test sits in the aggregate: as a filter it would be moved below and parse twice.
     valid = F.when(
