@@ -274,6 +274,9 @@ def _place_tangled(contents: DataFrame, present: DataFrame | None, keys: list[st
     columns = [*content, "first_no", "copies", "target_name", "action"]
     contents = materialize(contents.select(*content, "first_no", "copies").withColumn("depth", _depth(F.col("name"))), "tangled")
     depths = sorted(row.depth for row in contents.select("depth").distinct().collect())  # as many as names have numbers
+    if not depths:  # the usual case: nothing is tangled
+        none = F.lit(None).cast("string")
+        return contents.select(*content, "first_no", "copies", none.alias("target_name"), none.alias("action"))
     bars = _bars(contents, present, keys, spot)
     placed: list[DataFrame] = []
     spilled = None  # slots that the chains of the depth before took
@@ -290,7 +293,7 @@ def _place_tangled(contents: DataFrame, present: DataFrame | None, keys: list[st
             *[key for key in spot if key != "name"], F.col("target_name").alias("name"),
             F.lit(0).cast("bigint").alias("number"), F.col("first_no").alias("since"), "length", "digest",
         )
-    out = placed[0] if placed else contents.select(*content, "first_no", "copies", F.lit("").alias("target_name"), F.lit("").alias("action"))
+    out = placed[0]
     for frame in placed[1:]:
         out = out.unionByName(frame)
     return out
