@@ -125,9 +125,10 @@ def placement_manifest(
     if present is not None:
         contents = materialize(contents, "distinct-contents")
     contents = materialize(_with_taken_numbers(contents, present, spot, cfg), "contents")
-    placed = _place_plain(contents.where(~F.col("tangled")), present, spot, cfg).unionByName(
-        _place_tangled(contents.where(F.col("tangled")), present, keys, spot)
-    )
+    placed = _place_plain(contents.where(~F.col("tangled")), present, spot, cfg)
+    tangled = contents.where("tangled")
+    if not tangled.isEmpty():  # seldom
+        placed = placed.unionByName(_place_tangled(tangled, present, keys, spot))
     placed = materialize(placed, "placed")
     settled = left_join_by_weight(
         contested, placed, content, "copies", placed.count(), cfg.broadcast_rows, cfg.hot_rows
@@ -274,9 +275,6 @@ def _place_tangled(contents: DataFrame, present: DataFrame | None, keys: list[st
     columns = [*content, "first_no", "copies", "target_name", "action"]
     contents = materialize(contents.select(*content, "first_no", "copies").withColumn("depth", _depth(F.col("name"))), "tangled")
     depths = sorted(row.depth for row in contents.select("depth").distinct().collect())  # as many as names have numbers
-    if not depths:  # the usual case: nothing is tangled
-        none = F.lit(None).cast("string")
-        return contents.select(*content, "first_no", "copies", none.alias("target_name"), none.alias("action"))
     bars = _bars(contents, present, keys, spot)
     placed: list[DataFrame] = []
     spilled = None  # slots that the chains of the depth before took
