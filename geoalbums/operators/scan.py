@@ -4,9 +4,10 @@ An album run walks each library in time order. One library, or one instant in it
 large share of all rows, so a window over the library would end in a single task. Instead:
 
 1. `bucketed` range-partitions rows by the full order key (library, time, file name), which
-   splits hot libraries and hot instants alike, sorts each range, and writes the result with its
-   bucket number and each row's position in the order. Range bounds come from a sample, so they
-   are fixed by that write and never worked out twice.
+   splits hot libraries and hot instants alike, sorts each range, cuts it into buckets of a bounded
+   number of rows, and writes the result with its bucket number and each row's position in the
+   order. Range bounds come from a sample, so they are fixed by that write and never worked out
+   twice.
 2. Windows run inside (bucket, library), ordered by that position: one whole number.
 3. What a bucket must know of its neighbours (the previous row, a running sum, the next
    positioned row) is worked out on one summary row per bucket and library, and joined back
@@ -27,6 +28,8 @@ from geoalbums.sources.shared import materialize
 BUCKET = "_bucket"
 POSITION = "_position"
 WHOLE = "_library"  # stands in where the caller names no library columns
+BUCKET_BITS = 13  # a bucket has 8192 rows at most
+TASK_ROWS = 1 << 16  # of a task's windows, on average
 
 
 def library_keys(library_cols: Sequence[str]) -> list[str]:
@@ -41,9 +44,10 @@ def bucketed(
 ) -> DataFrame:
     """Rows with `_bucket`, ranges of (library, order) that follow each other, and `_position`.
 
-    Positions rise with the order, within and across buckets, but not by one. Without
-    `num_buckets` the session's shuffle partitions apply, merged by adaptive execution where the
-    data is small. Library columns must not be null; a null stops the run.
+    Positions rise with the order, within and across buckets, but not by one. There are
+    `num_buckets` ranges; without it the session's shuffle partitions apply, merged by adaptive
+    execution where the data is small. A range of many rows is several buckets. Library columns
+    must not be null; a null stops the run.
     """
     if not library_cols:
         df = df.withColumn(WHOLE, F.lit(0))
@@ -54,12 +58,19 @@ def bucketed(
     ranged = (
         df.repartitionByRange(num_buckets, *keys) if num_buckets else df.repartitionByRange(*keys)
     )
-    placed = ranged.sortWithinPartitions(*keys).select(
-        "*",
-        F.spark_partition_id().alias(BUCKET),
-        F.monotonically_increasing_id().alias(POSITION),
-    )
-    return materialize(placed, "ranges")
+    placed = ranged.sortWithinPartitions(*keys).withColumn(POSITION, F.monotonically_increasing_id())
+    # a position counts the rows of its range in its low bits: cut short, it numbers the buckets
+    cut = placed.select(*df.columns, F.shiftright(POSITION, BUCKET_BITS).alias(BUCKET), POSITION)
+    return materialize(cut, "ranges")
+
+
+def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bucketed rows, put together as windows need them, in tasks of a bounded number of rows.
+
+    Windows keep a task's rows in memory, several times over. Left to the session's shuffle
+    partitions, their number would grow with the input.
+    """
+    return df.repartition(max(1, -(-df.count() // TASK_ROWS)), BUCKET, *keys)
 
 
 def in_bucket(keys: Sequence[str], order: str = POSITION) -> WindowSpec:

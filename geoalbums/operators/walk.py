@@ -38,6 +38,7 @@ from geoalbums.operators.scan import (
     POSITION,
     WHOLE,
     carried_sum,
+    dealt,
     earlier_buckets,
     first_row,
     from_the_end,
@@ -141,7 +142,7 @@ def _filled(items: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     ordered, here = in_bucket(keys), up_to_here(keys)
     c = F.col
 
-    df = join_carry(items.withColumn("row", _row()), carry, keys)
+    df = join_carry(dealt(items, keys).withColumn("row", _row()), carry, keys)
     df = df.withColumn("fix", F.when(c("row.positioned"), c("row")))
     df = df.withColumn("next_fix", F.last("fix", True).over(from_the_end(keys)))
     df = df.withColumns({"prev_row": F.lag("row").over(ordered), "back": F.last("fix", True).over(here)})
@@ -233,7 +234,7 @@ def _unfilled(items: DataFrame, keys: Sequence[str]) -> DataFrame:
     carry = summary.select(
         BUCKET, *keys, F.last("last_item", True).over(earlier_buckets(keys)).alias("carry_item")
     )
-    df = join_carry(items.withColumn("row", _row()), carry, keys)
+    df = join_carry(dealt(items, keys).withColumn("row", _row()), carry, keys)
     df = df.withColumn("prev", F.lag("row").over(in_bucket(keys)))
     return df.withColumn("prev", F.coalesce("prev", "carry_item")).select(
         *items.columns,

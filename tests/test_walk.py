@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoalbums import AlbumConfig
-from geoalbums.operators.scan import bucketed, ranked
+from geoalbums.operators.scan import WHOLE, bucketed, dealt, ranked
 from geoalbums.operators.walk import ORDER, walk, with_album_ids
 
 START = dt.datetime(2024, 3, 9)
@@ -100,6 +100,24 @@ def test_one_instant_is_split(spark):
     assert len(sizes) >= 8 and max(sizes) < 1000
 
 
+def test_long_ranges_are_cut(spark):
+    """However few ranges, buckets and the windows' tasks hold a bounded number of rows; results stay."""
+    rows = spark.range(200_000).select(
+        F.format_string("%06d.jpg", "id").alias("file_name"),
+        (F.lit(START).cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("date_created"),
+        F.when(F.col("id") % 50_000 == 0, 10.0).otherwise(0.0).alias("latitude"), F.lit(0.0).alias("longitude"),
+        F.lit(None).cast("string").alias("location_name"),
+    )
+    items = bucketed(rows, (), ORDER, 1)
+    sizes = items.groupBy("_bucket").agg(F.count("*").alias("n"), F.min("file_name").alias("a"), F.max("file_name").alias("b"))
+    sizes = sizes.orderBy("_bucket").collect()
+    assert max(r.n for r in sizes) <= 8192 and all(x.b < y.a for x, y in zip(sizes, sizes[1:]))
+    assert dealt(items, [WHOLE]).rdd.getNumPartitions() >= 3
+    steps = with_album_ids(walk(items, AlbumConfig(time_hours=1)), AlbumConfig(time_hours=1))
+    # every item takes the place of the last positioned one, through all buckets
+    assert steps.agg(F.min("latitude"), F.max("latitude"), F.max("album_id"), F.count("source_file")).first()[:] == (10.0, 10.0, 1, 199_996)
+
+
 def test_null_library_stops(spark):
     rows = [(None, "a.jpg", START, 0.0, 0.0, None)]
     with pytest.raises(Exception, match="library column library is null"):
