@@ -14,6 +14,12 @@ with what is not reached yet, so that thousands of near copies cost a few passes
 Nothing is capped. Recall of the trees falls with their depth, so whatever is branched again is
 also compared with its hubs: the members that hold most of the tokens frequent in their group, as
 the original of many edited copies does. A node that no token divides is dealt out around its hubs.
+
+What the trees and the limits of nodes and groups leave out is found exactly after that. Two sets
+of the threshold's similarity differ in k shingles at most, by their sizes; of more than k parts of
+the shingles' space that either has shingles in, one at least is the same in both. Representatives
+that are not linked yet and have such a part in common make up a family, whose members are all
+compared on full sets: in one task, or, if they are more than it holds, in pieces, each with each.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoalbums.llm.bits import bit_table, may_have
 from geoalbums.llm.components import components
 from geoalbums.llm.groups import group_bounds, whole_groups
 from geoalbums.llm.words import LOWER, SPACED, U64, mix, row_sums, shingles, slices, sorted_sets, words
@@ -299,6 +306,95 @@ def _around_hubs(rows: DataFrame, weight: Column, limit: int) -> DataFrame:
     return dealt.unionByName(hubs).distinct()
 
 
+def _size_classes(largest: int, percent: int) -> list[int]:
+    """The smallest size of each class: sets that may be linked are of one class or of neighbours."""
+    lows = [1]
+    while lows[-1] <= largest:
+        lows.append(100 * lows[-1] // percent + 1)
+    return lows
+
+
+def _parts(distinct: np.ndarray, bounds: np.ndarray, cfg: NearDuplicateConfig) -> tuple[np.ndarray, np.ndarray]:
+    """(text, signature) of the parts of each set, in its own size class and the one below.
+
+    A part without shingles has a signature only in sets that have too few parts with shingles.
+    """
+    sizes = np.diff(bounds)
+    lows = np.array(_size_classes(int(sizes.max(initial=0)), cfg.percent), dtype=np.int64)
+    own = np.searchsorted(lows, sizes, "right") - 1
+    high32, mixed = distinct >> U64(32), mix(distinct ^ U64(0x2545F4914F6CDD1D))
+    texts, signatures = [], []
+    for step in (0, 1):
+        cls = own - step
+        smaller = lows[np.minimum(np.maximum(cls, 0) + 1, len(lows) - 1)] - 1  # the most the smaller set has
+        differ = (100 - cfg.percent) * (smaller + 100 * smaller // cfg.percent) // (100 + cfg.percent)
+        differ[(cls < 0) | (sizes == 0)] = 0
+        total = np.where(differ > 0, differ + 4 + differ // 16, 0)
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        wanted = total[text] > 0
+        text = text[wanted]
+        part = (high32[wanted] * total[text].astype(U64)) >> U64(32)  # rises with the sorted shingles
+        starts = np.flatnonzero(np.diff(text, prepend=-1) | np.diff(part.astype(np.int64), prepend=-1))
+        sums = np.add.reduceat(mixed[wanted], starts) if len(starts) else mixed[:0]
+        text, part = text[starts], part[starts]
+        filled = np.bincount(text, minlength=len(sizes))
+        for r in np.flatnonzero((total > 0) & (filled <= differ)).tolist():
+            empty = np.setdiff1d(np.arange(total[r], dtype=U64), part[text == r])
+            text, part = np.append(text, np.full(len(empty), r)), np.append(part, empty)
+            sums = np.append(sums, np.zeros(len(empty), dtype=U64))
+        place = (cls[text].astype(U64) << U64(40)) + part
+        texts.append(text)
+        signatures.append(mix(sums + mix(place ^ U64(0x9E6C63D0876A9A47))))
+    return np.concatenate(texts), np.concatenate(signatures)
+
+
+def _part_rows(docs: DataFrame, cfg: NearDuplicateConfig, only: np.ndarray | None = None) -> DataFrame:
+    """signature, high: parts of the sets of all texts, a set by its fingerprint; `only` those in a table of bits."""
+    shingle = cfg.shingle
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(0)):
+                distinct, bounds = sorted_sets(*_sketch_arrays(part, shingle))
+                high = row_sums(mix(distinct ^ U64(0xA0761D6478BD642F)), bounds).view(np.int64)
+                text, signature = _parts(distinct, bounds, cfg)
+                if only is not None:
+                    kept = may_have(only, signature)
+                    text, signature = text[kept], signature[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(high[text])], names=["signature", "high"])
+
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("text")
+    return texts.mapInArrow(draw, "signature long, high long")
+
+
+def _families(docs: DataFrame, classes: DataFrame, exact: DataFrame, cfg: NearDuplicateConfig) -> DataFrame:
+    """node, rep: representatives that have a part in common with one they are not linked with."""
+    shared = _part_rows(docs, cfg).groupBy("signature").agg(F.min("high").alias("a"), F.max("high").alias("b"))
+    shared = materialize(shared.where("a <> b").select("signature"), "shared-parts")
+    table = bit_table(shared.select(F.col("signature").alias("key")))
+    rows = _part_rows(docs, cfg, table).distinct().join(shared, "signature", "left_semi")
+    labels = classes.select("rep", "high").join(exact.select(F.col("node").alias("rep"), "label"), "rep", "left")
+    labels = labels.select("high", "rep", F.coalesce("label", "rep").alias("label"))
+    rows = materialize(rows.join(labels, "high").select("signature", "rep", "label"), "parts")
+    open_parts = rows.groupBy("signature").agg(F.min("rep").alias("a"), F.min("label").alias("low"), F.max("label").alias("up"))
+    members = rows.join(open_parts.where("low <> up").select("signature", "a"), "signature")
+    return components(members.select("a", F.col("rep").alias("b"))).select(F.col("label").alias("node"), F.col("node").alias("rep"))
+
+
+def _in_pieces(groups: DataFrame, classes: DataFrame, limit: int, least: int) -> DataFrame:
+    """node, rep: groups as they are; those beyond `limit` shingles and `least` members cut into pieces, any two of which meet in a node."""
+    each = classes.groupBy("rep").agg(F.sum("n_shingles").alias("n_shingles"))
+    rows = materialize(groups.join(each, "rep"), "families")
+    sizes = rows.groupBy("node").agg(F.sum("n_shingles").alias("weight"), F.count("*").alias("members"))
+    pieces = F.least(F.ceil(2 * F.col("weight") / F.lit(limit)), F.ceil(F.col("members") / F.lit(max(1, least // 2)))).cast("long")
+    sizes = sizes.where((F.col("weight") > limit) & (F.col("members") > least)).select("node", pieces.alias("pieces"))
+    sizes = materialize(sizes, "pieces")
+    dealt = rows.join(sizes, "node").withColumn("own", F.pmod(F.xxhash64("node", "rep"), "pieces"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, pieces - 1)")))
+    dealt = dealt.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep")
+    return rows.join(sizes, "node", "left_anti").select("node", "rep").unionByName(dealt)
+
+
 def near_duplicates(docs: DataFrame, cfg: NearDuplicateConfig = NearDuplicateConfig()) -> DataFrame:
     """Per row of `docs` (doc_id, text, other columns are ignored): doc_id, n_shingles,
     component_id, kept.
@@ -337,7 +433,10 @@ def near_duplicates(docs: DataFrame, cfg: NearDuplicateConfig = NearDuplicateCon
         groups = groups.unionByName(small.select("node", "rep"))
         for rows in [whole.withColumn("node", F.xxhash64("coarse", F.lit("whole"))), *passed, stuck]:
             groups = groups.unionByName(_around_hubs(rows.select("node", "rep", "tokens", "n_shingles"), weight, cfg.group_shingles))
-    exact = components(_exact_links(groups, docs, cfg))
+    exact = materialize(components(_exact_links(groups, docs, cfg)), "linked")
+    families = _in_pieces(_families(docs, classes, exact, cfg), classes, cfg.group_shingles, cfg.group_least)
+    more = _exact_links(families, docs, cfg)
+    exact = components(more.unionByName(exact.select(F.col("node").alias("a"), F.col("label").alias("b"))))
 
     same = drawn.select("doc_id", "n_shingles", "high", "low").join(
         classes.select("high", "low", "n_shingles", "rep"), ["high", "low", "n_shingles"], "left"

@@ -12,7 +12,7 @@ from samples import collected, frame, lower, rows, spaced
 from geoalbums.llm.components import components
 from geoalbums.llm.decontaminate import decontaminate
 from geoalbums.llm.line_dedup import cut_lines, dedup_lines
-from geoalbums.llm.near_duplicates import NearDuplicateConfig, near_duplicates
+from geoalbums.llm.near_duplicates import NearDuplicateConfig, _parts, near_duplicates
 from geoalbums.llm.passages import PassageConfig, alike, compact_windows, near_duplicate_passages
 from geoalbums.llm.repeated_bytes import remove_repeats
 
@@ -90,6 +90,32 @@ def test_near_duplicates_star(spark):
     assert len(found) == len(data) and all(r["component_id"] == 0 for r in found)
 
 
+def test_near_duplicates_beyond_the_limits(spark):
+    """A chain whose neighbours alone are alike: no link is lost, however small nodes and groups are."""
+    words = [f"w{i}" for i in range(600)]
+    data = [(doc, " ".join(words[4 * doc : 4 * doc + 56])) for doc in range(120)]  # 50 of 58 shingles: 0.862 alike
+    cfg = NearDuplicateConfig(shingle=3, percent=85, node_rows=1, group_shingles=120, group_least=2)
+    found = near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), cfg).collect()
+    assert len(found) == 120 and all(r["component_id"] == 0 for r in found)
+
+
+def test_parts_of_linked_sets():
+    """Sets of the threshold's similarity have a part in common, at sizes around those of all classes."""
+    rng = np.random.default_rng(3)
+    for percent in (60, 85):
+        cfg = NearDuplicateConfig(percent=percent)
+        for size in [*range(1, 60), 99, 100, 101, 333, 1000]:
+            for left in {size * percent // 100 + (size * percent % 100 > 0), (size * percent // 100 + size) // 2 + 1}:
+                whole = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+                part = np.sort(rng.choice(whole, min(left, size), replace=False))
+                grown = np.unique(np.append(part, rng.integers(0, 1 << 64, (100 * left - percent * size) // percent, dtype=np.uint64)))
+                for other in (part, grown):
+                    if len(other) == size and (other == whole).all():
+                        continue
+                    text, signature = _parts(np.concatenate([whole, other]), np.array([0, size, size + len(other)]), cfg)
+                    assert set(signature[text == 0]) & set(signature[text == 1])
+
+
 def test_components(spark):
     links = [(1, 2), (3, 2), (3, 4), (10, 11), (11, 10), (7, 7), (30, 20), (25, 20)] + [(100 + i, 101 + i) for i in range(40)]
     found = dict(collected(components(spark.createDataFrame(links, "a long, b long")), "node", "label"))
