@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoalbums.llm.bits import bit_table, may_have
@@ -314,16 +314,17 @@ def _size_classes(largest: int, percent: int) -> list[int]:
     return lows
 
 
-def _parts(distinct: np.ndarray, bounds: np.ndarray, cfg: NearDuplicateConfig) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature) of the parts of each set, in its own size class and the one below.
+def _counted_parts(distinct: np.ndarray, bounds: np.ndarray, cfg: NearDuplicateConfig) -> tuple[np.ndarray, ...]:
+    """(text, signature, class, least) of the parts of each set, in its own size class and the one below.
 
     A part without shingles has a signature only in sets that have too few parts with shingles.
+    `least` is the number of signatures that a linked set has in common with this one in that class.
     """
     sizes = np.diff(bounds)
     lows = np.array(_size_classes(int(sizes.max(initial=0)), cfg.percent), dtype=np.int64)
     own = np.searchsorted(lows, sizes, "right") - 1
     high32, mixed = distinct >> U64(32), mix(distinct ^ U64(0x2545F4914F6CDD1D))
-    texts, signatures = [], []
+    found = []
     for step in (0, 1):
         cls = own - step
         smaller = lows[np.minimum(np.maximum(cls, 0) + 1, len(lows) - 1)] - 1  # the most the smaller set has
@@ -343,13 +344,19 @@ def _parts(distinct: np.ndarray, bounds: np.ndarray, cfg: NearDuplicateConfig) -
             text, part = np.append(text, np.full(len(empty), r)), np.append(part, empty)
             sums = np.append(sums, np.zeros(len(empty), dtype=U64))
         place = (cls[text].astype(U64) << U64(40)) + part
-        texts.append(text)
-        signatures.append(mix(sums + mix(place ^ U64(0x9E6C63D0876A9A47))))
-    return np.concatenate(texts), np.concatenate(signatures)
+        # of the parts with shingles as many are touched at most as shingles differ
+        found.append((text, mix(sums + mix(place ^ U64(0x9E6C63D0876A9A47))), cls[text], np.maximum(1, filled - differ)[text]))
+    return tuple(np.concatenate(column) for column in zip(*found))
+
+
+def _parts(distinct: np.ndarray, bounds: np.ndarray, cfg: NearDuplicateConfig) -> tuple[np.ndarray, np.ndarray]:
+    """(text, signature) of `_counted_parts`."""
+    return _counted_parts(distinct, bounds, cfg)[:2]
 
 
 def _part_rows(docs: DataFrame, cfg: NearDuplicateConfig, only: np.ndarray | None = None) -> DataFrame:
-    """signature, high: parts of the sets of all texts, a set by its fingerprint; `only` those in a table of bits."""
+    """signature, high: parts of the sets of all texts, a set by its fingerprint; with `only` those in a table
+    of bits, and cls and least beside them."""
     shingle = cfg.shingle
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,27 +364,45 @@ def _part_rows(docs: DataFrame, cfg: NearDuplicateConfig, only: np.ndarray | Non
             for part in slices(batch.column(0)):
                 distinct, bounds = sorted_sets(*_sketch_arrays(part, shingle))
                 high = row_sums(mix(distinct ^ U64(0xA0761D6478BD642F)), bounds).view(np.int64)
-                text, signature = _parts(distinct, bounds, cfg)
-                if only is not None:
-                    kept = may_have(only, signature)
-                    text, signature = text[kept], signature[kept]
-                yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(high[text])], names=["signature", "high"])
+                text, signature, cls, least = _counted_parts(distinct, bounds, cfg)
+                if only is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(high[text])], names=["signature", "high"])
+                    continue
+                kept = may_have(only, signature)
+                columns = (signature.view(np.int64)[kept], high[text[kept]], cls[kept], least[kept])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["signature", "high", "cls", "least"])
 
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("text")
-    return texts.mapInArrow(draw, "signature long, high long")
+    return texts.mapInArrow(draw, "signature long, high long" + ("" if only is None else ", cls long, least long"))
+
+
+def _open_parts(rows: DataFrame) -> DataFrame:
+    """Of (signature, rep, label, ...) those whose signature members of several labels have, with the lowest rep and their number."""
+    parts = rows.groupBy("signature").agg(
+        F.min("rep").alias("a"), F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("up")
+    )
+    return rows.join(parts.where("low <> up").select("signature", "a", "n"), "signature")
 
 
 def _families(docs: DataFrame, classes: DataFrame, exact: DataFrame, cfg: NearDuplicateConfig) -> DataFrame:
-    """node, rep: representatives that have a part in common with one they are not linked with."""
+    """node, rep: representatives that may be linked, by the parts they share, with ones they are not linked with yet.
+
+    Linked sets share `least` parts at least, so they share one that is not among the `least` - 1 most
+    frequent open ones of either: a part that many texts have, as a phrase of a site, brings nobody together.
+    """
     shared = _part_rows(docs, cfg).groupBy("signature").agg(F.min("high").alias("a"), F.max("high").alias("b"))
     shared = materialize(shared.where("a <> b").select("signature"), "shared-parts")
     table = bit_table(shared.select(F.col("signature").alias("key")))
     rows = _part_rows(docs, cfg, table).distinct().join(shared, "signature", "left_semi")
     labels = classes.select("rep", "high").join(exact.select(F.col("node").alias("rep"), "label"), "rep", "left")
     labels = labels.select("high", "rep", F.coalesce("label", "rep").alias("label"))
-    rows = materialize(rows.join(labels, "high").select("signature", "rep", "label"), "parts")
-    open_parts = rows.groupBy("signature").agg(F.min("rep").alias("a"), F.min("label").alias("low"), F.max("label").alias("up"))
-    members = rows.join(open_parts.where("low <> up").select("signature", "a"), "signature")
+    rows = materialize(rows.join(labels, "high"), "parts")
+    of_set = Window.partitionBy("high", "cls")
+    ranked = _open_parts(rows).withColumns(
+        {"place": F.row_number().over(of_set.orderBy("n", "signature")), "parts": F.count("*").over(of_set)}
+    )
+    rare = ranked.where(F.col("place") <= F.col("parts") - F.col("least") + 1).select(*rows.columns)
+    members = _open_parts(materialize(rare, "rare-parts"))
     return components(members.select("a", F.col("rep").alias("b"))).select(F.col("label").alias("node"), F.col("node").alias("rep"))
 
 

@@ -12,7 +12,7 @@ from samples import collected, frame, lower, rows, spaced
 from geoalbums.llm.components import components
 from geoalbums.llm.decontaminate import decontaminate
 from geoalbums.llm.line_dedup import cut_lines, dedup_lines
-from geoalbums.llm.near_duplicates import NearDuplicateConfig, _parts, near_duplicates
+from geoalbums.llm.near_duplicates import NearDuplicateConfig, _counted_parts, _families, _parts, near_duplicates, sketches
 from geoalbums.llm.passages import PassageConfig, alike, compact_windows, near_duplicate_passages
 from geoalbums.llm.repeated_bytes import remove_repeats
 
@@ -116,6 +116,32 @@ def test_parts_of_linked_sets():
                     assert set(signature[text == 0]) & set(signature[text == 1])
 
 
+def test_linked_sets_share_as_many_parts_as_counted():
+    """In a class that both have parts in, and that the search for families relies on."""
+    rng = np.random.default_rng(4)
+    for percent in (60, 80, 85):
+        cfg = NearDuplicateConfig(percent=percent)
+        for size in [*range(2, 60, 3), 99, 100, 333, 1000]:
+            left = size * percent // 100 + (size * percent % 100 > 0)
+            whole = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+            other = np.sort(rng.choice(whole, left, replace=False))
+            if left == size:
+                continue
+            text, signature, cls, least = _counted_parts(np.concatenate([whole, other]), np.array([0, size, size + left]), cfg)
+            of = [{c: set(signature[(text == t) & (cls == c)]) for c in set(cls)} for t in (0, 1)]
+            need = {c: max(least[cls == c]) for c in set(cls)}
+            assert any(len(of[0][c] & of[1][c]) >= need[c] for c in need)
+
+
+def test_common_passage_makes_no_family(spark):
+    """Half of each text is the same: some parts are, but not as many as linked texts share."""
+    same = " ".join(f"w{i}" for i in range(52))
+    data = [(doc, same + " " + " ".join(f"x{doc}_{i}" for i in range(50))) for doc in range(40)]
+    docs, cfg = spark.createDataFrame(data, "doc_id long, text string"), NearDuplicateConfig(shingle=3, percent=85)
+    classes = sketches(docs, cfg).withColumnRenamed("doc_id", "rep")
+    assert _families(docs, classes, spark.createDataFrame([], "node long, label long"), cfg).count() == 0
+
+
 def test_components(spark):
     links = [(1, 2), (3, 2), (3, 4), (10, 11), (11, 10), (7, 7), (30, 20), (25, 20)] + [(100 + i, 101 + i) for i in range(40)]
     found = dict(collected(components(spark.createDataFrame(links, "a long, b long")), "node", "label"))
