@@ -94,7 +94,8 @@ def _split(page: int):
 
 def _complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for parent, error, entries in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+        for at in range(batch.num_rows):  # a page at a time: a batch may hold thousands of them
+            parent, error, entries = (batch.column(i)[at].as_py() for i in range(3))
             rows = [] if error is None else [(parent, None, None, None, error)]
             for entry in entries:
                 path = f"{parent.rstrip('/')}/{entry['name']}"

@@ -1,7 +1,9 @@
 import datetime as dt
 import hashlib
 import os
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from geoalbums.functions.hashing import Crc64Part, chunked_digest, crc64_hex, cr
 from geoalbums.operators.content import digest_candidates, duplicate_files, duplicate_groups
 from geoalbums.operators.filters import date_window, late_items
 from geoalbums.sources.gazetteer import parse_lines
+from geoalbums.sources.listing import _ENTRY, _complete
 from geoalbums.sources.media_files import (
     distinct_paths, existing_files, existing_folders, failed_files, list_files, list_tree, scan_counts, scan_media,
     skipped_roots, with_content, with_file_digest,
@@ -29,6 +32,19 @@ def tree(root, files):
             out.write(data)
 
 
+def test_listing_holds_one_page_at_a_time():
+    """Of a batch of many pages only one is ever there as objects."""
+    pages, size = 200, 1000
+    entries = pa.array([{"name": f"folder-{i}", "folder": True} for i in range(size)], _ENTRY)
+    entries = pa.ListArray.from_arrays(pa.array(range(0, pages * size + 1, size), pa.int32()), pa.concat_arrays([entries] * pages))
+    batch = pa.RecordBatch.from_arrays([pa.array(["/r"] * pages), pa.nulls(pages, pa.string()), entries], names=["parent", "error", "entries"])
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in _complete(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == pages * size and peak < 10e6
+
+
 def test_scan(spark, tmp_path):
     root = str(tmp_path)
     tree(root, {"a.JPG": b"1", "b.txt": b"22", "sub/c.mp4": b"333", "sub/deep/d.heic": b"4444"})
