@@ -18,8 +18,9 @@ the original of many edited copies does. A node that no token divides is dealt o
 What the trees and the limits of nodes and groups leave out is found exactly after that. Two sets
 of the threshold's similarity differ in k shingles at most, by their sizes; of more than k parts of
 the shingles' space that either has shingles in, one at least is the same in both. Representatives
-that are not linked yet and have such a part in common make up a family, whose members are all
-compared on full sets: in one task, or, if they are more than it holds, in pieces, each with each.
+that are not linked yet and have such a part in common, other than the parts that may be left aside
+as linked sets share several, make up a family, whose members are all compared on full sets: in one
+task, or, if they are more than it holds, in pieces, each with each.
 """
 
 from __future__ import annotations
