@@ -148,6 +148,22 @@ def test_components(spark):
     assert found == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10, 20: 20, 25: 20, 30: 20} | {100 + i: 100 for i in range(41)}
 
 
+@pytest.mark.parametrize("links_of_a_task", [1 << 16, 50, 3])
+def test_components_contracted(spark, monkeypatch, links_of_a_task):
+    monkeypatch.setitem(components.__globals__, "TASK_LINKS", links_of_a_task)
+    order = list(range(200))
+    random.Random(5).shuffle(order)
+    links = [(order[i], order[i + 1]) for i in range(199) if i % 20 != 19] * 2 + [(7, 7), (None, 3)]
+    sc = spark.sparkContext
+    sc.setJobGroup("contracted", "contracted")
+    found = dict(collected(components(spark.createDataFrame(links, "a long, b long")), "node", "label"))
+    jobs = len(sc.statusTracker().getJobIdsForGroup("contracted"))
+    sc._jsc.clearJobGroup()
+    assert found == {node: min(order[i : i + 20]) for i in range(0, 200, 20) for node in order[i : i + 20]}
+    if links_of_a_task > len(links):
+        assert jobs <= 8  # rounds over the links take more
+
+
 def expected_lines():
     data = {(r[0], r[1]) for r in rows()}
     order = sorted(data, key=lambda r: (r[0] is None, r[0] or 0))
