@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -132,23 +133,38 @@ def _lists(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(draw, "uid long, doc_id long, lines array<struct<number:int,cls:long>>")
 
 
-# An entry of a word's list is five numbers, as entries are most of what is shuffled: word (32 bits
+# An entry of a word's list is a few numbers, as entries are most of what is shuffled: word (32 bits
 # of its key) with the line's size (16) and the word's place (16), class, doc_id, line number, and
-# a bitmap of 64 parities, in which two sets differ in as many bits at most as in words.
+# a bitmap of 64 parities, in which two sets differ in as many bits at most as in words. Unlike sets
+# of many words differ in half of the bits, which would pass: lines of over _SHORT words have 256
+# parities. These are four bitmaps, of which `parity` is the sum and three are kept beside it.
 _MOST = (1 << 16) - 1  # sizes and places from here on pass all filters
+_SHORT = 40
 
 
-_ENTRY = ("word", "cls", "doc_id", "number", "parity")
+_FINER = ("finer1", "finer2", "finer3")  # null in lines of up to _SHORT words
+_ENTRY = ("word", "cls", "doc_id", "number", "parity", *_FINER)
 
 
 def _token() -> Column:
     return F.shiftright("word", 32)
 
 
+def _parities(lines: _Lines) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A line's 64 parities, and of four such bitmaps, each of a quarter of the words, all but the first."""
+    mixed = mix(lines.tokens)
+    bits, quarter = U64(1) << (mixed >> U64(58)), (mixed >> U64(56)) & U64(3)
+
+    def per_line(values: np.ndarray) -> np.ndarray:
+        return np.bitwise_xor.reduceat(values, lines.first[:-1]) if len(lines.text) else values
+
+    return per_line(bits), [per_line(np.where(quarter == U64(q), bits, U64(0))) for q in (1, 2, 3)]
+
+
 def _entries(
     docs: DataFrame, rarity: np.ndarray, percent: int, of_words: np.ndarray | None = None, of_lines: np.ndarray | None = None
 ) -> DataFrame:
-    """word, cls, doc_id, number, parity: the prefix words of all lines (a slice's first of each class), or of
+    """_ENTRY: the prefix words of all lines (a slice's first of each class), or of
     those words or lines that may be in a bit table."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +183,7 @@ def _entries(
                 order = np.lexsort((lines.tokens, rarity[(lines.tokens % U64(_BUCKETS)).astype(np.int64)], line))
                 place = np.arange(len(order)) - lines.first[line]
                 prefix = sizes - -(-percent * sizes // 100) + 1
-                bits = U64(1) << (mix(lines.tokens) >> U64(58))
-                parity = np.bitwise_xor.reduceat(bits, lines.first[:-1]) if len(sizes) else bits
+                parity, finer = _parities(lines)
                 chosen = np.flatnonzero((place < prefix[line]) & wanted[line])
                 token = lines.tokens[order][chosen] >> U64(32)
                 if of_words is not None:
@@ -181,12 +196,14 @@ def _entries(
                         pa.array(((token << U64(32)) | packed.astype(U64)).view(np.int64)), pa.array(key[own].view(np.int64)),
                         pa.array(ids.view(np.int64)[lines.text[own]], mask=none[own]),
                         pa.array(lines.number[own].astype(np.int32)), pa.array(parity[own].view(np.int64)),
+                        *(pa.array(f[own].view(np.int64), mask=sizes[own] <= _SHORT) for f in finer),
                     ],
                     names=list(_ENTRY),
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(draw, "word long, cls long, doc_id long, number int, parity long")
+    finer = "".join(f", {name} long" for name in _FINER)
+    return rows.mapInArrow(draw, f"word long, cls long, doc_id long, number int, parity long{finer}")
 
 
 def _sets(docs: DataFrame, table: np.ndarray) -> DataFrame:
@@ -217,21 +234,29 @@ def _sets(docs: DataFrame, table: np.ndarray) -> DataFrame:
     return rows.mapInArrow(draw, "spot long, cls long, tokens array<long>")
 
 
-def _unpacked(word: np.ndarray, parity: np.ndarray) -> dict[str, np.ndarray]:
-    return {"size": (word >> 16) & _MOST, "pos": word & _MOST, "parity": parity.view(U64), "token": word >> 32}
+def _unpacked(word: np.ndarray, parity: np.ndarray, finer: list[np.ndarray]) -> dict[str, np.ndarray]:
+    bitmaps = np.stack([parity, *finer], axis=1).view(U64)
+    return {"size": (word >> 16) & _MOST, "pos": word & _MOST, "parity": bitmaps[:, 0].copy(), "finer": bitmaps, "token": word >> 32}
 
 
 def _allowed(y: np.ndarray, x: np.ndarray, columns: dict[str, np.ndarray], percent: int) -> np.ndarray:
-    """Whether entries y and x, which share a word, may be of matching lines: by size, place and bitmap."""
+    """Whether entries y and x, which share a word, may be of matching lines: by size, place and bitmaps."""
     ny, nx = columns["size"][y], columns["size"][x]
     n = ny + nx
     rest = np.minimum(ny - columns["pos"][y], nx - columns["pos"][x])
     differ = np.bitwise_count(columns["parity"][y] ^ columns["parity"][x]).astype(np.int64)
-    return (
+    may = (
         (100 * np.minimum(ny, nx) >= percent * np.maximum(ny, nx))
         & ((100 + percent) * rest >= percent * n)
         & ((100 + percent) * differ <= (100 - percent) * n)
-    ) | (np.maximum(ny, nx) >= _MOST)
+    )
+    some = np.nonzero(may & (np.minimum(ny, nx) > _SHORT))
+    if len(some[0]):
+        bitmaps = columns["finer"][np.broadcast_to(y, may.shape)[some]] ^ columns["finer"][np.broadcast_to(x, may.shape)[some]]
+        bitmaps[:, 0] ^= bitmaps[:, 1] ^ bitmaps[:, 2] ^ bitmaps[:, 3]
+        differ = np.bitwise_count(bitmaps).sum(axis=1, dtype=np.int64)
+        may[some] = (100 + percent) * differ <= (100 - percent) * n[some]
+    return may | (np.maximum(ny, nx) >= _MOST)
 
 
 _NARROW = 24  # lists up to this length are looked at side by side, all lists of a batch at once
@@ -286,13 +311,14 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "token"):
             word, cls, number, parity = (table.column(c).to_numpy() for c in ("word", "cls", "number", "parity"))
+            finer = [table.column(c).fill_null(0).to_numpy() for c in _FINER]
             token = word >> 32
             order = np.lexsort((np.arange(len(cls)), cls, token))
             first = np.ones(len(cls), dtype=bool)
             first[order[1:]] = (cls[order[1:]] != cls[order[:-1]]) | (token[order[1:]] != token[order[:-1]])
             word, cls, number, parity = word[first], cls[first], number[first], parity[first]
             doc = table.column("doc_id").fill_null(0).to_numpy()[first].view(U64)
-            columns = _unpacked(word, parity)
+            columns = _unpacked(word, parity, [f[first] for f in finer])
             partners, count = _first_partners(group_bounds(columns["token"]), columns, percent)
             spot = mix(mix(cls.view(U64) + doc) + number.astype(U64)).view(np.int64)
             found = []
@@ -337,6 +363,9 @@ def _all_candidates(y: DataFrame, docs: DataFrame, rarity: np.ndarray, percent:
     ny, nx = part("word", 16), part("x_word", 16)
     rest = F.least(ny - part("word", 0), nx - part("x_word", 0))
     differ = F.bit_count(F.col("parity").bitwiseXOR(F.col("x_parity")))
+    bitmaps = [F.col(c).bitwiseXOR(F.col(f"x_{c}")) for c in ("parity", *_FINER)]
+    bitmaps[0] = reduce(Column.bitwiseXOR, bitmaps)
+    differ = F.coalesce(reduce(Column.__add__, [F.bit_count(b) for b in bitmaps]), differ)
     place, x_place = (
         F.struct(F.col(f"{p}doc_id").isNull(), F.coalesce(f"{p}doc_id", F.lit(0)), f"{p}number", f"{p}cls") for p in ("", "x_")
     )

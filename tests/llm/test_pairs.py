@@ -11,7 +11,7 @@ from samples import collected, frame, lower, rows, spaced
 
 from geoalbums.llm.components import components
 from geoalbums.llm.decontaminate import decontaminate
-from geoalbums.llm.line_dedup import cut_lines, dedup_lines
+from geoalbums.llm.line_dedup import _all_candidates, _candidates, _entries, _lists, _rarity, _sets, cut_lines, dedup_lines
 from geoalbums.llm.near_duplicates import NearDuplicateConfig, _counted_parts, _families, _parts, near_duplicates, sketches
 from geoalbums.llm.passages import PassageConfig, alike, compact_windows, near_duplicate_passages
 from geoalbums.llm.repeated_bytes import remove_repeats
@@ -209,6 +209,44 @@ def test_cut_lines(docs):
     assert cut_lines(docs).columns == docs.columns
 
 
+def long_lines(seed=5):
+    """Lines of 20 to 250 words of one small vocabulary, some of them with variants."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(900)]
+    out = []
+    for i in range(90):
+        line = rng.sample(vocabulary, (20, 39, 40, 41, 60, 90, 150, 200, 250)[i % 9])
+        out.append(line)
+        for kept in rng.sample((70, 80, 90, 95), 2) if i % 3 == 0 else ():
+            n = len(line) * kept // 100
+            out.append(rng.sample(line, n) + rng.sample(vocabulary, rng.randrange(1, 3)))
+    rng.shuffle(out)
+    return out
+
+
+def test_long_unlike_lines_are_no_candidates(spark):
+    lines = long_lines()
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string").repartition(3)
+    sets = [set(w) for w in lines]
+
+    def likeness(i, j):
+        return len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+
+    rarity = _rarity(docs)
+    numbered = {r["lines"][0]["cls"]: r["doc_id"] for r in _lists(docs).collect()}
+    met = [(numbered[r["cls"]], numbered[r["x_cls"]]) for r in _candidates(_entries(docs, rarity, 80), 80).collect()]
+    assert met and all(likeness(i, j) > 0.5 for i, j in met)
+    every = docs.select("doc_id").join(spark.createDataFrame([(d, c) for c, d in numbered.items()], "doc_id long, cls long"), "doc_id")
+    spots = {r["cls"]: r["spot"] for r in _sets(docs, np.full(1 << 15, -1, np.int64).astype(np.uint32)).collect()}
+    spots = spark.createDataFrame(list(spots.items()), "cls long, spot long")
+    more = _all_candidates(every.join(spots, "cls").select("cls", "spot"), docs, rarity, 80).collect()
+    pairs = {(numbered[r["cls"]], numbered[r["x_cls"]]) for r in more}
+    alike_ones = {(i, j) for i in range(len(sets)) for j in range(i) if likeness(i, j) >= 0.8}
+    assert alike_ones <= pairs and all(likeness(i, j) > 0.5 for i, j in pairs)
+    gone = {r["doc_id"] for r in dedup_lines(docs).collect() if r["n_removed"]}
+    assert gone == {i for i, _ in alike_ones}
+
+
 def test_repeated_bytes(docs):
     length = 150
     data = [(r[0], (r[1] or "").encode()) for r in rows()]
