@@ -70,7 +70,7 @@ def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     Windows keep a task's rows in memory, several times over. Left to the session's shuffle
     partitions, their number would grow with the input.
     """
-    return df.repartition(max(1, -(-df.count() // TASK_ROWS)), BUCKET, *keys)
+    return df.repartition(max(2, -(-df.count() // TASK_ROWS)), BUCKET, *keys)
 
 
 def in_bucket(keys: Sequence[str], order: str = POSITION) -> WindowSpec:
