@@ -432,6 +432,18 @@ def test_no_alike_passage_is_left_out(spark, group_rows):
     assert sum(x == y for x, y in zip(least, most)) > len(data) / 2
 
 
+def test_passages_of_many_blocks(spark):
+    """Cells that have some 300 blocks in common are compared like those that have few."""
+    from samples import words
+
+    rng = random.Random(12)
+    text = words(rng, "en", 1500)
+    cfg = PassageConfig(words=700)
+    data = [(i, " ".join(text[:750] + changed + text[751:])) for i, changed in enumerate((["one"], ["two"]))]
+    found = near_duplicate_passages(spark.createDataFrame(data, "doc_id long, text string"), cfg).collect()
+    assert cfg.blocks > 300 - 256 and {(r["doc_id"], r["n_alike"]) for r in found} == {(0, 1500), (1, 1500)}
+
+
 def test_runs_of_alike_passages():
     """Any passage at the threshold whose unlike tokens come from changed words has a run."""
     cfg = PassageConfig()
